@@ -53,3 +53,11 @@ def utf8(name: str):
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts, from one scan of the column."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few literal rows as a DataFrame that no Python worker touches. ``schema``: ``name type, ...``."""
+    fields = [x.split() for x in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields, strict=True)]) for row in rows]
+    empty = F.array().cast(f"array<struct<{','.join(f'{n}:{k}' for n, k in fields)}>>")
+    return spark.range(1).select(F.inline(F.array(*structs) if structs else empty))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import documents, local_rows, table
 
 #: A document's place along a dimension: the dimension's value, then hashes of its text and of its id, which split ties
 #: so that equal texts stay side by side.
@@ -69,7 +69,7 @@ def kd_shards(
         left = sum(PASSES)
         for bits in PASSES:
             left -= bits
-            state = F.broadcast(spark.createDataFrame([(k, *v) for k, v in cuts.items()], "n int, axis int, prefix long, want double"))
+            state = F.broadcast(local_rows(spark, [(k, *v) for k, v in cuts.items()], "n int, axis int, prefix long, want double"))
             at = F.element_at(F.array(*[F.col(f"v{i}") for i in dims]), F.col("axis") + 1)
             place = F.shiftleft(at, TEXT_BITS + ID_BITS).bitwiseOR(F.col("tie"))
             bins = (
@@ -85,7 +85,7 @@ def kd_shards(
             for r in found.collect():
                 want = max(0.0, r["x"]["want"] - r["x"]["below"])
                 cuts[r["node"]][1:] = [r["x"]["place"] - (left == 0 and 2 * want < r["x"]["bytes"]), want]  # the nearer side of the last document
-        state = F.broadcast(spark.createDataFrame([(k, v[0], v[1]) for k, v in cuts.items()], "n int, axis int, cut long"))
+        state = F.broadcast(local_rows(spark, [(k, v[0], v[1]) for k, v in cuts.items()], "n int, axis int, cut long"))
         at = F.element_at(F.array(*[F.col(f"v{i}") for i in dims]), F.col("axis") + 1)
         place = F.shiftleft(at, TEXT_BITS + ID_BITS).bitwiseOR(F.col("tie"))
         rows = rows.join(state, F.col("node") == F.col("n"), "left").withColumn(
@@ -98,7 +98,7 @@ def kd_shards(
             if n > 1:
                 after[2 * node + 1] = (first + half, n - half)
         leaves = after
-    names = F.broadcast(spark.createDataFrame([(k, v[0]) for k, v in leaves.items()], "n int, shard int"))
+    names = F.broadcast(local_rows(spark, [(k, v[0]) for k, v in leaves.items()], "n int, shard int"))
     placed = table(rows.join(names, F.col("node") == F.col("n")).select("doc_id", "size", "text_crc32", "shard", "tie"), "kd-shards")
     # slots: a shard is numbered in pieces, whose offsets come from their counts
     pieces = placed.groupBy("shard").agg(F.ceil(F.count("*") / SLOT_ROWS).alias("pieces"))

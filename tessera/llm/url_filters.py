@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pages
+from .common import local_rows, pages
 
 #: Hexadecimal digits of the short prefix that the equi-join uses.
 PREFIX_DIGITS = 8
@@ -23,7 +23,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "verdict string, rule_host string, rule_path string")
+    return local_rows(spark, list(rules), "verdict string, rule_host string, rule_path string")
 
 
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
