@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .mixing import op7
+from .quality import op9
+from .secrets import op1
 from .sharding import op8
 from .url_filters import OP10_SQL, op10
 
 
 def queries():
     return {
+        "op1_secret_scan": op1,
         "op7_mixing": op7,
         "op8_kd_sharding": op8,
+        "op9_quality_rules": op9,
         "op10_url_filters": op10,
     }
 
