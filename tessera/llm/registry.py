@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from .mixing import op7
+from .mpeg_audio import op4
+from .packing import op5
 from .quality import op9
 from .secrets import op1
 from .sharding import op8
 from .url_filters import OP10_SQL, op10
+from .warc import op3
 
 
 def queries():
     return {
         "op1_secret_scan": op1,
+        "op3_warc_salvage": op3,
+        "op4_mpeg_audio": op4,
+        "op5_packing": op5,
         "op7_mixing": op7,
         "op8_kd_sharding": op8,
         "op9_quality_rules": op9,
