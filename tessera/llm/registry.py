@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op6
 from .mixing import op7
 from .mpeg_audio import op4
 from .packing import op5
@@ -18,6 +19,7 @@ def queries():
         "op3_warc_salvage": op3,
         "op4_mpeg_audio": op4,
         "op5_packing": op5,
+        "op6_ngram_jaccard": op6,
         "op7_mixing": op7,
         "op8_kd_sharding": op8,
         "op9_quality_rules": op9,
