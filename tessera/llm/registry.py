@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .jaccard_join import op6
+from .lm_scoring import op2
 from .mixing import op7
 from .mpeg_audio import op4
 from .packing import op5
@@ -16,6 +17,7 @@ from .warc import op3
 def queries():
     return {
         "op1_secret_scan": op1,
+        "op2_lm_scoring": op2,
         "op3_warc_salvage": op3,
         "op4_mpeg_audio": op4,
         "op5_packing": op5,
