@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -76,7 +77,7 @@ def _learn_counts(ranks_path: str, buckets: int):
             out = []
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 raw, held = raw or b"", held_out(doc_id)
-                ids = np.array([*encoding.encode_ordinary(raw.decode("utf-8", "replace")), END], np.uint16)
+                ids = np.frombuffer(array("H", encoding.encode_ordinary(raw.decode("utf-8", "replace")) + [END]), np.uint16)
                 out.append((0, block, None, doc_id, held, None, ids.tobytes(), None))
                 found = raw.lower().split()
                 if held:
@@ -240,7 +241,7 @@ def _train(state, turn: int):
 class Scorer:
     """Natural log probabilities of all ids of a text, each scored once, from tables made of the parameters."""
 
-    CHUNK = 256  # windows of one batch
+    CHUNK = 64  # windows of one batch, whose arrays stay in a core's cache
 
     def __init__(self, p: dict, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
