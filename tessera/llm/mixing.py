@@ -43,33 +43,14 @@ def source_targets(per_source: DataFrame, weights: tuple[float, ...], share: flo
     return df.select("src", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("w") * F.col("level")).alias("target"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_SOURCES else df
+def _position(doc_id: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(doc_id)).bitwiseAND((1 << POSITION_BITS) - 1)
 
 
-def mix(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-    weights: tuple[float, ...] = (5, 2, 1),
-    share: float = 1.5,
-    max_epochs: int = 2,
-    seed: int = 17,
-) -> DataFrame:
-    """Words that the mix takes of each document: (doc_id, size, source_size, target, taken, repeats).
-
-    Each source gets ``target`` words. Every document is repeated ``target // source_size`` times whole; the remaining
-    words come from the documents first in a seeded order, the last of which is taken in part, so that a source's
-    taken words equal its target rounded. ``repeats`` rounds the part of that last document to a whole repetition.
-    The cut in the seeded order is found by three levels of histograms over hash bits, so no window ever spans a source.
-
-    Null or empty texts have size 0 and take 0; a null source is a source of its own and comes last; null ids and
-    repeated rows are documents like any other (rows that share an id share its place in the order); an empty table
-    gives an empty result; extra columns are ignored.
-    """
-    position = F.xxhash64(F.lit(seed), F.col(doc_id)).bitwiseAND((1 << POSITION_BITS) - 1)
-    base = table(docs.select(F.col(doc_id).alias("id"), F.col(source).alias("src"), word_count(text).alias("size"), position.alias("at")), "mix")
+def _plan(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], share: float, max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The narrow table (id, src, size, at), the sources' plan (s, source_size, target, whole, cut, rest), broadcast if
+    small, and the rows of the cells in which the sources' extra words run out, with the ``extra`` words they give."""
+    base = table(docs.select(F.col(doc_id).alias("id"), F.col(source).alias("src"), word_count(text).alias("size"), _position(doc_id, seed).alias("at")), "mix")
     per_source = base.groupBy("src").agg(F.sum("size").alias("source_size"))
     quota = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size"))).otherwise(0).cast("long")
@@ -93,21 +74,71 @@ def mix(
         cut = table(hit, "mix-cut")
     known = sources.select(F.col("src").alias("s"), "source_size", "target", "whole")
     last = cut.select(F.col("src").alias("s2"), "cut", "rest")
-    both = known.join(last, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2")
-    placed = base.join(_small(both, rows), F.col("src").eqNullSafe(F.col("s"))).withColumn("place", F.shiftright("at", LEVEL_BITS))
-    clear = placed.where(F.col("cut").isNull() | (F.col("place") != F.col("cut"))).withColumn(
-        "extra", F.when(F.col("place") < F.col("cut"), F.col("size")).otherwise(0)
-    )
+    both = _small(known.join(last, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"), rows)
     order = Window.partitionBy("src").orderBy("at", "id", "size")
-    edge = placed.where(F.col("place") == F.col("cut")).withColumn("below", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    edge = edge.withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("below"))))
-    columns = [
-        F.col("id").alias("doc_id"), "size", "source_size", "target",
-        (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
-        (F.col("whole") + (2 * F.col("extra") >= F.greatest("size", F.lit(1))).cast("long")).alias("repeats"),
-    ]
+    edge = base.join(both, F.col("src").eqNullSafe(F.col("s"))).where(F.shiftright("at", LEVEL_BITS) == F.col("cut"))
+    edge = edge.withColumn("below", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    return base, both, edge.withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("below"))))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_SOURCES else df
+
+
+def mix(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[float, ...] = (5, 2, 1),
+    share: float = 1.5,
+    max_epochs: int = 2,
+    seed: int = 17,
+) -> DataFrame:
+    """Words that the mix takes of each document: (doc_id, size, source_size, target, taken).
+
+    Each source gets ``target`` words. Every document is repeated ``target // source_size`` times whole; the remaining
+    words come from the documents first in a seeded order, the last of which is taken in part, so that a source's
+    taken words equal its target rounded. The cut in the seeded order is found by three levels of histograms over
+    hash bits, so no window ever spans a source.
+
+    Null or empty texts have size 0 and take 0; a null source is a source of its own and comes last; null ids and
+    repeated rows are documents like any other (rows that share an id share its place in the order); an empty table
+    gives an empty result; other columns are ignored.
+    """
+    base, both, edge = _plan(docs, doc_id, text, source, weights, share, max_epochs, seed)
+    place = F.shiftright("at", LEVEL_BITS)
+    clear = base.join(both, F.col("src").eqNullSafe(F.col("s"))).where(F.col("cut").isNull() | (place != F.col("cut")))
+    clear = clear.withColumn("extra", F.when(place < F.col("cut"), F.col("size")).otherwise(0))
+    taken = (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken")
+    columns = [F.col("id").alias("doc_id"), "size", "source_size", "target", taken]
     return clear.select(*columns).unionByName(edge.select(*columns))
 
 
+def mixed(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[float, ...] = (5, 2, 1),
+    share: float = 1.5,
+    max_epochs: int = 2,
+    seed: int = 17,
+) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as ``mix`` repeats it; a part of half a document or more
+    counts as a repetition. Texts aren't shuffled: the sources' plan and the few documents at the cuts go to them."""
+    _, both, edge = _plan(docs, doc_id, text, source, weights, share, max_epochs, seed)
+    chosen = edge.where("size > 0 AND 2 * extra >= size").select(F.col("src").alias("e_src"), F.col("at").alias("e_at")).distinct()
+    chosen = table(chosen, "mix-edge")
+    if chosen.count() <= BROADCAST_SOURCES:
+        chosen = F.broadcast(chosen)
+    rows = docs.withColumns({"_at": _position(doc_id, seed), "_src": F.col(source)})
+    rows = rows.join(both, F.col("_src").eqNullSafe(F.col("s")))
+    rows = rows.join(chosen, F.col("_src").eqNullSafe(F.col("e_src")) & (F.col("_at") == F.col("e_at")), "left")
+    extra = F.coalesce(F.shiftright("_at", LEVEL_BITS) < F.col("cut"), F.lit(False)) | F.col("e_at").isNotNull()
+    times = F.col("whole").cast("int") + extra.cast("int")
+    return rows.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(c) for c in docs.columns])
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).drop("repeats")
+    return mix(documents(spark, sf_dir))
