@@ -1,7 +1,8 @@
 """Language-model scores: a smoothed unigram model over words, and a causal self-attention model over subword ids.
 
 1. ``_learn_counts`` reads every text once and writes its subword ids in blocks of some megabytes of text, with the
-   words of each block and their training counts, dealt out by hash.
+   words of each block and their training counts, dealt out by hash. A text's ids are those of its words, each with a
+   space before it, so every different word of a block is encoded once; white space counts as one space.
 2. Buckets add the counts up and answer each block with its own words' totals, so no task holds the vocabulary.
 3. The attention model is trained by local descent in every task on windows of all training documents; the tasks'
    parameters are averaged after each round. An id's probability is that of its class, which the model gives, times
@@ -12,9 +13,8 @@
 from __future__ import annotations
 
 import zlib
-from array import array
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -54,47 +54,69 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
 
 
+class _Index(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _learn_counts(ranks_path: str, buckets: int):
     """Kinds: 0 a document's ids, 1 words of a block and bucket with training counts, 2 training counts of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, block = _ranks(ranks_path), TaskContext.get().partitionId() << 24
-        words: Counter = Counter()
-        ids_seen, size = np.zeros(IDS, np.int64), 0
-
-        def close() -> pa.RecordBatch | None:
+        index, held_docs, size = _Index(), [], 0  # of the block: words, (doc_id, held out, word numbers), bytes
+        ids_seen = np.zeros(IDS, np.int64)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            words = list(index)
+            encoded = encoding.encode_ordinary_batch([" " + w.decode("utf-8", "replace") for w in words], num_threads=1)
+            lengths = np.fromiter(map(len, encoded), np.int64, len(words))
+            flat = np.fromiter(chain.from_iterable(encoded), np.uint16, int(lengths.sum()))
+            first = np.cumsum(lengths) - lengths
+            counts, rows = np.zeros(len(words), np.int64), []
+            for doc_id, held, numbers in held_docs:
+                n = lengths[numbers]
+                ids = np.empty(int(n.sum()) + 1, np.uint16)
+                ids[:-1] = flat[np.repeat(first[numbers] - (np.cumsum(n) - n), n) + np.arange(len(ids) - 1)]
+                ids[-1] = END
+                if not held:
+                    np.add.at(counts, numbers, 1)
+                    ids_seen[END] += 1
+                rows.append((0, block, None, doc_id, held, None, ids.tobytes(), None))
+                if len(rows) == 512:
+                    yield _rows(rows)
+                    rows = []
+            if rows:
+                yield _rows(rows)
+            ids_seen[:] += np.bincount(flat, np.repeat(counts, lengths), IDS).astype(np.int64)
+            lower: dict[bytes, int] = {}
+            for w, n in zip(words, counts.tolist(), strict=True):
+                w = w.lower()
+                lower[w] = lower.get(w, 0) + n
             by: list[list[bytes]] = [[] for _ in range(buckets)]
-            for w in words:
+            for w in lower:
                 by[xxhash.xxh3_64_intdigest(w) % buckets].append(w)
-            out = []
+            rows = []
             for k, ws in enumerate(by):
                 if ws:
-                    n = np.fromiter((words[w] for w in ws), np.uint32, len(ws))
-                    out.append((1, block, k, None, None, int(n.sum()), b"\n".join(ws), n.tobytes()))
-            return _rows(out) if out else None
+                    n = np.fromiter((lower[w] for w in ws), np.uint32, len(ws))
+                    rows.append((1, block, k, None, None, int(n.sum()), b"\n".join(ws), n.tobytes()))
+            if rows:
+                yield _rows(rows)
 
         for b in batches:
-            out = []
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                raw, held = raw or b"", held_out(doc_id)
-                ids = np.frombuffer(array("H", encoding.encode_ordinary(raw.decode("utf-8", "replace")) + [END]), np.uint16)
-                out.append((0, block, None, doc_id, held, None, ids.tobytes(), None))
-                found = raw.lower().split()
-                if held:
-                    words.update(dict.fromkeys(found, 0))
-                else:
-                    words.update(found)
-                    ids_seen += np.bincount(ids, minlength=IDS)
-                size += len(raw)
-            if out:
-                yield _rows(out)
-            if size >= BLOCK_TEXT:
-                if done := close():
-                    yield done
-                block, size = block + 1, 0
-                words.clear()
-        if done := close():
-            yield done
+                words = (raw or b"").split()
+                held_docs.append((doc_id, held_out(doc_id), np.fromiter(map(index.__getitem__, words), np.int32, len(words))))
+                size += len(raw or b"") + 1
+                if size >= BLOCK_TEXT:
+                    yield from close()
+                    index, held_docs, size, block = _Index(), [], 0, block + 1
+        if held_docs:
+            yield from close()
         some = np.flatnonzero(ids_seen)
         if len(some):
             yield _rows([(2, block, None, None, None, None, some.astype(np.uint16).tobytes(), ids_seen[some].tobytes())])
