@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python workers: rows are whole documents, so few of them make a batch.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 BATCH_BYTES = 16 << 20
 
 

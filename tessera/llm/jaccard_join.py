@@ -28,11 +28,22 @@ from .common import documents, prepare, table, text_bytes
 #: Words of a shingle, and the threshold in percent.
 WORDS, PERCENT = 5, 80
 #: Shingles of a map task that are dealt out at once, and bytes of text for each bucket.
-PART_ITEMS, BUCKET_TEXT = 1 << 20, 24 << 20
+PART_ITEMS, BUCKET_TEXT = 1 << 20, 16 << 20
 #: Sets, and bytes of sets, from which a group is cut into blocks.
 BLOCK_SETS, BLOCK_BYTES = 1000, 8 << 20
 _M, _MIX, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
-_known: dict[bytes, int] = {}
+KNOWN_WORDS = 200_000
+
+
+class _Known(dict):
+    """Hashes of words as they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_known = _Known()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,15 +54,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; of fewer words, one for the whole sequence; of none, empty."""
     tokens = text.lower().split()
-    if len(_known) > 500_000:
+    if len(_known) > KNOWN_WORDS:
         _known.clear()
-    get = _known.get
-    one = np.empty(len(tokens), np.uint64)
-    for i, w in enumerate(tokens):
-        h = get(w)
-        if h is None:
-            h = _known[w] = xxhash.xxh3_64_intdigest(w)
-        one[i] = h
+    one = np.fromiter(map(_known.__getitem__, tokens), np.uint64, len(tokens))
     n = len(one)
     if not n:
         return one
@@ -146,12 +151,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = np.fromiter((first.setdefault(x, k) == k for x in names.tolist()), bool, len(names))
             masks.append(np.repeat(fresh, np.frombuffer(r["counts"], np.int32)))
         items = [np.frombuffer(r["items"], np.uint64) for r in rows]
-        order = np.sort(np.concatenate([x[m] for x, m in zip(items, masks, strict=True)]))
-        edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1], [True])))
-        times = np.diff(edge)
-        more = times > 1
-        shared, spread = order[edge[:-1]][more], np.minimum(times[more], 0xFFFF).astype(np.uint16)
-        del order, edge, times
+        order = np.concatenate([x[m] for x, m in zip(items, masks, strict=True)])
+        order.sort()
+        shared = np.unique(order[1:][order[1:] == order[:-1]])
+        times = np.searchsorted(order, shared, side="right") - np.searchsorted(order, shared)
+        spread = np.minimum(times, 0xFFFF).astype(np.uint16)
+        del order, times
         if not len(shared):
             continue
         out = []
