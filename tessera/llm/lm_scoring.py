@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -62,6 +63,25 @@ class _Index(dict):
         return n
 
 
+def _encode_words(encoding, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words, each with a space before it, end to end, and how many each word has.
+
+    The words are encoded as one text: a space opens a new piece, so no id spans two words, and a word's first id is
+    the one that begins with a space. Should the counts ever disagree, words are encoded one by one.
+    """
+    flat = np.array(encoding.encode_ordinary("".join(" " + w.decode("utf-8", "replace") for w in words)), np.uint16)
+    opens = np.flatnonzero(_opens_word(encoding)[flat])
+    if len(opens) == len(words):
+        return flat, np.diff(np.append(opens, len(flat)))
+    each = [encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+    return np.fromiter(chain.from_iterable(each), np.uint16), np.fromiter(map(len, each), np.int64, len(words))
+
+
+@lru_cache(1)
+def _opens_word(encoding) -> np.ndarray:
+    return np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(END)] + [False])
+
+
 def _learn_counts(ranks_path: str, buckets: int):
     """Kinds: 0 a document's ids, 1 words of a block and bucket with training counts, 2 training counts of ids."""
 
@@ -72,9 +92,7 @@ def _learn_counts(ranks_path: str, buckets: int):
 
         def close() -> Iterator[pa.RecordBatch]:
             words = list(index)
-            encoded = encoding.encode_ordinary_batch([" " + w.decode("utf-8", "replace") for w in words], num_threads=1)
-            lengths = np.fromiter(map(len, encoded), np.int64, len(words))
-            flat = np.fromiter(chain.from_iterable(encoded), np.uint16, int(lengths.sum()))
+            flat, lengths = _encode_words(encoding, words)
             first = np.cumsum(lengths) - lengths
             counts, rows = np.zeros(len(words), np.int64), []
             for doc_id, held, numbers in held_docs:

@@ -403,3 +403,11 @@ def test_pipeline(spark, odd):
     assert clear.where("text LIKE '%abcd1234%'").count() == 0 and clear.count() == one.count()
     assert stages["mixing sources to target weights"](spark, clear, "").columns == docs.columns
     assert {r.doc_id for r in stages["packing"](spark, clear, "").collect()} == {r.doc_id for r in clear.collect()}
+
+
+def test_words_encoded_together():
+    encoding = packing._ranks(files()[1])
+    words = ["Ab", "c.d", "é漢", "x ", " y", "\x1c", "1234567", "don't", "a" * 300]
+    flat, lengths = lm_scoring._encode_words(encoding, [w.encode() for w in words])
+    each = [encoding.encode_ordinary(" " + w) for w in words]
+    assert flat.tolist() == [i for e in each for i in e] and lengths.tolist() == list(map(len, each))
