@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,23 @@ def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
     structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields, strict=True)]) for row in rows]
     empty = F.array().cast(f"array<struct<{','.join(f'{n}:{k}' for n, k in fields)}>>")
     return spark.range(1).select(F.inline(F.array(*structs) if structs else empty))
+
+
+class Tidy:
+    """A function for mapInArrow that gives memory back when its partition ends, as Python workers live on between tasks."""
+
+    def __init__(self, run, *then):
+        self.run, self.then = run, then
+
+    def __call__(self, batches):
+        try:
+            yield from self.run(batches)
+        finally:
+            for f in self.then:
+                f()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # no glibc
+                pass

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, prepare, table, text_bytes
+from .common import Tidy, documents, prepare, table, text_bytes
 
 #: Words of a shingle, and the threshold in percent.
 WORDS, PERCENT = 5, 80
@@ -46,6 +46,10 @@ class _Known(dict):
 _known = _Known()
 
 
+def _forget() -> None:
+    _known.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _HALF)) * _MIX
     return (x ^ (x >> _HALF)) * _MIX
@@ -348,15 +352,15 @@ def _joined(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links of the blocks (leader, block, class, component) of ``members``, over the sets (class, size, items)."""
     rows = members.join(sets.select("class", "size", "items"), "class").select("leader", "block", "class", "component", "size", "items")
     rows = rows.repartition("leader", "block").sortWithinPartitions("leader", "block", "class")
-    return rows.mapInArrow(_links(percent), "a long, b long")
+    return rows.mapInArrow(Tidy(_links(percent)), "a long, b long")
 
 
 def similar_classes(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(node, component) over classes, for every class that has a link (or whose group has)."""
     buckets = max(8, ceil(text_bytes(docs, text) / BUCKET_TEXT))
-    dealt = docs.select(F.col(text)).mapInArrow(_deal(buckets), "bucket int, part long, classes binary, sizes binary, counts binary, items binary")
-    counted = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "part long, classes binary, sizes binary, counts binary, items binary, spread binary")
-    gathered = counted.repartition("part").sortWithinPartitions("part").mapInArrow(_gather(percent), "class long, size long, items binary, prefix array<long>")
+    dealt = docs.select(F.col(text)).mapInArrow(Tidy(_deal(buckets), _forget), "bucket int, part long, classes binary, sizes binary, counts binary, items binary")
+    counted = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(Tidy(_count), "part long, classes binary, sizes binary, counts binary, items binary, spread binary")
+    gathered = counted.repartition("part").sortWithinPartitions("part").mapInArrow(Tidy(_gather(percent)), "class long, size long, items binary, prefix array<long>")
     sets = table(gathered, "sets")
     tokens = sets.select("class", F.explode("prefix").alias("token"))
     leaders = tokens.groupBy("token").agg(F.min("class").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -394,7 +398,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Sets are compared by 64-bit hashes of shingles (48 bits beside the count within a group), classes by 63 bits.
     """
     prepare(docs.sparkSession)
-    own = table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(_classes, "doc_id long, class long, size long"), "classes")
+    own = table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(Tidy(_classes, _forget), "doc_id long, class long, size long"), "classes")
     labels = similar_classes(docs, text, percent)
     per_class = own.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     linked = per_class.join(labels, per_class["class"] == labels["node"], "left").select("class", "least", "n", F.coalesce("component", "class").alias("component"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import documents, prepare
+from .common import Tidy, documents, prepare
 
 #: Context sizes, shortest first, and the id that ends a document.
 TIERS, END_ID = (256, 512, 1024, 2048), 1
@@ -172,7 +172,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tiers: tup
     """
     prepare(docs.sparkSession)
     files = json_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_pack(*files, tiers), ", ".join(f"{c} long" for c in OUT))
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(Tidy(_pack(*files, tiers)), ", ".join(f"{c} long" for c in OUT))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
