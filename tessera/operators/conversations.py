@@ -9,6 +9,7 @@ from ..config import EngineConfig
 from ..functions.dates import parse_iso, whole_days
 from ..functions.text import addresses_in, email_type, message_ids, normalize_subject, strip
 from .components import connected_components, written
+from .reports import numbered
 from .segments import active_streak, newest, time_blocks
 
 
@@ -38,9 +39,9 @@ def conversations(mails: DataFrame, config: EngineConfig = EngineConfig()) -> tu
     first, last = connected_components(nodes, heads), connected_components(nodes, both)
     n, n1, n2 = nodes.count(), first.select("component").distinct().count(), last.select("component").distinct().count()
     dated = last.join(mails.select("id", "date"), last["node"] == F.col("id"))
-    order = dated.groupBy("component").agg(F.min(F.struct(F.coalesce("date", F.lit("")), "id")).alias("o"))
-    numbers = order.withColumn("conversation_id", F.row_number().over(Window.orderBy("o"))).select("component", "conversation_id")
-    out = last.join(numbers, "component").select(F.col("node").alias("id"), F.col("conversation_id").cast("long").alias("conversation_id"))
+    order = dated.groupBy("component").agg(F.min(F.struct(F.coalesce("date", F.lit("")).alias("first"), "id")).alias("o"))
+    numbers = numbered(order, F.substring("o.first", 1, 10), [F.col("o")], "conversation_id").select("component", "conversation_id")
+    out = last.join(numbers, "component").select(F.col("node").alias("id"), "conversation_id")
     return out, {"header_merges": n - n1, "subj_merges": n1 - n2}
 
 
@@ -48,7 +49,7 @@ def project_of(subjects: DataFrame, labels: DataFrame, config: EngineConfig) ->
     """(conversation_id, project, project_source): the name most subjects vote for, each by its first matching rule; else
     the code named most; else the first rule that fits the cluster's label; else unknown. Ties go to the lesser name."""
     s = subjects.select("conversation_id", strip(F.col("subject")).alias("subject")).distinct()
-    pick = lambda df: df.groupBy("conversation_id", "project").agg(F.count("*").alias("n")).groupBy("conversation_id").agg(F.max_by("project", F.struct("n", -F.ascii("project"))).alias("project"))
+    pick = lambda df: df.groupBy("conversation_id", "project").agg(F.count("*").alias("n")).groupBy("conversation_id").agg(F.min_by("project", F.struct(-F.col("n"), "project")).alias("project"))
     first = lambda x, rules: F.coalesce(*[F.when(x.rlike(f"(?iU){p}"), F.lit(v)) for p, v in rules], F.lit(None).cast("string"))
     names = pick(s.select("conversation_id", first(F.col("subject"), config.name_rules).alias("project")).where("project IS NOT NULL"))
     found = F.array_compact(F.array(*[F.when(F.col("subject").rlike(rf"(?iU)\b{c}[\W_]"), F.lit(v)) for c, v in config.code_rules])) if config.code_rules else F.array().cast("array<string>")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import text as T
 from ..functions.vectors import centroids, cosine
-from ..operators import graph, persons, search, segments, topics
+from ..operators import graph, persons, reports, search, segments, topics
 from ..operators.bm25 import bm25, word_scores
 from ..sources.mailbox import new_rows, pending, upsert_watermark
 
@@ -326,11 +326,15 @@ SAMPLE = "a AS (SELECT vec_id, label, embedding AS v FROM embeddings QUALIFY row
 @query(f"""WITH {SAMPLE}, p AS (SELECT x.label = y.label AS same, {COS.format('x.v', 'y.v')} AS s FROM a x JOIN a y ON x.vec_id < y.vec_id)
 SELECT same, count(*) AS n, round(min(s), 4) AS low, round(avg(s), 4) AS mean, round(max(s), 4) AS high, round(stddev_pop(s), 4) AS deviation FROM p GROUP BY 1""")
 def pairwise_stats(spark, d):
+    p = _sampled_pairs(spark, d)
+    return p.groupBy("same").agg(F.count("*").alias("n"), F.round(F.min("s"), 4).alias("low"), F.round(F.avg("s"), 4).alias("mean"), F.round(F.max("s"), 4).alias("high"), F.round(F.stddev_pop("s"), 4).alias("deviation"))
+
+
+def _sampled_pairs(spark, d):
     """Ten of each cluster, so the product is of bounded size (a stated sample, as in the model comparison that it serves)."""
     s = segments.top_n(tab(spark, d, "embeddings"), ["label"], [F.col("vec_id")], 10).select("vec_id", "label", F.col("embedding").alias("v"))
     x, y = s.alias("x"), s.alias("y")
-    p = x.join(y, F.col("x.vec_id") < F.col("y.vec_id")).select((F.col("x.label") == F.col("y.label")).alias("same"), cosine(F.col("x.v"), F.col("y.v")).alias("s"))
-    return p.groupBy("same").agg(F.count("*").alias("n"), F.round(F.min("s"), 4).alias("low"), F.round(F.avg("s"), 4).alias("mean"), F.round(F.max("s"), 4).alias("high"), F.round(F.stddev_pop("s"), 4).alias("deviation"))
+    return x.join(y, F.col("x.vec_id") < F.col("y.vec_id")).select((F.col("x.label") == F.col("y.label")).alias("same"), cosine(F.col("x.v"), F.col("y.v")).alias("s"))
 
 
 @query()
@@ -522,7 +526,9 @@ def ask(spark, d):
     return persons.dominant_community(_persons(spark, d), found)
 
 
-@query()
+@query("""WITH RECURSIVE e0 AS (SELECT x.o_custkey AS a, y.o_custkey AS b FROM orders x JOIN orders y ON y.o_orderkey = x.o_orderkey + 1 WHERE x.o_orderkey % 10 < 3 AND x.o_custkey != y.o_custkey),
+e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), r AS (SELECT DISTINCT o_custkey AS node, o_custkey AS root FROM orders UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node AND r.root < e.b)
+SELECT node, min(root) AS component FROM r GROUP BY 1""")
 def connected_components(spark, d):
     from ..operators.components import connected_components as solve
 
@@ -552,21 +558,33 @@ def stitch_conversations(spark, d):
     return conversations(stand_in_mails(spark, d))[0]
 
 
-@query()
+@query("""WITH m AS (SELECT o_orderkey AS id, o_custkey AS c, date_trunc('second', o_orderdate) AS ts, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS date, 'Re: ' || o_orderpriority || ' ' || (o_custkey % 97) AS subject FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+w AS (SELECT c, count(*) FILTER (date >= (SELECT strftime(max(ts)::DATE - INTERVAL 30 DAY, '%Y-%m-%d') FROM m)) AS n_window FROM m GROUP BY 1),
+g AS (SELECT *, date_sub('day', ts, lag(ts) OVER (PARTITION BY c ORDER BY ts DESC, id DESC)) > 21 AS cut FROM m),
+s AS (SELECT * FROM (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY ts DESC, id DESC) AS cuts FROM g) WHERE cuts = 0),
+b AS (SELECT *, sum(CASE WHEN older THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY ts, id) AS block FROM (SELECT *, date_sub('day', lag(ts) OVER (PARTITION BY c ORDER BY ts, id), ts) > 6 AS older FROM s)),
+z AS (SELECT c, count(*) AS n_streak, count(*) FILTER (block = top) > 20 AS needs_topic FROM (SELECT *, max(block) OVER (PARTITION BY c) AS top FROM b) GROUP BY 1 HAVING count(*) >= 2),
+l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY c ORDER BY ts DESC, id DESC) = 1)
+SELECT c AS conversation_id, subject, date AS last_activity, n_window::BIGINT AS n_window, n_streak, needs_topic FROM l JOIN w USING (c) JOIN z USING (c) WHERE n_window > 0 ORDER BY date DESC, c LIMIT 25""")
 def active_window(spark, d):
     from ..operators.conversations import active_window as run
 
     return run(stand_in_mails(spark, d).withColumn("conversation_id", F.col("thread")))
 
 
-@query()
+@query(f"""WITH {MAILS}, h AS (SELECT m.*, o_orderdate AS ts FROM m JOIN orders ON o_orderkey = id ORDER BY strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ'), id LIMIT 5),
+lim AS (SELECT strftime(min(ts)::DATE - INTERVAL 90 DAY, '%Y-%m-%dT00:00:00Z') AS low, strftime(max(ts)::DATE + INTERVAL 90 DAY, '%Y-%m-%dT00:00:00Z') AS high FROM h),
+ce0 AS (SELECT i, avg(x::DOUBLE) AS x FROM (SELECT unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings JOIN h ON id = vec_id) GROUP BY 1), ce AS (SELECT list(x ORDER BY i) AS v FROM ce0),
+pp AS (SELECT id, sender AS person FROM m UNION SELECT id, person FROM r), ov AS (SELECT id FROM pp WHERE person IN (SELECT sender FROM h) GROUP BY 1 HAVING count(*) >= 2)
+SELECT m.id, round(score, 4) AS score FROM (SELECT m.*, CASE WHEN embedding IS NOT NULL AND v IS NOT NULL THEN {COS.format('embedding', 'v')} END AS score FROM m LEFT JOIN embeddings ON vec_id = id, ce) m JOIN ov USING (id) JOIN orders ON o_orderkey = m.id, lim
+WHERE sender IN (SELECT sender FROM h) AND m.id NOT IN (SELECT id FROM h) AND strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') BETWEEN low AND high AND (score IS NULL OR score > 0)""")
 def person_expansion(spark, d):
     m = stand_in_mails(spark, d).withColumn("to_addresses", F.split("to_addresses", ",")).join(_vectors(spark, d).select("id", "vector"), "id", "left")
     hits = m.orderBy("date", "id").limit(5).select("id")
-    return search.expand_persons(hits, hits, m, EngineConfig(context_threshold=0.0))
+    return search.expand_persons(hits, hits, m, EngineConfig(context_threshold=0.0)).withColumn("score", F.round("score", 4))
 
 
-@query()
+@query("SELECT doc_id, NULL::VARCHAR AS language FROM documents WHERE doc_id % 2 != 0 OR lang IS NULL ORDER BY doc_id LIMIT 500")
 def pending_bodies(spark, d):
     m = tab(spark, d, "documents").withColumn("language", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
     return pending(m.select("doc_id", "language"), "language", "doc_id", 500)
@@ -583,3 +601,97 @@ def sender_counts_in_clusters(spark, d):
 def dominant_label(spark, d):
     g = tab(spark, d, "customer").groupBy(F.col("c_nationkey").alias("conversation_id"), F.col("c_mktsegment").alias("label")).agg(F.count("*").alias("n"))
     return segments.top_n(g, ["conversation_id"], [F.desc("n"), F.col("label")], 1)
+
+
+# ---- reports
+
+
+@query("""WITH g AS (SELECT o_custkey AS tid, (o_custkey // 2) * 12 + month(o_orderdate) AS cid FROM orders),
+s AS (SELECT count(DISTINCT cid) AS c, count(*) AS n FROM g GROUP BY tid), m AS (SELECT count(DISTINCT tid) AS c, count(*) AS n FROM g GROUP BY cid)
+SELECT 'split' AS kind, count(*) AS groups, sum(n)::BIGINT AS mails FROM s WHERE c > 1 UNION ALL SELECT 'merge', count(*), sum(n)::BIGINT FROM m WHERE c > 1""")
+def changed_groups(spark, d):
+    return reports.changed_groups(_regrouped(spark, d), "tid", "cid")
+
+
+def _regrouped(spark, d):
+    return tab(spark, d, "orders").select(F.col("o_custkey").alias("tid"), (F.floor(F.col("o_custkey") / 2) * 12 + F.month("o_orderdate")).alias("cid"), day("o_orderdate").alias("day"))
+
+
+@query("""WITH g AS (SELECT o_custkey AS tid, (o_custkey // 2) * 12 + month(o_orderdate) AS cid, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
+e AS (SELECT cid, tid, count(*) AS n, min(day) AS first, max(day) AS last FROM g GROUP BY 1, 2), l AS (SELECT cid, sum(n)::BIGINT AS total FROM e GROUP BY 1 HAVING count(*) > 1 ORDER BY total DESC, cid LIMIT 3)
+SELECT cid, total, tid, n, first, last FROM e JOIN l USING (cid) QUALIFY row_number() OVER (PARTITION BY cid ORDER BY tid) <= 4""")
+def change_examples(spark, d):
+    return reports.change_examples(_regrouped(spark, d), "cid", "tid", "day")
+
+
+COMMUNITIES = f"""{DEGREES}, pe AS (SELECT s_suppkey AS person, s_suppkey % 5 AS community, s_suppkey % 3 = 0 AS internal, 'd' || (s_suppkey % 7) || '.example' AS domain, coalesce(c, 0) AS c FROM supplier LEFT JOIN ce ON node = s_suppkey),
+ma AS (SELECT DISTINCT community, o_orderkey AS id, o_orderpriority AS subject, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN pe ON person = l_suppkey),
+t5 AS (SELECT community, string_agg(person::VARCHAR, ',' ORDER BY c DESC, person) AS top5 FROM (FROM pe QUALIFY row_number() OVER (PARTITION BY community ORDER BY c DESC, person) <= 5) GROUP BY 1),
+dm AS (SELECT community, domain, count(*) AS n FROM pe WHERE NOT internal GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, domain) <= 5),
+d5 AS (SELECT community, string_agg(domain || ':' || n, ',' ORDER BY n DESC, domain) AS ext_doms FROM dm GROUP BY 1),
+wo AS (SELECT community, word, count(*) AS n FROM (SELECT community, unnest(regexp_extract_all(lower(subject), '[a-z]{{3,}}')) AS word FROM ma) WHERE word != 'not' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, word) <= 12),
+w5 AS (SELECT community, string_agg(word || ':' || n, ',' ORDER BY n DESC, word) AS top_words FROM wo GROUP BY 1)"""
+
+
+@query(f"""WITH {COMMUNITIES} SELECT community, size, n_int, n_ext, top5, ext_doms, top_words, n_emails, first, last FROM
+(SELECT community, count(*) AS size, count(*) FILTER (internal) AS n_int, count(*) FILTER (NOT internal) AS n_ext FROM pe GROUP BY 1 HAVING count(*) >= 2) JOIN t5 USING (community) LEFT JOIN d5 USING (community) LEFT JOIN w5 USING (community)
+LEFT JOIN (SELECT community, count(DISTINCT id) AS n_emails, min(day)[:7] AS first, max(day)[:7] AS last FROM ma GROUP BY 1) USING (community)""")
+def community_summary(spark, d):
+    s = F.col("s_suppkey")
+    people = tab(spark, d, "supplier").select(s.alias("person"), (s % 5).alias("community"), (s % 3 == 0).alias("internal"), F.concat(F.lit("d"), (s % 7).cast("string"), F.lit(".example")).alias("domain"))
+    m = tab(spark, d, "orders").join(tab(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    m = m.select(F.col("o_orderkey").alias("id"), F.col("l_suppkey").alias("person"), F.col("o_orderpriority").alias("subject"), day("o_orderdate").alias("day"))
+    flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[c_of[c]], x["n"].cast("string"))), ",").alias(c)
+    c_of = {"ext_doms": "domain", "top_words": "word"}
+    out = reports.community_summary(_edges(spark, d), people, m, ("not",), 2)
+    return out.select("community", "size", "n_int", "n_ext", F.array_join(F.transform("top5", lambda x: x.cast("string")), ",").alias("top5"), flat("ext_doms"), flat("top_words"), "n_emails", "first", "last")
+
+
+@query("""WITH s AS (SELECT round(l_discount + l_tax, 4) >= 0.1 AS passed, unnest([{'signal': 'discount', 'x': l_discount}, {'signal': 'tax', 'x': l_tax}], recursive := true) FROM lineitem),
+g AS (SELECT signal, passed, count(*) AS n, median(x) AS median, avg(x) AS mean, min(x) AS low, max(x) AS high, count(*) FILTER (x = 0) AS zeros, sum(x) AS s FROM s GROUP BY 1, 2)
+SELECT signal, passed, n, round(median, 4) AS median, round(mean, 4) AS mean, low, high, zeros, round(100 * s / sum(s) OVER (PARTITION BY passed), 3) AS share FROM g""")
+def signal_stats(spark, d):
+    s = tab(spark, d, "lineitem").select(F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), (F.col("l_discount") + F.col("l_tax")).alias("total"))
+    g = reports.signal_stats(s, ["discount", "tax"], "total", 0.1)
+    return g.withColumns({c: F.round(c, 4) for c in ("median", "mean")}).withColumn("share", F.round("share", 3))
+
+
+@query(f"""WITH {SAMPLE}, p AS (SELECT x.label = y.label AS same, {COS.format('x.v', 'y.v')} AS s FROM a x JOIN a y ON x.vec_id < y.vec_id), r AS (SELECT avg(s) FILTER (same) AS a, avg(s) FILTER (NOT same) AS b FROM p)
+SELECT round(a, 4) AS related, round(b, 4) AS unrelated, round(a - b, 4) AS gap FROM r""")
+def similarity_gap(spark, d):
+    g = reports.separation(_sampled_pairs(spark, d), "same", "s")
+    return g.select(*[F.round(c, 4).alias(c) for c in g.columns])
+
+
+@query("""WITH f AS (SELECT DISTINCT conv_id, split_part(trim(text), ' ', 1) AS fact FROM conversations WHERE text IS NOT NULL AND trim(text) != ''), a AS (SELECT role AS model, conv_id, string_agg(text, ' ' ORDER BY turn) AS t FROM conversations GROUP BY 1, 2)
+SELECT model, conv_id, count(*) FILTER (contains(lower(t), lower(fact))) AS found, count(*) AS facts FROM a JOIN f USING (conv_id) GROUP BY 1, 2""")
+def fact_scores(spark, d):
+    c = tab(spark, d, "conversations")
+    facts = c.select("conv_id", F.split(F.trim("text"), " ")[0].alias("fact")).where("fact != ''").distinct().select("conv_id", F.array("fact").alias("variants"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text")
+    return reports.fact_scores(c.groupBy(F.col("role").alias("model"), "conv_id").agg(texts), facts, "conv_id")
+
+
+@query("""WITH g AS (SELECT role AS model, count(*) AS calls, sum(length(text))::BIGINT AS tokens_in, sum(turn)::BIGINT AS tokens_out FROM conversations GROUP BY 1),
+c AS (SELECT *, (tokens_in * CASE model WHEN 'user' THEN 3.0 ELSE 0.0 END::DOUBLE + tokens_out * CASE model WHEN 'user' THEN 15.0 ELSE 0.0 END::DOUBLE) / 1000000 AS cost FROM g)
+SELECT model, calls, tokens_in, tokens_out, round(cost, 8) AS cost, round(cost / calls, 10) AS cost_each, round(cost / calls * 30, 8) AS cost_month FROM c""")
+def model_costs(spark, d):
+    calls = tab(spark, d, "conversations").select(F.col("role").alias("model"), F.length("text").cast("long").alias("tokens_in"), F.col("turn").alias("tokens_out"))
+    g = reports.costs(calls, {"user": (3.0, 15.0)})
+    return g.withColumns({"cost": F.round("cost", 8), "cost_each": F.round("cost_each", 10), "cost_month": F.round("cost_month", 8)})
+
+
+@query("""WITH m AS (SELECT label, source AS subject, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings JOIN documents ON doc_id = vec_id QUALIFY i <= 10),
+n AS (SELECT *, trim(t[:150])[:120] AS s FROM m)
+SELECT label AS cluster, string_agg(i || '. ' || coalesce(subject, '') || CASE WHEN s != '' AND s != coalesce(subject, '') THEN chr(10) || '   ' || s ELSE '' END, chr(10) ORDER BY i) AS lines FROM n GROUP BY 1""")
+def label_prompts(spark, d):
+    docs = tab(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("subject"), F.substring(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), 1, 150).alias("body_snippet"))
+    m = tab(spark, d, "embeddings").select("vec_id", F.col("label").alias("cluster")).join(docs, "vec_id")
+    return reports.label_lines(m, "cluster", [F.col("vec_id")])
+
+
+@query("""WITH n AS (SELECT s_suppkey AS person, s_nationkey AS community, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY community)::BIGINT AS total FROM n)
+SELECT * FROM t WHERE n >= greatest(5, total // 40)""")
+def alternative_names(spark, d):
+    n = tab(spark, d, "lineitem").join(tab(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).groupBy(F.col("s_suppkey").alias("person"), F.col("s_nationkey").alias("community")).agg(F.count("*").alias("n"))
+    return reports.alternative_names(n.withColumn("total", F.sum("n").over(Window.partitionBy("community"))), "community", "total")

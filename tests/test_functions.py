@@ -81,11 +81,11 @@ def test_conversations(spark):
 
 
 def test_projects(spark):
-    config = EngineConfig(name_rules=(("alpha", "A"), ("beta", "B")), code_rules=(("1234", "C"),), cluster_rules=(("sites", "S"),))
-    s = spark.createDataFrame([(1, "alpha beta"), (1, "beta"), (1, "beta 2"), (2, "1234_x"), (3, "abc 1234"), (4, "q")], "conversation_id long, subject string")
+    config = EngineConfig(name_rules=(("alpha", "A"), ("beta", "B"), ("am1", "Xm"), ("ab1", "Xb")), code_rules=(("1234", "C"),), cluster_rules=(("sites", "S"),))
+    s = spark.createDataFrame([(1, "alpha beta"), (1, "beta"), (1, "beta 2"), (5, "beta"), (5, "alpha"), (6, "am1"), (6, "ab1"), (2, "1234_x"), (3, "abc 1234"), (4, "q")], "conversation_id long, subject string")
     labels = spark.createDataFrame([(3, "Sites"), (4, None)], "conversation_id long, label string")
     got = {r[0]: (r[1], r[2]) for r in project_of(s, labels, config).collect()}
-    assert got == {1: ("B", "name"), 2: ("C", "code"), 3: ("S", "cluster"), 4: ("unknown", "unknown")}
+    assert got == {1: ("B", "name"), 2: ("C", "code"), 3: ("S", "cluster"), 4: ("unknown", "unknown"), 5: ("A", "name"), 6: ("Xb", "name")}
 
 
 def test_louvain():

@@ -39,3 +39,36 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"stitch_conversations"}))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
+
+
+def test_stitched_against_brute_force(spark):
+    import re
+    from datetime import datetime
+
+    from tessera.plans.queries import stand_in_mails, stitch_conversations
+
+    mails = sorted(stand_in_mails(spark, SF).collect(), key=lambda r: (r["date"], r["id"]))
+    root = {r["id"]: r["id"] for r in mails}
+    of = {r["message_id"]: r["id"] for r in mails}
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    before = {}
+    for r in mails:
+        if r["in_reply_to"] in of:
+            root[find(r["id"])] = find(of[r["in_reply_to"]])
+        subject = re.sub(r"^re: ", "", r["subject"].lower())
+        people = {a for a in [r["from_address"], *r["to_addresses"].split(",")] if a}
+        ts = datetime.fromisoformat(r["date"][:19])
+        if subject in before:
+            i, earlier, others = before[subject]
+            if (ts - earlier).days <= 60 or people & others:
+                root[find(r["id"])] = find(i)
+        before[subject] = (r["id"], ts, people)
+    number = {}
+    for r in mails:
+        number.setdefault(find(r["id"]), len(number) + 1)
+    assert {r["id"]: r["conversation_id"] for r in stitch_conversations(spark, SF).collect()} == {i: number[find(i)] for i in root}
