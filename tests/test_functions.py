@@ -66,6 +66,18 @@ def test_components(spark):
         assert {r["node"]: r["component"] for r in got} == dict(enumerate(root))
 
 
+def test_components_with_a_hub(spark, monkeypatch):
+    from tessera.operators import components
+
+    monkeypatch.setattr(components, "HOT", 1 << 40)
+    edges = spark.range(1, 3000).selectExpr("0L + 7000 AS a", "id AS b").unionAll(spark.range(5000, 5040).selectExpr("id AS a", "id + 1 AS b"))
+    nodes = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "node")
+    both = edges.union(edges.select("b", "a")).toDF("a", "b")
+    assert {r[0] for r in components.spread_edges(both).where("b = 7000").select("salt").distinct().collect()} == set(range(components.SALTS))
+    got = {r["node"]: r["component"] for r in connected_components(nodes, edges).collect()}
+    assert got == {i: 1 for i in [*range(1, 3000), 7000]} | {i: 5000 for i in range(5000, 5041)}
+
+
 def test_conversations(spark):
     rows = [
         (1, "<1>", None, None, "2024-01-01T00:00:00Z", "a@x.example", "b@x.example", "", "Plan"),
