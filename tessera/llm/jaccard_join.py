@@ -327,22 +327,40 @@ def _links(percent: int):
     return run
 
 
+#: Parts into which the rows of a hot node or label are dealt, and the share of all edges (1 / HOT) that makes a node hot.
+SALTS, HOT = 16, 2000
+
+
+def _salted(edges: DataFrame) -> DataFrame:
+    """Both directions of the edges with a ``salt``: edges into a hot node are dealt over SALTS parts by their other end.
+    Fewer than HOT nodes can be hot, which bounds the broadcast."""
+    both = table(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges")
+    least = max(1000, both.count() // HOT)
+    hot = both.groupBy(F.col("b").alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > least).select("hot")
+    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("a"), F.lit(SALTS))).otherwise(0).cast("int")
+    return table(both.join(F.broadcast(hot), both["b"] == hot["hot"], "left").select("a", "b", salt.alias("salt")), "edges")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the least node reachable.
 
     Every round takes the least label among the neighbours, then the label of the label; rounds are written to the
-    shared folder. Rounds grow with the logarithm of the longest shortest path.
+    shared folder. Rounds grow with the logarithm of the longest shortest path. Labels of hot nodes are repeated for each
+    salt, and so are those labels of labels that still move, so that no node and no label meets all its rows in one task.
     """
-    both = table(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges")
+    both = _salted(edges)
     labels = table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    hot = table(both.where("salt > 0").select("b", "salt").distinct(), "hot")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = labels.join(near, "node", "left").select("node", F.least("component", "near").alias("component"))
-        up = new.select(F.col("node").alias("up"), F.col("component").alias("further"))
-        new = new.join(up, new["component"] == up["up"], "left").select("node", F.least("component", "further").alias("component"), "component")
-        new = new.toDF("node", "component", "was")
-        last = labels.withColumnRenamed("component", "old")
-        new = table(new.join(last, "node").select("node", "component", (F.col("component") != F.col("old")).alias("moved")), "labels")
+        more = hot.join(labels, hot["b"] == labels["node"]).select("node", "component", "salt")
+        at = labels.withColumn("salt", F.lit(0)).unionByName(more)
+        near = both.join(at, (both["b"] == at["node"]) & (both["salt"] == at["salt"])).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        new = table(labels.join(near, "node", "left").select("node", "component", F.least("component", "near").alias("best")), "near")
+        used = new.select(F.col("best").alias("up")).distinct()
+        up = new.where("best != node").join(used, F.col("node") == F.col("up")).select("up", F.col("best").alias("further"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+        mine = new.withColumn("mine", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+        new = mine.join(up, (F.col("best") == F.col("up")) & (F.col("mine") == F.col("part")), "left").select("node", F.least("best", "further").alias("next"), "component")
+        new = table(new.select("node", F.col("next").alias("component"), (F.col("next") != F.col("component")).alias("moved")), "labels")
         labels = new.select("node", "component")
         if not new.where("moved").limit(1).count():
             return labels

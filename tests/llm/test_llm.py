@@ -228,6 +228,14 @@ def test_jaccard(spark, monkeypatch, blocks):
     assert got == {i: (len(s), c) for (i, _), s, c in zip(docs, sets, want, strict=True)}
 
 
+def test_hot_components(spark, monkeypatch):
+    edges = spark.range(1, 3000).selectExpr("7000L AS a", "id AS b").unionAll(spark.range(5000, 5040).selectExpr("id AS a", "id + 1 AS b"))
+    monkeypatch.setattr(jaccard_join, "HOT", 1 << 40)
+    assert {r[0] for r in jaccard_join._salted(edges).where("b = 7000").select("salt").distinct().collect()} == set(range(jaccard_join.SALTS))
+    assert {r["node"]: r["component"] for r in jaccard_join.components(edges).collect()} == {i: 1 for i in [*range(1, 3000), 7000]} | {i: 5000 for i in range(5000, 5041)}
+    assert jaccard_join.components(edges.limit(0)).count() == 0
+
+
 def test_tree():
     rng = random.Random(9)
     for _ in range(100):
