@@ -209,4 +209,13 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = table(write_archives(pages(spark, sf_dir)), "warc")
-    return read_archives(archives).where("record_type != 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "offset")
+    return read_archives(archives).where("record_type != 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+q AS (SELECT *, strlen(t) >= 1000 AND page_id < top AS again FROM p)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha1(t) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN top END AS refers_to
+FROM q
+"""
