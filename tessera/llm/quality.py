@@ -53,16 +53,19 @@ def _features(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in columns], list(_FEATURES))
 
 
-#: Ratios that are judged: name, value, sides (upper, or lower too), and the least distance of a threshold from the
-#: median. Distances are counted in FENCE times the spread (third less first quartile, at least SPREAD of the median).
-def ratios(f: str) -> dict[str, tuple[Column, bool, float]]:
+#: Ratios that are judged: sides (upper, or lower too), and the least distance of a threshold from the median.
+#: Distances are counted in FENCE times the spread (third less first quartile, at least SPREAD of the median).
+LIMITS = {"word_length": (True, 6.0), "symbols": (False, 0.1), "dup_lines": (False, 0.5), "repeats": (False, 0.3), "echoes": (False, 0.2)}
+
+
+def ratios(f: str) -> dict[str, Column]:
     words, lines = F.greatest(F.col(f"{f}.n_words"), F.lit(1)), F.greatest(F.col(f"{f}.n_lines"), F.lit(1))
     return {
-        "word_length": (F.col(f"{f}.word_chars") / words, True, 6.0),
-        "symbols": (F.col(f"{f}.n_symbols") / words, False, 0.1),
-        "dup_lines": (F.col(f"{f}.n_dup_lines") / lines, False, 0.5),
-        "repeats": (F.col(f"{f}.n_repeat_words") / words, False, 0.3),
-        "echoes": (F.col(f"{f}.n_echoes") / words, False, 0.2),
+        "word_length": F.col(f"{f}.word_chars") / words,
+        "symbols": F.col(f"{f}.n_symbols") / words,
+        "dup_lines": F.col(f"{f}.n_dup_lines") / lines,
+        "repeats": F.col(f"{f}.n_repeat_words") / words,
+        "echoes": F.col(f"{f}.n_echoes") / words,
     }
 
 
@@ -124,14 +127,14 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     failed = (F.col("features.n_words") < MIN_WORDS) | (100 * F.col("features.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("features.n_words"))
     both = docs.select(*keep, F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.arrow_udf(_features, FEATURES)(text).alias("features")).withColumn("base_failed", failed)
     names = ratios("features")
-    narrow = both.where(~F.col("base_failed")).select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), *[v.alias(n) for n, (v, _, _) in names.items()])
-    limits = table(thresholds(table(narrow, "ratios"), {n: (both_sides, least) for n, (_, both_sides, least) in names.items()}), "thresholds")
+    narrow = both.where(~F.col("base_failed")).select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), *[v.alias(n) for n, v in names.items()])
+    limits = table(thresholds(table(narrow, "ratios"), LIMITS), "thresholds")
     limits = limits.withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     df = both.join(limits, F.col("_lang").eqNullSafe(F.col("t_lang")) & F.col("_source").eqNullSafe(F.col("t_source")), "left")
     inside = F.lit(True)
-    for n, (v, _, _) in names.items():
+    for n, v in names.items():
         inside &= (v <= F.coalesce(f"{n}_high", F.lit(float("inf")))) & (v >= F.coalesce(f"{n}_low", F.lit(float("-inf"))))
     return df.select(*keep, "features", "base_failed", (~F.col("base_failed") & inside).alias("kept"))
 
@@ -139,3 +142,45 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = judged(documents(spark, sf_dir), keep=["doc_id"])
     return df.select("doc_id", *[f"features.{c}" for c in _FEATURES if c not in ("n_lines", "n_echoes")], "base_failed", "kept")
+
+
+_SQL_RATIOS = {"word_length": "word_chars / greatest(n_words, 1)", "symbols": "n_symbols / greatest(n_words, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)", "echoes": "n_echoes / greatest(n_words, 1)"}
+
+
+def _sql() -> str:
+    """The same in DuckDB's SQL: windows from LEAD, and the sketches as counts of buckets."""
+    spaces, level = r"[\x20\x09-\x0D]", "CASE WHEN x.n >= {0} THEN x.q WHEN y.n >= {0} THEN y.q ELSE z.q END".format(MIN_GROUP)
+    window = " || ' ' || ".join(["word", *[f"lead(word, {k}) OVER o" for k in range(1, WINDOW)]])
+    reach = f"greatest({FENCE}::DOUBLE * greatest(q[3] - q[1], {SPREAD}::DOUBLE * q[2]), CASE name {' '.join(f"WHEN '{n}' THEN {least}::DOUBLE" for n, (_, least) in LIMITS.items())} END)"
+
+    def quantiles(name: str, keys: str) -> str:
+        over = f"PARTITION BY {keys}name"
+        at = ", ".join(f"min(v) FILTER (upto >= {p}::DOUBLE * n)" for p in (0.25, 0.5, 0.75))
+        return f"""{name} AS (SELECT {keys}name, max(n) AS n, [{at}] AS q FROM (
+  SELECT {keys}name, CASE WHEN bucket = {ZERO_BUCKET} THEN 0 ELSE exp(bucket * {_LOG_GAMMA!r}::DOUBLE) END AS v, sum(k) OVER ({over} ORDER BY bucket) AS upto, sum(k) OVER ({over}) AS n
+  FROM (SELECT {keys}name, bucket, count(*) AS k FROM cells GROUP BY {keys}name, bucket)) GROUP BY {keys}name)"""
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, regexp_extract_all(t, '{spaces.replace("[", "[^")}+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{spaces.replace("[", "[^")}')) AS lines FROM d),
+w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM s),
+x1 AS (SELECT r, i, word = lag(word) OVER o AS echo, md5({window}) AS whole FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+x2 AS (SELECT *, whole IS NOT NULL AND count(*) OVER (PARTITION BY r, whole) > 1 AS twice FROM x1),
+x3 AS (SELECT r, echo, bool_or(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS inside FROM x2),
+u AS (SELECT r, count(*) FILTER (inside) AS n_repeat_words, count(*) FILTER (echo) AS n_echoes FROM x3 GROUP BY r),
+f AS (SELECT r, doc_id, lang, source, len(words)::BIGINT AS n_words, length(regexp_replace(t, '{spaces}', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[{SYMBOLS.decode()}]', '', 'g')))::BIGINT AS n_symbols,
+      len(lines)::BIGINT AS n_lines, (len(lines) - list_unique(lines))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_echoes, 0) AS n_echoes FROM s LEFT JOIN u USING (r)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f),
+v AS (SELECT r, lang, source, unnest([{', '.join(f"struct_pack(name := '{n}', value := {e})" for n, e in _SQL_RATIOS.items())}], recursive := true) FROM b WHERE NOT base_failed),
+cells AS (SELECT *, CASE WHEN value > 0 THEN round(ln(value) / {_LOG_GAMMA!r}::DOUBLE)::INT ELSE {ZERO_BUCKET} END AS bucket FROM v),
+{quantiles("by_group", "lang, source, ")},
+{quantiles("by_lang", "lang, ")},
+{quantiles("by_all", "")},
+m AS (SELECT x.lang, x.source, name, {level} AS q FROM by_group x JOIN by_lang y USING (name) JOIN by_all z USING (name) WHERE x.lang IS NOT DISTINCT FROM y.lang),
+h AS (SELECT lang, source, name, q[2] + {reach} AS high, CASE WHEN name IN ({', '.join(f"'{n}'" for n, (both, _) in LIMITS.items() if both)}) THEN q[2] - {reach} ELSE '-inf'::DOUBLE END AS low FROM m),
+k AS (SELECT r, bool_and(value <= high AND value >= low) AS fits FROM v JOIN h ON v.name = h.name AND v.lang IS NOT DISTINCT FROM h.lang AND v.source IS NOT DISTINCT FROM h.source GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fits, true) AS kept FROM b LEFT JOIN k USING (r)
+"""
+
+
+OP9_SQL = _sql()
