@@ -428,3 +428,19 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
+
+
+#: All pairs that share a shingle, and their links' closure.
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i, len(words) AS n FROM d),
+g AS (SELECT r, i, n, CASE WHEN n < 5 THEN string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) ELSE word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o END AS shingle
+  FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+s AS MATERIALIZED (SELECT DISTINCT r, md5_number(shingle) AS h FROM g WHERE shingle IS NOT NULL AND (n >= 5 OR i = 1)),
+c AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT x.r AS a, y.r AS b, count(*) AS k FROM s x JOIN s y ON x.h = y.h AND x.r < y.r GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN c x ON x.r = a JOIN c y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+t AS (SELECT r, doc_id AS root FROM d UNION SELECT l.b, t.root FROM t JOIN l ON l.a = t.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, root AS component_id FROM d JOIN (SELECT r, min(root) AS root FROM t GROUP BY r) USING (r) LEFT JOIN c USING (r)
+"""
