@@ -44,7 +44,9 @@ def source_targets(per_source: DataFrame, weights: tuple[float, ...], share: flo
 
 
 def _position(doc_id: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(doc_id)).bitwiseAND((1 << POSITION_BITS) - 1)
+    """The first bits of the MD5 of ``seed:doc_id``, which SQL engines compute alike."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(doc_id).cast("string"))), 1, POSITION_BITS // 4)
+    return F.conv(digits, 16, 10).cast("long")
 
 
 def _plan(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], share: float, max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -142,3 +144,26 @@ def mixed(
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || md5(concat_ws(':', '17', doc_id))[:12])::BIGINT AS place FROM documents
+), g AS (
+  SELECT src, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY src NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY src
+), c AS (
+  SELECT *, 1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE AS total, 2 * source_size::DOUBLE AS cap, 2 * source_size::DOUBLE / w AS ratio FROM g
+), l AS (
+  SELECT *, ratio <= (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS capped
+  FROM c WINDOW o AS (ORDER BY ratio, src NULLS LAST)
+), t AS (
+  SELECT src, source_size, CASE WHEN capped THEN cap ELSE w * ((total - coalesce(sum(cap) FILTER (capped) OVER (), 0)) / sum(w) FILTER (NOT capped) OVER ()) END AS target FROM l
+), q AS (
+  SELECT *, round(target)::BIGINT AS quota, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS whole FROM t
+), b AS (
+  SELECT d.*, source_size, target, whole, quota - whole * source_size AS rest,
+         sum(size) OVER (PARTITION BY d.src ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS below
+  FROM d JOIN q ON d.src IS NOT DISTINCT FROM q.src
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (whole * size + greatest(0, least(size, rest - below)))::BIGINT AS taken FROM b
+"""
