@@ -419,3 +419,18 @@ def test_words_encoded_together():
     flat, lengths = lm_scoring._encode_words(encoding, [w.encode() for w in words])
     each = [encoding.encode_ordinary(" " + w) for w in words]
     assert flat.tolist() == [i for e in each for i in e] and lengths.tolist() == list(map(len, each))
+
+
+def test_oracles(spark):
+    """Operators that SQL can express, over whole tables."""
+    import duckdb
+
+    from tessera.llm import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    for name, sql in registry.oracle_sql().items():
+        df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert sorted(df.columns) == sorted(con.sql(sql).columns)
+        assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, con.sql(sql).select(*df.columns).fetchall())), name
