@@ -35,9 +35,9 @@ IDS, END = 50_257, 50_256
 CLASSES, ALONE, INPUTS, OWN_INPUTS = 48, 32, 512, 384
 #: Width of the model; ids of a window, of which CONTEXT only give context to the others.
 WIDTH, WINDOW, CONTEXT = 16, 32, 8
-#: Training: each round takes every STRIDE-th window of every training document, from a start that moves with the
-#: round and the document, so what it reads grows with the corpus; windows of a step, and the step size.
-ROUNDS, STRIDE, STEP_WINDOWS, RATE = 2, 16, 64, 0.02
+#: Training: each round takes every ROUNDS-th window of every training document, from a start that moves with the
+#: round, so the rounds together take every window once; windows of a step, and the step size.
+ROUNDS, STEP_WINDOWS, RATE = 4, 64, 0.02
 PARAMETERS = {"E": (INPUTS, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "O": (WIDTH, WIDTH), "U": (WIDTH, CLASSES), "G": (INPUTS, CLASSES), "c": (CLASSES,)}
 _FIXED = 1 << 24  # parameters are added up as integers, so their mean doesn't depend on the order
 _MASK = np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32)
@@ -188,28 +188,41 @@ def start(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     return p
 
 
+def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their place in a table of ``size`` rows."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    out = np.zeros((size, values.shape[1]), values.dtype)
+    out[at[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 def gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, dict]:
     """Mean loss and gradients of a batch of windows (n, WINDOW); causal attention with a residual, and a table G of
     what follows each input."""
     n, scale = max(1, int(valid.sum())), np.float32(WIDTH**-0.5)
     x = p["E"][inputs] + p["P"]
     q, k, v = x @ p["Q"], x @ p["K"], x @ p["V"]
-    s = q @ k.transpose(0, 2, 1) * scale + _MASK
-    s = np.exp(s - s.max(-1, keepdims=True))
-    a = s / s.sum(-1, keepdims=True)
+    a = q @ k.transpose(0, 2, 1) * scale
+    a += _MASK
+    a -= a.max(-1, keepdims=True)
+    np.exp(a, out=a)
+    a /= a.sum(-1, keepdims=True)
     o = a @ v
     h = x + o @ p["O"]
-    logits = h @ p["U"] + p["G"][inputs] + p["c"]
-    e = np.exp(logits - logits.max(-1, keepdims=True))
-    y = e / e.sum(-1, keepdims=True)
+    y = h @ p["U"]
+    y += np.take(p["G"] + p["c"], inputs, 0)
+    y -= y.max(-1, keepdims=True)
+    np.exp(y, out=y)
+    y /= y.sum(-1, keepdims=True)
     picked = np.take_along_axis(y, targets[..., None], -1)[..., 0]
     loss = float(-(np.log(picked) * valid).sum() / n)
     np.put_along_axis(y, targets[..., None], (picked - 1)[..., None], -1)
     y *= (valid / n).astype(np.float32)[..., None]
     flat = lambda t: t.reshape(-1, t.shape[-1])
     g = {"c": flat(y).sum(0), "U": flat(h).T @ flat(y)}
-    g["G"] = np.zeros_like(p["G"])
-    np.add.at(g["G"], inputs.ravel(), flat(y))
+    g["G"] = _sums(inputs.ravel(), flat(y), INPUTS)
     dh = y @ p["U"].T
     g["O"] = flat(o).T @ flat(dh)
     do = dh @ p["O"].T
@@ -219,8 +232,7 @@ def gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarra
     g["Q"], g["K"], g["V"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
     dx = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
     g["P"] = dx.sum(0)
-    g["E"] = np.zeros_like(p["E"])
-    np.add.at(g["E"], inputs.ravel(), flat(dx))
+    g["E"] = _sums(inputs.ravel(), flat(dx), INPUTS)
     return loss, g
 
 
@@ -252,21 +264,31 @@ def windows(ids: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary):
     return before[at], vocabulary.classes[ids[at]], valid
 
 
+def round_starts(doc_id, n_ids: int, turn: int) -> np.ndarray:
+    """Where a text's windows of a round begin: the rounds' windows are disjoint, and together all of the text."""
+    first = (zlib.crc32(str(doc_id).encode()) // 5 + turn) % ROUNDS
+    return np.arange(first * WINDOW, n_ids, ROUNDS * WINDOW)
+
+
 def _train(state, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, vocabulary = state.value
-        trainer, waiting, steps = Trainer(p), [], 0
+        trainer, waiting, ready, steps = Trainer(p), [], 0, 0
         for b in batches:
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(raw, np.uint16)
-                first = (zlib.crc32(str(doc_id).encode()) // 5 + turn * (STRIDE // ROUNDS)) % STRIDE
-                starts = np.arange(first * WINDOW, len(ids), STRIDE * WINDOW)
+                starts = round_starts(doc_id, len(ids), turn)
                 if not len(starts):
-                    starts = np.array([first % -(-len(ids) // WINDOW) * WINDOW])
+                    continue
                 waiting.append(windows(ids, starts, vocabulary))
-                if sum(len(w[0]) for w in waiting) >= STEP_WINDOWS:
-                    trainer.step(*[np.concatenate(x) for x in zip(*waiting, strict=True)])
-                    waiting, steps = [], steps + 1
+                ready += len(starts)
+                if ready >= STEP_WINDOWS:
+                    whole = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+                    for i in range(0, ready - STEP_WINDOWS + 1, STEP_WINDOWS):
+                        trainer.step(*[x[i : i + STEP_WINDOWS] for x in whole])
+                        steps += 1
+                    ready %= STEP_WINDOWS
+                    waiting = [tuple(x[len(x) - ready :] for x in whole)] if ready else []
         if waiting:
             trainer.step(*[np.concatenate(x) for x in zip(*waiting, strict=True)])
             steps += 1

@@ -380,6 +380,29 @@ def test_scores_each_id_once():
         assert math.isclose((total + v.inside[ids].sum()) / math.log(10), s.score([ids, ids])[1], rel_tol=1e-4)
 
 
+def test_rounds_take_every_window_once():
+    for doc_id in (None, 1, 2, 77):
+        for n in (1, 32, 33, 64, 128, 256, 500, 5000):
+            got = np.concatenate([lm_scoring.round_starts(doc_id, n, turn) for turn in range(lm_scoring.ROUNDS)])
+            assert sorted(got.tolist()) == list(range(0, n, lm_scoring.WINDOW))
+
+
+def test_training_steps_take_every_window(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(lm_scoring.Trainer, "step", lambda self, inputs, targets, valid: seen.append(int(valid.sum())))
+    v = lm_scoring.Vocabulary(np.arange(lm_scoring.IDS))
+    state = types.SimpleNamespace(value=(lm_scoring.start(v), v))
+    sizes = [1, 31, 64, 256, 700, 9000, 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([np.full(n, 7, np.uint16).tobytes() for n in sizes])], ["doc_id", "data"])
+    for turn in range(lm_scoring.ROUNDS):
+        list(lm_scoring._train(state, turn)([batch]))
+    assert sum(seen) == sum(sizes)
+
+
 def test_lm_base(spark, odd, none):
     rows = odd.collect()
     tokens = {i: (r.text or "").encode().lower().split() + [b" "] for i, r in enumerate(rows)}
