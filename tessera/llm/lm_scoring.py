@@ -1,8 +1,8 @@
 """Language-model scores: a smoothed unigram model over words, and a causal self-attention model over subword ids.
 
 1. ``_learn_counts`` reads every text once and writes its subword ids in blocks of some megabytes of text, with the
-   words of each block and their training counts, dealt out by hash. A text's ids are those of its words, each with a
-   space before it, so every different word of a block is encoded once; white space counts as one space.
+   words of each block and their training counts, dealt out by hash. A text's ids are those of the whole text, white
+   space included; they are put together from pieces that the tokenizer never joins, each encoded once in a block.
 2. Buckets add the counts up and answer each block with its own words' totals, so no task holds the vocabulary.
 3. The attention model is trained by local descent in every task on windows of all training documents; the tasks'
    parameters are averaged after each round. An id's probability is that of its class, which the model gives, times
@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -55,10 +56,18 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
 
 
+#: White space as the tokenizer's pattern has it; that of bytes.split is the part within ASCII.
+_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Pieces at whose ends the tokenizer's pattern always cuts: a word with the space before it, white space up to its
+#: last character before a word, and that character where it is no space.
+_PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
+_OTHER_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 class _Index(dict):
-    """Numbers of words in the order in which they are first asked for."""
+    """Numbers of pieces in the order in which they are first asked for."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         return n
 
@@ -77,6 +86,22 @@ def _encode_words(encoding, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     return np.fromiter(chain.from_iterable(each), np.uint16), np.fromiter(map(len, each), np.int64, len(words))
 
 
+def _encode_pieces(encoding, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces, end to end, and how many each has: words after a space as one text, others one by one."""
+    after, others = [], []
+    for i, x in enumerate(pieces):
+        (after if x[0] == " " and len(x) > 1 and not x.isspace() else others).append(i)
+    words, sizes = _encode_words(encoding, [pieces[i][1:].encode() for i in after])
+    each = encoding.encode_ordinary_batch([pieces[i] for i in others], num_threads=1)
+    lengths = np.zeros(len(pieces), np.int64)
+    lengths[after], lengths[others] = sizes, list(map(len, each))
+    first, flat = np.cumsum(lengths) - lengths, np.empty(int(lengths.sum()), np.uint16)
+    for at, ids in ((after, words), (others, np.fromiter(chain.from_iterable(each), np.uint16))):
+        n = lengths[at]
+        flat[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+    return flat, lengths
+
+
 @lru_cache(1)
 def _opens_word(encoding) -> np.ndarray:
     return np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(END)] + [False])
@@ -87,21 +112,23 @@ def _learn_counts(ranks_path: str, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, block = _ranks(ranks_path), TaskContext.get().partitionId() << 24
-        index, held_docs, size = _Index(), [], 0  # of the block: words, (doc_id, held out, word numbers), bytes
+        index, held_docs, size = _Index(), [], 0  # of the block: pieces, (doc_id, held out, piece numbers), bytes
+        apart: dict[bytes, int] = {}  # training counts of words of texts whose pieces end inside a word
         ids_seen = np.zeros(IDS, np.int64)
 
         def close() -> Iterator[pa.RecordBatch]:
-            words = list(index)
-            flat, lengths = _encode_words(encoding, words)
+            flat, lengths = _encode_pieces(encoding, list(index))
             first = np.cumsum(lengths) - lengths
-            counts, rows = np.zeros(len(words), np.int64), []
-            for doc_id, held, numbers in held_docs:
+            counts, rows = np.zeros((2, len(index)), np.int64), []  # of pieces, and of those that are words
+            for doc_id, held, numbers, odd in held_docs:
                 n = lengths[numbers]
                 ids = np.empty(int(n.sum()) + 1, np.uint16)
                 ids[:-1] = flat[np.repeat(first[numbers] - (np.cumsum(n) - n), n) + np.arange(len(ids) - 1)]
                 ids[-1] = END
                 if not held:
-                    np.add.at(counts, numbers, 1)
+                    np.add.at(counts[0], numbers, 1)
+                    if not odd:
+                        np.add.at(counts[1], numbers, 1)
                     ids_seen[END] += 1
                 rows.append((0, block, None, doc_id, held, None, ids.tobytes(), None))
                 if len(rows) == 512:
@@ -109,11 +136,11 @@ def _learn_counts(ranks_path: str, buckets: int):
                     rows = []
             if rows:
                 yield _rows(rows)
-            ids_seen[:] += np.bincount(flat, np.repeat(counts, lengths), IDS).astype(np.int64)
-            lower: dict[bytes, int] = {}
-            for w, n in zip(words, counts.tolist(), strict=True):
-                w = w.lower()
-                lower[w] = lower.get(w, 0) + n
+            ids_seen[:] += np.bincount(flat, np.repeat(counts[0], lengths), IDS).astype(np.int64)
+            lower = dict(apart)
+            for piece, n in zip(index, counts[1].tolist(), strict=True):
+                for w in piece.encode().lower().split():  # none in white space
+                    lower[w] = lower.get(w, 0) + n
             by: list[list[bytes]] = [[] for _ in range(buckets)]
             for w in lower:
                 by[xxhash.xxh3_64_intdigest(w) % buckets].append(w)
@@ -127,12 +154,17 @@ def _learn_counts(ranks_path: str, buckets: int):
 
         for b in batches:
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                words = (raw or b"").split()
-                held_docs.append((doc_id, held_out(doc_id), np.fromiter(map(index.__getitem__, words), np.int32, len(words))))
+                text, held = (raw or b"").decode("utf-8", "replace"), held_out(doc_id)
+                pieces = _PIECE.findall(text)
+                odd = not text.isascii() and _OTHER_SPACE.search(text) is not None
+                if odd:
+                    for w in text.encode().lower().split():
+                        apart[w] = apart.get(w, 0) + (not held)
+                held_docs.append((doc_id, held, np.fromiter(map(index.__getitem__, pieces), np.int32, len(pieces)), odd))
                 size += len(raw or b"") + 1
                 if size >= BLOCK_TEXT:
                     yield from close()
-                    index, held_docs, size, block = _Index(), [], 0, block + 1
+                    index, held_docs, apart, size, block = _Index(), [], {}, 0, block + 1
         if held_docs:
             yield from close()
         some = np.flatnonzero(ids_seen)

@@ -444,6 +444,23 @@ def test_words_encoded_together():
     assert flat.tolist() == [i for e in each for i in e] and lengths.tolist() == list(map(len, each))
 
 
+def test_pieces_give_ids_of_whole_text():
+    encoding, rng = packing._ranks(files()[1]), random.Random(12)
+    texts = ["a\n\tb  c\n\n d \n", "", " ", "\n", "a\xa0b \xa0c\xa0\n\nd", "x\x1cy \x1f z\u2003 \u2003w", "don't  'll\r\n9 9", "é漢\u3000 🙂\x85q"]
+    texts += ["".join(rng.choice([" ", "\n", "\t", "\xa0", "\x1c", "a", "'s", "é", "7", "#"]) for _ in range(rng.randrange(40))) for _ in range(500)]
+    for text in texts:
+        pieces = lm_scoring._PIECE.findall(text)
+        flat, lengths = lm_scoring._encode_pieces(encoding, pieces)
+        assert "".join(pieces) == text and flat.tolist() == encoding.encode_ordinary(text) and len(lengths) == len(pieces)
+
+
+def test_lm_layout(spark):
+    texts = ["a b c d", "a b\n\tc  d", "a b c d\n", "a\xa0b C d"]
+    rows = {r.doc_id: r for r in lm_scoring.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len({r.score for r in rows.values()}) == 4 and rows[0].base_score == rows[1].base_score == rows[2].base_score
+    assert [rows[i].n_tokens for i in range(4)] == [5, 5, 5, 4]
+
+
 def test_oracles(spark):
     """Operators that SQL can express, over whole tables."""
     import duckdb
