@@ -21,8 +21,8 @@ KINDS = ("assign", "access", "hex", "guess")
 
 #: Contexts whose values are judged by guess cost: assignments to credential names, and the password of a url.
 CONTEXT = re.compile(
-    r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)[\"']?[\x20\t]{0,4}(?::=|=>|[:=])[\x20\t]{0,4}(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"'<>,;]{4,}))"
-    r"|bearer[\x20\t]{1,4}([A-Za-z0-9+/_.=~-]{4,})|://[^\s/:@]{1,64}:([^\s/@]{4,})@",
+    r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)[\"']?[\x20\t]*+(?::=|=>|[:=])[\x20\t]*+(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"'<>,;]{4,}))"
+    r"|bearer[\x20\t]++([A-Za-z0-9+/_.=~-]{4,})|://[^\s/:@]{1,64}:([^\s/@]{4,})@",
     re.I | re.A,
 )
 #: Java pattern of a text that may hold anything of the above; others never leave the JVM.
@@ -45,7 +45,10 @@ KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _KEYS = {c: (r, i + r / 2) for r, row in enumerate(KEY_ROWS) for i, c in enumerate(row)}
 _NEXT = {a + b for a in _KEYS for b in _KEYS if a != b and abs(_KEYS[a][0] - _KEYS[b][0]) <= 1 and abs(_KEYS[a][1] - _KEYS[b][1]) <= 1}
 _WALK_START, _WALK_STEP = math.log10(47), math.log10(3.5)
-_UNKNOWN_WORD = math.log10(500_000)
+#: A run of letters that isn't in COMMON: the guesses of a word of up to _WORD letters, if it is spelt like one; each
+#: further letter costs as in brute force.
+_UNKNOWN_WORD, _WORD = math.log10(500_000), 12
+_VOWELS = frozenset("aeiouy")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 _LETTERS = re.compile(r"[A-Z]?[a-z]{4,}|[A-Z]{5,}")
 _LONGEST_WORD, _LONGEST_PERIOD, _SEGMENT = max(map(len, COMMON)), 8, 0.3
@@ -56,6 +59,14 @@ def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
+def _spelt(word: str) -> bool:
+    """Whether letters may be a word: a vowel share of a quarter to two thirds, no four consonants or vowels in a
+    row, and no letter three times in a row."""
+    vowels = "".join("v" if c in _VOWELS else "c" for c in word)
+    n = vowels.count("v")
+    return 4 * n >= len(word) and 3 * n <= 2 * len(word) and "cccc" not in vowels and "vvvv" not in vowels and not any(c * 3 in word for c in set(word))
+
+
 @lru_cache(100_000)
 def guess_cost(value: str) -> float:
     """log10 of the guesses of the cheapest segmentation into words, dates, repeats, keyboard walks and brute force.
@@ -75,7 +86,8 @@ def guess_cost(value: str) -> float:
                 varied = (low[i:j] not in WORD_RANKS) + (value[i:j] != low[i:j])
                 segments[j].append((i, math.log10(rank + 1) + 0.6 * varied))
     for m in _LETTERS.finditer(value):
-        segments[m.end()].append((m.start(), _UNKNOWN_WORD))
+        if _spelt(m[0].lower()):
+            segments[m.end()].append((m.start(), _UNKNOWN_WORD + max(0, len(m[0]) - _WORD) * math.log10(26)))
     for m in _DATE.finditer(value):
         segments[m.end()].append((m.start(), math.log10(120) + (m.end() - m.start() > 4) * math.log10(365)))
     for period in range(1, min(_LONGEST_PERIOD, n // 2) + 1):

@@ -56,6 +56,19 @@ def test_scan():
     assert text[got[0][1] : got[0][2]] == 'Password="abcd1234' and text[got[4][1] : got[4][2]] == "gT7#qLw9!rB2"
 
 
+def test_letter_secrets():
+    for text in ("pwd: qkzvhxwmtrjpnbdf", "bearer qkzvhxwmtrjpnbdf", "x://user:QKZVHXWMTRJP@host", "passphrase: " + "qkzvhxwmtrjpnbdf" * 4, "pwd: qkzvhxwmtr47"):
+        assert [k for k, *_ in secrets.scan(text)] == ["guess"], text
+    for text in ("pwd: window", "access_key: Garden", "bearer morning", "passphrase: quietriver"):
+        assert secrets.scan(text) == [], text
+    assert secrets.guess_cost("banalitemoruda") < secrets.guess_cost("banalitemorudanovelatimo")
+
+
+def test_wide_settings():
+    for text in ("pwd:      gT7#qLw9!rB2", "access_key\t\t\t\t\t\t=      gT7#qLw9!rB2", "bearer         gT7qLw9rB2xZ4k"):
+        assert [k for k, *_ in secrets.scan(text)] == ["guess"], text
+
+
 def test_secrets_odd(odd, none):
     assert secrets.with_secrets(none).count() == 0
     assert secrets.with_secrets(odd).where("size(secrets) > 0").count() == 0
