@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import centroids, cosine, dot
+from ..functions.vectors import centroids, cosine
 
 
 def vector_top_k(df: DataFrame, key: str, vector: str, query: list[float], k: int = 100) -> DataFrame:
@@ -83,19 +83,39 @@ def topics(df: DataFrame, key: str, vector: str, centers: DataFrame, deviations:
     return sims.where("ok OR (NOT any AND rank = 1)").withColumn("low_confidence", (~F.col("any")).cast("int")).select(*fields)
 
 
-def density_clusters(df: DataFrame, key: str, vector: str, threshold: float, min_size: int, planes: int = 8, seed: int = 3) -> DataFrame:
-    """(id, cluster, confidence), cluster null for noise: components of rows at least ``threshold`` alike, of ``min_size``
-    rows or more. Stands in for hierarchical density clustering. Rows meet in cells of random hyperplanes, which loses
-    links across cells; the threshold and the planes trade recall for size."""
+#: Rows of a block of vectors, whose similarities with another block are one matrix.
+BLOCK_ROWS = 1000
+
+
+def _links(threshold: float):
+    def unit(column, i: int) -> np.ndarray:
+        v = np.asarray(column[i].as_py(), np.float64)
+        lengths = np.linalg.norm(v, axis=1, keepdims=True)
+        return v / np.where(lengths > 0, lengths, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                same = b.column(0)[i].as_py() == b.column(3)[i].as_py()
+                sims = unit(b.column(2), i) @ unit(b.column(5), i).T
+                x, y = np.nonzero((np.triu(sims, 1) if same else sims) >= threshold)
+                yield pa.RecordBatch.from_arrays([b.column(k)[i].values.take(pa.array(at)) for k, at in ((1, x), (4, y))], ["a", "b"])
+
+    return run
+
+
+def density_clusters(df: DataFrame, key: str, vector: str, threshold: float, min_size: int) -> DataFrame:
+    """(id, cluster, confidence), cluster null for noise: components of rows at least ``threshold`` (above 0) alike, of
+    ``min_size`` rows or more. Stands in for hierarchical density clustering. All pairs are compared, block by block, so
+    no link is lost; the work grows with the square of the rows."""
     from .components import connected_components, written
 
-    width = len(df.where(F.col(vector).isNotNull()).select(vector).first()[0])
-    normals = np.random.default_rng(seed).standard_normal((planes, width))
-    cell = F.concat(*[(dot(F.col("v"), F.array(*[F.lit(float(x)) for x in n])) > 0).cast("int").cast("string") for n in normals])
-    rows = written(df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v")).withColumn("cell", cell), "cells")
-    a, b = rows.alias("a"), rows.alias("b")
-    close = a.join(b, F.col("a.cell") == F.col("b.cell")).where((F.col("a.id") < F.col("b.id")) & (cosine(F.col("a.v"), F.col("b.v")) >= threshold))
-    labels = connected_components(rows.select(F.col("id").alias("node")), close.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
+    rows = written(df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v")), "vectors")
+    kind, count = rows.schema["id"].dataType.simpleString(), -(-rows.count() // BLOCK_ROWS) or 1
+    blocks = written(rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(count)).alias("n")).agg(F.collect_list(F.struct("id", "v")).alias("x")).select("n", F.col("x.id").alias("ids"), F.col("x.v").alias("vs")), "blocks")
+    both = blocks.join(blocks.select(*[F.col(c).alias(f"{c}_b") for c in blocks.columns]), F.col("n") <= F.col("n_b"))
+    close = written(both.mapInArrow(_links(threshold), f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links").where("a < b")
+    labels = connected_components(rows.select(F.col("id").alias("node")), close)
     sizes = labels.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
     members = labels.join(sizes, "component", "left").select(F.col("node").alias("id"), F.when(F.col("n").isNotNull(), F.col("component")).alias("cluster"))
     centers = centroids(members.join(rows, "id").where("cluster IS NOT NULL"), "cluster", "v").withColumnRenamed("cluster", "c")

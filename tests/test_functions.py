@@ -150,3 +150,23 @@ def test_bm25_equals_fts5(spark):
     want = {i - 1: r for i, r in con.execute("SELECT rowid, rank FROM f WHERE f MATCH 'dom OR ulica'")}
     got = {r["id"]: r["rank"] for r in bm25(spark.createDataFrame(docs, "id long, t string"), "id", ["t"], ["dom", "ulica"]).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_density_clusters_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from tessera.operators import topics
+
+    monkeypatch.setattr(topics, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(7)
+    centers = rng.standard_normal((6, 64))
+    v = np.vstack([c + 0.8 * rng.standard_normal((10, 64)) for c in centers] + [rng.standard_normal((20, 64)), np.zeros((1, 64))])
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    root = list(range(len(v)))
+    for _ in range(len(v)):
+        for i, j in zip(*np.nonzero(np.triu(unit @ unit.T, 1) >= 0.5), strict=True):
+            root[i] = root[j] = min(root[i], root[j])
+    want = {i: root[i] if root.count(root[i]) >= 5 else None for i in range(len(v))}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = {r["id"]: r["cluster"] for r in topics.density_clusters(df, "id", "v", 0.5, 5).collect()}
+    assert got == want and len(set(want.values())) > 3
