@@ -71,7 +71,7 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """Headers, block and end of the record at ``at``; the version line, length, terminator and block digest are checked."""
     if not data.startswith(b"WARC/1.", at):
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise ValueError("no end of headers")
     headers = {}
@@ -93,6 +93,43 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     return headers, block, stop + 4
 
 
+def _partial(data: memoryview, at: int) -> bytes:
+    """What decompresses of the damaged member at ``at``, up to the damage."""
+    z, parts, pos = zlib.decompressobj(31), [], at
+    while not z.eof and pos < len(data):
+        before = z.copy()
+        try:
+            parts.append(z.decompress(data[pos : pos + _STEP]))
+        except zlib.error:
+            try:
+                for i in range(pos, min(pos + _STEP, len(data))):
+                    parts.append(before.decompress(data[i : i + 1]))
+            except zlib.error:
+                pass
+            break
+        pos += _STEP
+    return b"".join(parts)
+
+
+def _sound(content: bytes, whole: bool) -> tuple[list[tuple[dict, bytes]], str]:
+    """Records of a member's content, sought from version line to version line, and the first reason for one lost.
+
+    Where the member isn't whole, only records with a block digest count, and not one that ends where the content does.
+    """
+    records, at, reason = [], 0, ""
+    while 0 <= at < len(content):
+        try:
+            headers, block, end = _parse(content, at)
+            if not whole and (end == len(content) or "warc-block-digest" not in headers):
+                raise ValueError("unchecked record")
+            records.append((headers, block))
+            at = end
+        except ValueError as e:
+            reason = reason or str(e)[:80]
+            at = content.find(b"WARC/1.", at + 1)
+    return records, reason
+
+
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 
 
@@ -104,15 +141,18 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
     """
     view, pos, lost, reason = memoryview(data), 0, None, ""
     while pos < len(data):
+        damage = ""  # of a member some of whose records are lost
         try:
             if data.startswith(b"\x1f\x8b", pos):
-                content, end = _member(view, pos)
-                records, at = [], 0
-                while at < len(content):
-                    headers, block, at = _parse(content, at)
-                    records.append((headers, block))
+                try:
+                    content, end = _member(view, pos)
+                    records, damage = _sound(content, True)
+                except (ValueError, zlib.error) as e:
+                    records, damage = _sound(_partial(view, pos), False)[0], str(e)[:80]
+                    m = _START.search(data, pos + 1)
+                    end = m.start() if m else len(data)
                 if not records:
-                    raise ValueError("empty member")
+                    raise ValueError(damage or "empty member")
             else:
                 headers, block, end = _parse(data, pos)
                 records = [(headers, block)]
@@ -127,6 +167,8 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
             lost = None
         for headers, block in records:
             yield Record(pos, headers, block)
+        if damage:
+            lost, reason = pos, damage
         pos = end
     if lost is not None:
         yield Gap(lost, len(data), reason)

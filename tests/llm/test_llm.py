@@ -138,6 +138,21 @@ def test_salvage():
     assert sum(isinstance(g, warc.Record) for g in warc.read_archive(broken)) >= 2
 
 
+def test_salvage_inside_members():
+    import gzip
+
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    blocks = [random.Random(i).randbytes(90_000) for i in range(4)]
+    plain = [gzip.decompress(warc.record(i, "u", b, sha(b))) for i, b in enumerate(blocks)]
+    ids = lambda data: [int(g.headers["warc-record-id"][10:-1]) for g in warc.read_archive(data) if isinstance(g, warc.Record)]
+    bad = plain[1][:5000] + b"?" + plain[1][5001:]
+    data = gzip.compress(plain[0] + bad + plain[2]) + gzip.compress(plain[3])
+    assert ids(data) == [0, 2, 3] and sum(isinstance(g, warc.Gap) for g in warc.read_archive(data)) == 1
+    assert ids(gzip.compress(b"".join(plain))[:-1000]) == [0, 1, 2]
+    long = "http://a/" + "x" * (2 << 20)
+    assert [g.headers["warc-target-uri"] for g in warc.read_archive(warc.record(1, long, b"p", sha(b"p")))] == [long]
+
+
 # ---- MPEG audio
 
 
