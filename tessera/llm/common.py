@@ -23,21 +23,63 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. It is set here only where it is unset and all
+    runs in one process (tests); on a cluster an unset folder is an error, as a local one would be seen by nobody else."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Where tables of the running application lie, until they are dropped or swept.
+_written: set[str] = set()
+
+
 def table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _written.add(at)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(conf).delete(path, True)
+    _written.discard(at)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that nothing still to be computed reads, such as those of a loop's round before."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_at)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that operators have written so far; results that still read them must have been stored."""
+    for at in list(_written):
+        _delete(spark, at)
+
+
+def fresh(names: list[str], *wanted: str) -> dict[str, str]:
+    """A private column name for each of ``wanted`` that clashes with none of ``names``, whatever their case."""
+    taken = {n.lower() for n in names}
+    out = {}
+    for w in wanted:
+        name = f"_{w}"
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out[w] = name
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

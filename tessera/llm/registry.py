@@ -5,7 +5,7 @@ from __future__ import annotations
 from .jaccard_join import OP6_SQL, op6
 from .lm_scoring import op2
 from .mixing import OP7_SQL, op7
-from .mpeg_audio import op4
+from .mpeg_audio import OP4_SQL, op4
 from .packing import op5
 from .quality import OP9_SQL, op9
 from .secrets import op1
@@ -30,4 +30,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_warc_salvage": OP3_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_mixing": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_url_filters": OP10_SQL}
+    return {"op3_warc_salvage": OP3_SQL, "op4_mpeg_audio": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_mixing": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_url_filters": OP10_SQL}
