@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python workers: rows are whole documents, so few of them make a batch.
@@ -108,6 +108,11 @@ def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
     return spark.range(1).select(F.inline(F.array(*structs) if structs else empty))
 
 
+def quoted(*names: str) -> list[Column]:
+    """Columns of these names, whatever characters they hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 class Tidy:
     """A function for mapInArrow that gives memory back when its partition ends, as Python workers live on between tasks."""
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, prepare, table
+from .common import documents, fresh, prepare, quoted, table
 
 # Fixed values of the base rules.
 SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = b"#*$%&|<>", 8, 20, 30
@@ -55,7 +55,8 @@ def _features(texts: pa.Array) -> pa.Array:
 
 #: Ratios that are judged: sides (upper, or lower too), and the least distance of a threshold from the median.
 #: Distances are counted in FENCE times the spread (third less first quartile, at least SPREAD of the median).
-LIMITS = {"word_length": (True, 6.0), "symbols": (False, 0.1), "dup_lines": (False, 0.5), "repeats": (False, 0.3), "echoes": (False, 0.2)}
+#: The floors only matter where a sketch has (almost) no spread: most documents hold no symbol, repeated line or window.
+LIMITS = {"word_length": (True, 1.0), "symbols": (False, 0.1), "dup_lines": (False, 0.4), "repeats": (False, 0.2), "echoes": (False, 0.04)}
 
 
 def ratios(f: str) -> dict[str, Column]:
@@ -117,26 +118,33 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 
     A document fails the base rules if it has under MIN_WORDS words or over MAX_REPEAT_PERCENT of its words in repeated
     windows. Others are kept unless a ratio lies outside the thresholds of their language and source: the median
-    plus or minus FENCE spreads, from sketches of all documents that pass the base rules.
+    plus or minus FENCE spreads, from sketches of all documents that pass the base rules. Texts are read once: features
+    are written beside the columns that are kept, and sketches and verdicts come from there.
 
     Null and empty texts have no words and fail; null languages and sources are groups of their own; repeated rows
-    count each; an empty table stays empty; columns named features, base_failed or kept are replaced.
+    count each; texts of any length are judged whole; an empty table stays empty; columns named features, base_failed
+    or kept are replaced, and other names of columns don't matter.
     """
     prepare(docs.sparkSession)
-    keep = [c for c in (keep or docs.columns) if c not in ("features", "base_failed", "kept")]
-    failed = (F.col("features.n_words") < MIN_WORDS) | (100 * F.col("features.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("features.n_words"))
-    both = docs.select(*keep, F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.arrow_udf(_features, FEATURES)(text).alias("features")).withColumn("base_failed", failed)
-    names = ratios("features")
-    narrow = both.where(~F.col("base_failed")).select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), *[v.alias(n) for n, v in names.items()])
-    limits = table(thresholds(table(narrow, "ratios"), LIMITS), "thresholds")
-    limits = limits.withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    keep = [c for c in (keep or docs.columns) if c.lower() not in ("features", "base_failed", "kept")]
+    own = fresh(keep, "lang", "source", "features", "failed", "t_lang", "t_source", "limits")
+    f = own["features"]
+    both = docs.select(*quoted(*keep), quoted(lang)[0].alias(own["lang"]), quoted(source)[0].alias(own["source"]), F.arrow_udf(_features, FEATURES)(*quoted(text)).alias(f))
+    failed = (F.col(f"{f}.n_words") < MIN_WORDS) | (100 * F.col(f"{f}.n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{f}.n_words"))
+    both = table(both.withColumn(own["failed"], failed), "features")
+    names = ratios(f)
+    narrow = both.where(~F.col(own["failed"])).select(F.col(own["lang"]).alias("lang"), F.col(own["source"]).alias("source"), *[v.alias(n) for n, v in names.items()])
+    limits = table(thresholds(narrow, LIMITS), "thresholds")
+    bounds = F.struct(*[f"{n}_{side}" for n in names for side in ("low", "high")]).alias(own["limits"])
+    limits = limits.select(F.col("lang").alias(own["t_lang"]), F.col("source").alias(own["t_source"]), bounds)
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
-    df = both.join(limits, F.col("_lang").eqNullSafe(F.col("t_lang")) & F.col("_source").eqNullSafe(F.col("t_source")), "left")
+    df = both.join(limits, F.col(own["lang"]).eqNullSafe(F.col(own["t_lang"])) & F.col(own["source"]).eqNullSafe(F.col(own["t_source"])), "left")
     inside = F.lit(True)
     for n, v in names.items():
-        inside &= (v <= F.coalesce(f"{n}_high", F.lit(float("inf")))) & (v >= F.coalesce(f"{n}_low", F.lit(float("-inf"))))
-    return df.select(*keep, "features", "base_failed", (~F.col("base_failed") & inside).alias("kept"))
+        low, high = (F.col(f"{own['limits']}.{n}_{side}") for side in ("low", "high"))
+        inside &= (v <= F.coalesce(high, F.lit(float("inf")))) & (v >= F.coalesce(low, F.lit(float("-inf"))))
+    return df.select(*quoted(*keep), F.col(f).alias("features"), F.col(own["failed"]).alias("base_failed"), (~F.col(own["failed"]) & inside).alias("kept"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_rows, pages
+from .common import fresh, local_rows, pages, quoted
 
 #: Hexadecimal digits of the short prefix that the equi-join uses.
 PREFIX_DIGITS = 8
-#: Rule tables up to this many rows are broadcast.
-BROADCAST_RULES = 100_000
+#: Bytes of the rules' expressions up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Parts over which the expressions of a frequent short digest are dealt where rules aren't broadcast.
+SALTS = 16
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
@@ -32,15 +34,20 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     A url becomes one expression for each of its host suffixes (no more labels than any rule has) and each prefix of
     its path whose length some rule's path has. Expressions meet the rules on a short prefix of their SHA-256; equal
     full digests confirm. The longest rule wins, then the one with the longer host, then block. Matching is done once
-    for each different url that has an expression, so a frequent url costs no more than a rare one.
+    for each different url that has an expression, so a frequent url costs no more than a rare one. Rules of more than
+    BROADCAST_BYTES are joined by shuffling, each repeated for SALTS parts, as a suffix like ``com`` is in most urls.
 
-    Null or malformed urls have an empty host and path and get the default; repeated rows are judged alike; an empty
-    table, or no rules, gives no matches; columns of the input named host, path, rule or verdict are replaced.
+    Null or malformed urls have an empty host and path and get the default; urls of any length are judged whole;
+    repeated rows are judged alike; an empty table, or no rules, gives no matches; columns of the input named host,
+    path, rule or verdict are replaced, and other names of columns don't matter.
     """
-    host, path = host_and_path(F.col(url))
-    frame = urls.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    keep = [c for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    own = fresh(keep, "host", "path", "k_host", "k_path", "won")
+    host, path = host_and_path(quoted(url)[0])
+    frame = urls.select(*quoted(*keep), host.alias(own["host"]), path.alias(own["path"]))
     labels = F.size(F.split("rule_host", "\\."))
-    shape = rules.agg(F.max(labels).alias("labels"), F.collect_set(F.length("rule_path")).alias("lengths"), F.count("*").alias("n")).first()
+    weight = F.octet_length("rule_host") + F.octet_length("rule_path") + 128
+    shape = rules.agg(F.max(labels).alias("labels"), F.collect_set(F.length("rule_path")).alias("lengths"), F.sum(weight).alias("bytes")).first()
     lengths = F.array(*[F.lit(x) for x in sorted(shape["lengths"])]) if shape["lengths"] else F.array().cast("array<int>")
     digest = lambda h, p: F.sha2(F.concat(h, F.lit("\0"), p), 256)
     known = rules.where("rule_host IS NOT NULL AND rule_path IS NOT NULL").select(
@@ -51,15 +58,20 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(shape["labels"] or 1))), lambda n: F.array_join(F.slice(parts, -n, n), "."))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     expressions = (
-        frame.where("host != ''").select("host", "path").distinct()
+        frame.where(F.col(own["host"]) != "").select(F.col(own["host"]).alias("host"), F.col(own["path"]).alias("path")).distinct()
         .withColumn("suffix", F.explode(suffixes)).withColumn("prefix", F.explode(prefixes))
         .withColumn("digest", digest(F.col("suffix"), F.col("prefix"))).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     )
-    found = expressions.join(F.broadcast(known) if shape["n"] <= BROADCAST_RULES else known, "short").where("digest = full")
+    if (shape["bytes"] or 0) <= BROADCAST_BYTES:
+        found = expressions.join(F.broadcast(known), "short")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        found = expressions.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(known.withColumn("salt", salts), ["short", "salt"])
     best = F.max_by(F.struct("rule", F.col("rule_verdict")), F.struct(F.length("rule"), "host_length", F.col("rule_verdict")))
-    won = found.groupBy("host", "path").agg(best.alias("won"))
-    return frame.join(won, ["host", "path"], "left").select(
-        *[c for c in frame.columns if c not in ("host", "path")], "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.rule_verdict", F.lit(default)).alias("verdict")
+    won = found.where("digest = full").groupBy(F.col("host").alias(own["k_host"]), F.col("path").alias(own["k_path"])).agg(best.alias(own["won"]))
+    same = (F.col(own["host"]) == F.col(own["k_host"])) & (F.col(own["path"]) == F.col(own["k_path"]))
+    return frame.join(won, same, "left").select(
+        *quoted(*keep), F.col(own["host"]).alias("host"), F.col(own["path"]).alias("path"), F.col(f"{own['won']}.rule").alias("rule"), F.coalesce(f"{own['won']}.rule_verdict", F.lit(default)).alias("verdict")
     )
 
 

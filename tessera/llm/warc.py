@@ -208,7 +208,10 @@ def write_archives(frame: DataFrame, page_id: str = "page_id", url: str = "url",
     groups = narrow.groupBy("key").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).where("low < refers_to").drop("low")
     revisits = narrow.distinct().join(groups, "key").where("page_id < refers_to").withColumnRenamed("page_id", "id")
     revisits = revisits.withColumnRenamed("key", "same")
-    whole = base.withColumn("key", F.sha2("payload", 256)).join(revisits, (F.col("page_id") == F.col("id")) & (F.col("key") == F.col("same")), "left")
+    # pages without an id match nothing; the url deals them over all tasks, however alike they are
+    whole = base.withColumn("key", F.sha2("payload", 256)).withColumn("spread", F.when(F.col("page_id").isNull(), F.xxhash64("url")).otherwise(0))
+    same = (F.col("page_id") == F.col("id")) & (F.col("key") == F.col("same")) & (F.col("spread") == F.col("zero"))
+    whole = whole.join(revisits.withColumn("zero", F.lit(0).cast("long")), same, "left")
     rows = whole.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), "refers_to")
     return rows.mapInArrow(_write, "path string, content binary")
 
