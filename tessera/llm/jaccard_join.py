@@ -1,8 +1,9 @@
 """N-gram Jaccard join: a prefix-tree join over globally ordered shingle sets, and the components of its links.
 
-1. ``classes``: each document's set of hashed shingles; equal sets are one class.
-2. ``shared_items``: shingles dealt out by hash; each bucket counts in how many classes a shingle occurs and answers with
-   those of two or more. A class of whose shingles too few are shared can't link and ends here.
+1. Classes: each document's set of hashed shingles; equal sets are one class.
+2. Shared items: shingles dealt out by hash; each bucket counts in how many classes a shingle occurs and answers with
+   those of two or more. Shingles that many classes of a part have are counted there, so a bucket gets one number a part
+   for them; their classes go on directly. A class of whose shingles too few are shared can't link and ends here.
 3. Rare shingles come first in the prefix filter: two linked sets share an item among the first size - ceil(t * size) + 1.
    The least class with an item leads it, and classes with a common leader form a group, so every link lies in a group.
 4. A group's sets, frequent items first, are stored in a prefix tree that a query descends with the overlap so far.
@@ -23,14 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tidy, documents, prepare, table, text_bytes
+from .common import Tidy, documents, drop, fresh, prepare, quoted, table, text_bytes
 
 #: Words of a shingle, and the threshold in percent.
 WORDS, PERCENT = 5, 80
 #: Shingles of a map task that are dealt out at once, and bytes of text for each bucket.
 PART_ITEMS, BUCKET_TEXT = 1 << 20, 16 << 20
 #: Sets, and bytes of sets, from which a group is cut into blocks.
-BLOCK_SETS, BLOCK_BYTES = 1000, 8 << 20
+BLOCK_SETS, BLOCK_BYTES = 500, 8 << 20
+#: Classes of a part from which a shingle is counted within the part; bytes of sets that a task of the join gets.
+HOT_IN_PART, TASK_BYTES = 64, 16 << 20
 _M, _MIX, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 KNOWN_WORDS = 200_000
 
@@ -75,40 +78,70 @@ def _class_of(items: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(items.tobytes(), seed=len(items)) >> 1
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, sizes = [], []
-        for t in b.column(1).cast(pa.binary()).to_pylist():
-            items = shingles(t or b"")
-            ids.append(_class_of(items) if len(items) else None)
-            sizes.append(len(items))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "class", "size"])
+CLASS = "struct<class:long,size:long>"
+
+
+def _classes(texts: pa.Array) -> pa.Array:
+    names, sizes = [], []
+    for t in texts.cast(pa.binary()).to_pylist():
+        items = shingles(t or b"")
+        names.append(_class_of(items) if len(items) else None)
+        sizes.append(len(items))
+    return pa.StructArray.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], ["class", "size"])
+
+
+#: Rows between parts and buckets. Kinds: 0 classes of a part with their items in a bucket, or the shared ones of them;
+#: 1 hot items of a part's classes, which go from the part straight to ``_gather``; 2 counts of a part's hot items, or
+#: in how many classes they are; 3 classes at home in a bucket, or those that another part stands for.
+PACKED = "kind int, bucket long, part long, classes binary, sizes binary, counts binary, items binary, spread binary"
+_PACKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("part", pa.int64()), *[(c, pa.binary()) for c in ("classes", "sizes", "counts", "items", "spread")]])
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    raw = lambda x: x.tobytes() if isinstance(x, np.ndarray) else x
+    return pa.RecordBatch.from_arrays([pa.array(map(raw, c), t.type) for c, t in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+
+
+def _places(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The indices of each bucket that occurs, ascending."""
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in range(buckets):
+        if ends[k] < ends[k + 1]:
+            yield k, order[ends[k] : ends[k + 1]]
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> _HALF) * np.uint64(buckets) >> _HALF).astype(np.int64)
 
 
 def _deal(buckets: int):
-    """Rows (bucket, part, classes, sizes, counts, items): a part's classes with items in the bucket, packed."""
+    """Rows (PACKED) of a map task's parts, which are packed at PART_ITEMS items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 24
         held: dict[int, np.ndarray] = {}
         total = 0
 
-        def rows() -> pa.RecordBatch:
+        def rows() -> Iterator[pa.RecordBatch]:
             names, sets = np.fromiter(held, np.int64, len(held)), list(held.values())
             sizes = np.fromiter(map(len, sets), np.int32, len(sets))
             items = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets)), sizes)
-            bucket = ((items >> _HALF) * np.uint64(buckets) >> _HALF).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = []
-            for k in range(buckets):
-                at = order[ends[k] : ends[k + 1]]
-                if len(at):
-                    who, count = np.unique(owner[at], return_counts=True)
-                    out.append((k, part, names[who].tobytes(), sizes[who].tobytes(), count.astype(np.int32).tobytes(), items[at].tobytes()))
-            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "part", "classes", "sizes", "counts", "items"])
+            out = [(3, k, part, names[at], None, None, None, None) for k, at in _places(_bucket(_mix(names.view(np.uint64)), buckets), buckets)]
+            order = np.sort(items)
+            ahead = order[HOT_IN_PART - 1 :]
+            hot, times = np.unique(ahead[ahead == order[: len(ahead)]], return_counts=True)
+            if len(hot):
+                out += [(2, k, part, None, None, (times[at] + HOT_IN_PART - 1).astype(np.int64), hot[at], None) for k, at in _places(_bucket(hot, buckets), buckets)]
+                is_hot = hot[np.minimum(np.searchsorted(hot, items), len(hot) - 1)] == items
+                who, count = np.unique(owner[is_hot], return_counts=True)
+                out.append((1, -1 - part, part, names[who], sizes[who], count.astype(np.int32), items[is_hot], None))
+                items, owner = items[~is_hot], owner[~is_hot]
+            for k, at in _places(_bucket(items, buckets), buckets):
+                who, count = np.unique(owner[at], return_counts=True)
+                out.append((0, k, part, names[who], sizes[who], count.astype(np.int32), items[at], None))
+            yield _packed(out)
 
         for b in batches:
             for t in b.column(0).cast(pa.binary()).to_pylist():
@@ -117,18 +150,15 @@ def _deal(buckets: int):
                     held[name] = items
                     total += len(items)
                 if total >= PART_ITEMS:
-                    yield rows()
+                    yield from rows()
                     part, total = part + 1, 0
                     held.clear()
         if held:
-            yield rows()
+            yield from rows()
 
     return run
 
 
-PACKED = ["part", "classes", "sizes", "counts", "items", "spread"]
-
-
 def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[dict]]:
     """Lists of consecutive rows with equal keys."""
     held, key = [], None
@@ -144,64 +174,96 @@ def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[dict
         yield held
 
 
+def _ints(rows: list[dict], column: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(r[column], kind) for r in rows]
+
+
+def _joined_up(arrays: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.empty(0, kind)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket: of every class once, in its first part, the items that occur in two classes or more, with their counts."""
+    """For each bucket: of every class once, in its first part, the items that occur in two classes or more, with their
+    counts; the counts of hot items; and the classes whose first part is another."""
     for rows in _groups(batches, "bucket"):
-        first: dict[int, int] = {}
-        rows.sort(key=lambda r: r["part"])
-        masks = []
-        for k, r in enumerate(rows):
-            names = np.frombuffer(r["classes"], np.int64)
-            fresh = np.fromiter((first.setdefault(x, k) == k for x in names.tolist()), bool, len(names))
-            masks.append(np.repeat(fresh, np.frombuffer(r["counts"], np.int32)))
-        items = [np.frombuffer(r["items"], np.uint64) for r in rows]
-        order = np.concatenate([x[m] for x, m in zip(items, masks, strict=True)])
-        order.sort()
-        shared = np.unique(order[1:][order[1:] == order[:-1]])
-        times = np.searchsorted(order, shared, side="right") - np.searchsorted(order, shared)
-        spread = np.minimum(times, 0xFFFF).astype(np.uint16)
-        del order, times
-        if not len(shared):
+        if rows[0]["kind"] == 1:
+            yield from (_packed([tuple(r[c] for c in _PACKED.names)]) for r in rows)
             continue
+        rows.sort(key=lambda r: r["part"])
+        dealt, hot, home = ([r for r in rows if r["kind"] == k] for k in (0, 2, 3))
         out = []
-        for r, x, m in zip(rows, items, masks, strict=True):
-            at = np.minimum(np.searchsorted(shared, x), len(shared) - 1)
-            hit = m & (shared[at] == x)
-            if not hit.any():
-                continue
-            names, counts = np.frombuffer(r["classes"], np.int64), np.frombuffer(r["counts"], np.int32)
-            n = np.bincount(np.repeat(np.arange(len(names)), counts)[hit], minlength=len(names)).astype(np.int32)
-            some = n > 0
-            out.append((r["part"], names[some].tobytes(), np.frombuffer(r["sizes"], np.int32)[some].tobytes(), n[some].tobytes(), x[hit].tobytes(), spread[at[hit]].tobytes()))
+        stands: dict[int, int] = {}
+        for r, names in zip(home, _ints(home, "classes", np.int64), strict=True):
+            other = names[np.fromiter((stands.setdefault(x, r["part"]) != r["part"] for x in names.tolist()), bool, len(names))]
+            if len(other):
+                out.append((3, None, r["part"], other, None, None, None, None))
+        first: dict[int, int] = {}
+        masks, all_names, all_counts, items = [], _ints(dealt, "classes", np.int64), _ints(dealt, "counts", np.int32), _ints(dealt, "items", np.uint64)
+        for k, (names, counts) in enumerate(zip(all_names, all_counts, strict=True)):
+            fresh_ones = np.fromiter((first.setdefault(x, k) == k for x in names.tolist()), bool, len(names))
+            masks.append(np.repeat(fresh_ones, counts))
+        del first
+        order = _joined_up([x[m] for x, m in zip(items, masks, strict=True)], np.uint64)
+        order.sort()
+        if hot:
+            few, n = np.unique(order, return_counts=True)
+            values, at = np.unique(np.concatenate([few, *_ints(hot, "items", np.uint64)]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([n, *_ints(hot, "counts", np.int64)]))
+            shared, times = values[times > 1], times[times > 1]
+        else:
+            shared = np.unique(order[1:][order[1:] == order[:-1]])
+            times = np.searchsorted(order, shared, side="right") - np.searchsorted(order, shared)
+        del order
+        if len(shared):
+            spread = np.minimum(times, 0xFFFF).astype(np.uint16)
+            for r, x in zip(hot, _ints(hot, "items", np.uint64), strict=True):
+                out.append((2, None, r["part"], None, None, None, x, spread[np.searchsorted(shared, x)]))
+            for r, names, counts, x, m in zip(dealt, all_names, all_counts, items, masks, strict=True):
+                at = np.minimum(np.searchsorted(shared, x), len(shared) - 1)
+                hit = m & (shared[at] == x)
+                if hit.any():
+                    n = np.bincount(np.repeat(np.arange(len(names)), counts)[hit], minlength=len(names)).astype(np.int32)
+                    some = n > 0
+                    out.append((0, None, r["part"], names[some], np.frombuffer(r["sizes"], np.int32)[some], n[some], x[hit], spread[at[hit]]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), *[pa.binary()] * 5], strict=True)], PACKED)
+            yield _packed(out)
 
 
 def _gather(percent: int):
-    """For each part: the classes of whose items enough are shared: their items frequent first, and the prefix's."""
+    """For each part: the classes that it stands for and of whose items enough are shared: their items frequent first,
+    and the prefix's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, "part"):
-            names = np.concatenate([np.frombuffer(r["classes"], np.int64) for r in rows])
-            sizes = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows])
-            counts = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows])
-            items = np.concatenate([np.frombuffer(r["items"], np.uint64) for r in rows])
-            spread = np.concatenate([np.frombuffer(r["spread"], np.uint16) for r in rows]).astype(np.uint64)
+            dealt, straight, hot, others = ([r for r in rows if r["kind"] == k] for k in (0, 1, 2, 3))
+            spreads = _ints(dealt, "spread", np.uint16)
+            if straight:
+                known, of = _joined_up(_ints(hot, "items", np.uint64), np.uint64), _joined_up(_ints(hot, "spread", np.uint16), np.uint16)
+                order = np.argsort(known)
+                known, of = known[order], of[order]
+                spreads += [of[np.searchsorted(known, x)] for x in _ints(straight, "items", np.uint64)]
+            both = dealt + straight
+            if not both:
+                continue
+            names, sizes = np.concatenate(_ints(both, "classes", np.int64)), np.concatenate(_ints(both, "sizes", np.int32))
+            counts, items = np.concatenate(_ints(both, "counts", np.int32)), np.concatenate(_ints(both, "items", np.uint64))
+            mine = ~np.isin(names, _joined_up(_ints(others, "classes", np.int64), np.int64))
+            of_mine = np.repeat(mine, counts)
             # an item's place in the global order: frequent first, then by hash, of which 48 bits are left
-            place = (np.uint64(0xFFFF) - spread) << np.uint64(48) | items >> np.uint64(16)
-            owner = np.repeat(names, counts)
+            place = ((np.uint64(0xFFFF) - np.concatenate(spreads).astype(np.uint64)) << np.uint64(48) | items >> np.uint64(16))[of_mine]
+            size_of = dict(zip(names[mine].tolist(), sizes[mine].tolist(), strict=True))
+            owner = np.repeat(names[mine], counts[mine])
             order = np.argsort(owner, kind="stable")
             owner, place = owner[order], place[order]
-            edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
-            size_of = dict(zip(names.tolist(), sizes.tolist(), strict=True))
+            edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else []
             out = []
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 name = int(owner[a])
                 n, least = size_of[name], -(-percent * size_of[name] // 100)
                 if b - a >= least:
-                    mine = np.sort(place[a:b])
-                    rare = (n - least + 1) - (n - len(mine))  # items of the prefix that aren't the class's own
-                    out.append((name, n, mine.tobytes(), mine[len(mine) - rare :].view(np.int64).tolist()))
+                    own = np.sort(place[a:b])
+                    rare = (n - least + 1) - (n - len(own))  # items of the prefix that aren't the class's own
+                    out.append((name, n, own.tobytes(), own[len(own) - rare :].view(np.int64).tolist()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())], strict=True)], ["class", "size", "items", "prefix"])
 
@@ -353,32 +415,35 @@ def components(edges: DataFrame) -> DataFrame:
     hot = table(both.where("salt > 0").select("b", "salt").distinct(), "hot")
     while True:
         more = hot.join(labels, hot["b"] == labels["node"]).select("node", "component", "salt")
-        at = labels.withColumn("salt", F.lit(0)).unionByName(more)
+        at = labels.select("node", "component", F.lit(0).alias("salt")).unionByName(more)
         near = both.join(at, (both["b"] == at["node"]) & (both["salt"] == at["salt"])).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = table(labels.join(near, "node", "left").select("node", "component", F.least("component", "near").alias("best")), "near")
-        used = new.select(F.col("best").alias("up")).distinct()
-        up = new.where("best != node").join(used, F.col("node") == F.col("up")).select("up", F.col("best").alias("further"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-        mine = new.withColumn("mine", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-        new = mine.join(up, (F.col("best") == F.col("up")) & (F.col("mine") == F.col("part")), "left").select("node", F.least("best", "further").alias("next"), "component")
-        new = table(new.select("node", F.col("next").alias("component"), (F.col("next") != F.col("component")).alias("moved")), "labels")
-        labels = new.select("node", "component")
+        best = table(labels.join(near, "node", "left").select("node", "component", F.least("component", "near").alias("best")), "near")
+        used = best.select(F.col("best").alias("up")).distinct()
+        up = best.where("best != node").join(used, F.col("node") == F.col("up")).select("up", F.col("best").alias("further"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+        mine = best.withColumn("mine", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+        new = mine.join(up, (F.col("best") == F.col("up")) & (F.col("mine") == F.col("part")), "left").select("node", F.least("best", "further").alias("component"), "component")
+        moved = F.col("component") != F.col("before")
+        new = table(new.toDF("node", "component", "before").select("node", "component", moved.alias("moved")), "labels")
+        drop(best, labels)
+        labels = new
         if not new.where("moved").limit(1).count():
-            return labels
+            return new.select("node", "component")
 
 
-def _joined(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links of the blocks (leader, block, class, component) of ``members``, over the sets (class, size, items)."""
+def _joined(sets: DataFrame, members: DataFrame, percent: int, bytes_: int) -> DataFrame:
+    """Links of the blocks (leader, block, class, component) of ``members``, whose sets (class, size, items) have about
+    ``bytes_``."""
     rows = members.join(sets.select("class", "size", "items"), "class").select("leader", "block", "class", "component", "size", "items")
-    rows = rows.repartition("leader", "block").sortWithinPartitions("leader", "block", "class")
+    rows = rows.repartition(max(8, ceil(bytes_ / TASK_BYTES)), "leader", "block").sortWithinPartitions("leader", "block", "class")
     return rows.mapInArrow(Tidy(_links(percent)), "a long, b long")
 
 
 def similar_classes(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(node, component) over classes, for every class that has a link (or whose group has)."""
     buckets = max(8, ceil(text_bytes(docs, text) / BUCKET_TEXT))
-    dealt = docs.select(F.col(text)).mapInArrow(Tidy(_deal(buckets), _forget), "bucket int, part long, classes binary, sizes binary, counts binary, items binary")
-    counted = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(Tidy(_count), "part long, classes binary, sizes binary, counts binary, items binary, spread binary")
-    gathered = counted.repartition("part").sortWithinPartitions("part").mapInArrow(Tidy(_gather(percent)), "class long, size long, items binary, prefix array<long>")
+    dealt = docs.select(*quoted(text)).mapInArrow(Tidy(_deal(buckets), _forget), PACKED)
+    counted = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(Tidy(_count), PACKED)
+    gathered = counted.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(Tidy(_gather(percent)), "class long, size long, items binary, prefix array<long>")
     sets = table(gathered, "sets")
     tokens = sets.select("class", F.explode("prefix").alias("token"))
     leaders = tokens.groupBy("token").agg(F.min("class").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -386,38 +451,49 @@ def similar_classes(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     weight = F.col("size") * 8
     sizes = members.join(sets.select("class", "size"), "class").groupBy("leader").agg(F.count("*").alias("n"), F.sum(weight).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    groups = table(sizes.where("n > 1").select("leader", blocks.alias("blocks")), "groups")
+    groups = table(sizes.where("n > 1").select("leader", "bytes", blocks.alias("blocks")), "groups")
+    volume = groups.agg(F.sum("bytes")).first()[0] or 0
     of_group = members.join(groups, "leader")
     own = F.pmod(F.xxhash64("class"), "blocks").cast("int")
     placed = of_group.withColumn("block", F.explode(F.when(F.col("class") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
     # without a component, a class stands for itself
-    edges = table(_joined(sets, placed.select("leader", "block", "class", F.col("class").alias("component")), percent), "links")
+    edges = table(_joined(sets, placed.select("leader", "block", "class", F.col("class").alias("component")), percent, volume), "links")
     labels = components(edges)
     if groups.where("blocks > 1").limit(1).count():
         known = labels.withColumnRenamed("node", "class")
         large = of_group.where("blocks > 1").join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
         large = table(large, "large")
-        open_ones = large.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("leader")
+        open_ones = table(large.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("leader"), "open")
         rest = large.join(open_ones, "leader").withColumn("own", own)
         other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("own")))
         rest = rest.withColumn("other", other).withColumn("block", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-        more = table(_joined(sets, rest.select("leader", "block", "class", "component"), percent), "links")
+        volume = groups.join(open_ones, "leader").agg(F.sum(F.col("bytes") * (F.col("blocks") - 1))).first()[0] or 0
+        more = table(_joined(sets, rest.select("leader", "block", "class", "component"), percent, volume), "links")
         if more.limit(1).count():
             labels = components(edges.union(more))
+        drop(large, open_ones)
+    drop(members, groups, sets)
     return labels
 
 
+def _with_classes(docs: DataFrame, text: str, columns: list[str], to: str) -> DataFrame:
+    """The columns and ``to``, a struct of each row's class and number of shingles, as a table."""
+    return table(docs.select(*quoted(*columns), F.arrow_udf(_classes, CLASS)(*quoted(text)).alias(to)), "classes")
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; component_id is the least doc_id reachable by links.
 
     Null, empty and blank texts have an empty set and no link; texts of fewer words than a shingle are one shingle;
-    rows that share an id are one document with several texts, each with its size; a row without an id takes part in
-    links, but lends no id to its component; an empty table gives an empty result; other columns are ignored.
-    Sets are compared by 64-bit hashes of shingles (48 bits beside the count within a group), classes by 63 bits.
+    texts of any length are taken whole. Every row is a document: rows that share an id but not a text are linked only
+    if their texts are. A row without an id takes part in links, but lends no id to its component; an empty table gives
+    an empty result; other columns are ignored. Sets are compared by 64-bit hashes of shingles (48 bits beside the count
+    within a group), classes by 63 bits.
     """
     prepare(docs.sparkSession)
-    own = table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(Tidy(_classes, _forget), "doc_id long, class long, size long"), "classes")
-    labels = similar_classes(docs, text, percent)
+    named = docs.select(quoted(doc_id)[0].cast("long").alias("doc_id"), quoted(text)[0].alias("text"))
+    own = _with_classes(named, "text", ["doc_id"], "c").select("doc_id", F.col("c.class").alias("class"), F.col("c.size").alias("size"))
+    labels = similar_classes(named, "text", percent)
     per_class = own.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     linked = per_class.join(labels, per_class["class"] == labels["node"], "left").select("class", "least", "n", F.coalesce("component", "class").alias("component"))
     linked = table(linked.where("n > 1 OR component != class").union(linked.join(labels.select("component").distinct(), "component", "left_semi").where("n = 1 AND component = class").select("class", "least", "n", "component")), "linked")
@@ -426,6 +502,30 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return own.join(names, own["class"] == names["c"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` but for near copies: of each component one row stays, that with the least id (a row without an
+    id only where none has one; of several with that id, one). Rows, not ids, are dropped, so a text that resembles no
+    other stays whatever id it has. Rows without a word stay all; an empty table stays empty; the columns, whatever
+    their names, are those of ``docs``."""
+    prepare(docs.sparkSession)
+    own = fresh(docs.columns, "class", "row", "gone")
+    kept, row = quoted(*docs.columns), F.col(own["row"])
+    rows = _with_classes(docs.withColumn(own["row"], F.monotonically_increasing_id()), text, [*docs.columns, own["row"]], own["class"])
+    labels = similar_classes(docs, text, percent)
+    narrow = rows.select(F.col(f"{own['class']}.class").alias("class"), quoted(doc_id)[0].cast("long").alias("id"), row.alias("row")).where("class IS NOT NULL")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    per_class = table(narrow.groupBy("class").agg(best, F.count("*").alias("n")), "per-class")
+    of = per_class.join(labels, per_class["class"] == labels["node"], "left").select("class", "best", "n", F.coalesce("component", "class").alias("component"))
+    won = of.groupBy(F.col("component").alias("won")).agg(F.min("best").alias("first"))
+    # classes of several rows, or whose component another class's row stands for; the winner's row, if it is one of theirs
+    stays = of.join(won, F.col("component") == F.col("won")).where("n > 1 OR best.row != first.row").select("class", F.col("first.row").alias("first"))
+    stays = table(stays, "stays")
+    gone = narrow.join(stays, "class").where("row != first").select(F.col("row").alias(own["gone"]))
+    gone = table(gone, "gone")
+    out = rows.join(gone.hint("shuffle_hash"), row == F.col(own["gone"]), "left_anti")
+    return out.select(*kept)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 

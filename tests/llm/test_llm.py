@@ -213,7 +213,11 @@ def test_same_ids():
 # ---- n-gram Jaccard join
 
 
-def brute_components(docs):
+def brute_roots(docs):
+    return brute_components(docs, roots=True)
+
+
+def brute_components(docs, roots=False):
     sets = []
     for _, t in docs:
         w = (t or "").encode().lower().split()
@@ -228,15 +232,20 @@ def brute_components(docs):
     for i, a in enumerate(sets):
         for j in range(i):
             o = len(a & sets[j])
-            if a and 100 * o >= 80 * (len(a) + len(sets[j]) - o) or docs[i][0] is not None and docs[i][0] == docs[j][0] and a and sets[j]:
+            if a and 100 * o >= 80 * (len(a) + len(sets[j]) - o):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
+    if roots:
+        return [find(i) for i in range(len(docs))]
     return sets, [min((docs[k][0] for k in range(len(docs)) if find(k) == find(i) and docs[k][0] is not None), default=None) for i in range(len(docs))]
 
 
-@pytest.mark.parametrize("blocks", [1000, 4])
-def test_jaccard(spark, monkeypatch, blocks):
+@pytest.mark.parametrize(("blocks", "hot", "part"), [(1000, 64, 1 << 20), (4, 64, 1 << 20), (4, 2, 300), (1000, 3, 1)])
+def test_jaccard(spark, monkeypatch, blocks, hot, part):
+    """Blocks, items that are hot in a part, and classes in several parts; rows that share an id, or have none."""
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", blocks)
+    monkeypatch.setattr(jaccard_join, "HOT_IN_PART", hot)
+    monkeypatch.setattr(jaccard_join, "PART_ITEMS", part)
     rng = random.Random(blocks)
     docs = []
     passage = prose(rng, 30).split()
@@ -247,11 +256,24 @@ def test_jaccard(spark, monkeypatch, blocks):
             for _ in range(rng.randrange(0, 4)):
                 w[rng.randrange(len(w))] = rng.choice(WORDS)
             docs.append(" ".join(w + (passage if rng.random() < 0.3 else [])))
-    docs = list(enumerate([*docs, None, "", "a b", "A  b", "a b c"]))
+    docs = list(enumerate([*docs, None, "", "a b", "A  b", "a b c"])) + [(7, docs[0]), (3, docs[-1]), (7, docs[5]), (None, docs[1]), (None, docs[1]), (3, docs[-1])]
     rng.shuffle(docs)
     sets, want = brute_components(docs)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {i: (len(s), c) for (i, _), s, c in zip(docs, sets, want, strict=True)}
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, class string").repartition(5)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect())
+    assert got == Counter((i, len(s), i if c is None else c) for (i, _), s, c in zip(docs, sets, want, strict=True))
+    kept = jaccard_join.one_of_each(df)
+    rows = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert kept.columns == df.columns and not rows - Counter(docs)
+    names = brute_roots(docs)
+    held: dict = {}
+    for k, (i, t) in enumerate(docs):
+        if sets[k]:
+            held.setdefault(names[k], []).append((i, t))
+    assert sum(n for (i, t), n in rows.items() if (t or "").split()) == len(held)
+    for group in held.values():
+        left = [r for r in rows.elements() if r in group]
+        assert len(left) == 1 and left[0][0] == min((i for i, _ in group if i is not None), default=None)
 
 
 def test_hot_components(spark, monkeypatch):
