@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.llm.common import documents, table
-from tessera.llm.jaccard_join import jaccard_components
+from tessera.llm.common import documents, quoted, table
+from tessera.llm.jaccard_join import one_of_each
 from tessera.llm.mixing import mixed
 from tessera.llm.packing import pack
 from tessera.llm.quality import judged
@@ -14,28 +12,32 @@ from tessera.llm.secrets import redacted
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the adaptive thresholds reject go."""
-    return judged(docs).where("kept").select(*docs.columns)
+    """Documents that the base rules or the adaptive thresholds reject go, and with them null, empty and short texts.
+    Null languages and sources are groups of their own; repeated rows are judged alike; other columns pass through."""
+    return judged(docs).where("kept").select(*quoted(*docs.columns))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the least id; rows without an id stay."""
-    groups = jaccard_components(docs)
-    gone = table(groups.where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates stays, that with the least id; of repeated rows one. Rows are dropped,
+    not ids, so a text that resembles no other stays whatever its id, and so do texts without a word."""
+    return one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts; every document stays."""
-    return redacted(docs).select(*docs.columns)
+    """Secrets are cut out of the texts; every document stays. Null and empty texts and texts without a secret don't
+    change; repeated rows change alike."""
+    return redacted(docs).select(*quoted(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that sources come near their targets."""
+    """Documents are repeated or left out so that sources come near their targets; the null source is one of them. Null
+    and empty texts weigh nothing and stay as often as their source is repeated whole; repeated rows share their turn."""
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences; null and empty texts are an end id alone, repeated rows documents of
+    their own, and an empty table has no piece."""
     return pack(docs)
 
 
