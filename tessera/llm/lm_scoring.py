@@ -1,13 +1,18 @@
-"""Language-model scores: a smoothed unigram model over words, and a causal self-attention model over subword ids.
+"""Language-model scores: a smoothed unigram model over words, and a causal self-attention model over subword ids with a
+memory of the training texts.
 
 1. ``_learn_counts`` reads every text once and writes its subword ids in blocks of some megabytes of text, with the
    words of each block and their training counts, dealt out by hash. A text's ids are those of the whole text, white
    space included; they are put together from pieces that the tokenizer never joins, each encoded once in a block.
-2. Buckets add the counts up and answer each block with its own words' totals, so no task holds the vocabulary.
-3. The attention model is trained by local descent in every task on windows of all training documents; the tasks'
-   parameters are averaged after each round. An id's probability is that of its class, which the model gives, times
-   that of the id in its class, from counts over all training ids.
-4. Each block's documents meet the block's totals and are scored: windows overlap, and each id is scored once.
+2. Buckets add the counts up and answer each block with its own words' totals, so no task holds the vocabulary. Beginnings
+   of texts, cut at every unit's end, are counted in the same way: what the training texts are known to go on with.
+3. The attention model is trained on every window of every training document. Documents are dealt by a hash of what they
+   are into shards, whose number follows their ids alone; shards descend on their own, and their parameters are averaged
+   after each round, so the model doesn't depend on how the input is cut. An id's probability is that of its class, which
+   the model gives beside exact counts of what follows an id, times that of the id in its class.
+4. Each block's documents meet the block's totals and are scored: windows overlap, and each id is scored once. Where
+   training texts begin as a text does so far, its next unit has the mean of the model's probability and of the share of
+   those texts that go on with it; a training text itself isn't counted among them.
 """
 
 from __future__ import annotations
@@ -26,22 +31,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, prepare, table, text_bytes
+from .common import documents, drop, prepare, quoted, table, text_bytes
 from .packing import _ranks
 
 #: Bytes of text in a block, and of text for each bucket of the vocabulary.
 BLOCK_TEXT, BUCKET_TEXT = 8 << 20, 24 << 20
-#: Ids of the tokenizer with the end's (the last); classes of ids, of which the most frequent stand alone; input buckets.
+#: Ids of the tokenizer with the end's (the last); classes of ids, of which the most frequent stand alone.
 IDS, END = 50_257, 50_256
-CLASSES, ALONE, INPUTS, OWN_INPUTS = 48, 32, 512, 384
-#: Width of the model; ids of a window, of which CONTEXT only give context to the others.
+CLASSES, ALONE = 48, 32
+#: What stands before an id: inputs of the table of what follows, of which OWN stand for one id; the model's own inputs.
+FOLLOWED, OWN, INPUTS, OWN_INPUTS = 4096, 3584, 512, 384
+#: Weight of the prior in the table of what follows an input.
+PRIOR_WEIGHT = 4.0
+#: Width of the model; ids of a window, of which CONTEXT only give context to the others. A unit of the memory is what a
+#: window scores.
 WIDTH, WINDOW, CONTEXT = 16, 32, 8
-#: Training: each round takes every ROUNDS-th window of every training document, from a start that moves with the
-#: round, so the rounds together take every window once; windows of a step, and the step size.
+#: Training: ids of a shard and of a document's piece in it; rounds, of which each takes every ROUNDS-th window of a
+#: shard; windows of a step, and the step size.
+SHARD_IDS, PIECE_IDS = 1 << 21, 1 << 14
 ROUNDS, STEP_WINDOWS, RATE = 4, 64, 0.02
-PARAMETERS = {"E": (INPUTS, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "O": (WIDTH, WIDTH), "U": (WIDTH, CLASSES), "G": (INPUTS, CLASSES), "c": (CLASSES,)}
+PARAMETERS = {"E": (INPUTS, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "O": (WIDTH, WIDTH), "U": (WIDTH, CLASSES)}
+_SIZES = [int(np.prod(s)) for s in PARAMETERS.values()]
 _FIXED = 1 << 24  # parameters are added up as integers, so their mean doesn't depend on the order
-_MASK = np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32)
+_MASK = np.tri(WINDOW, dtype=np.float32)
+_ROOT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id) -> bool:
@@ -108,7 +121,8 @@ def _opens_word(encoding) -> np.ndarray:
 
 
 def _learn_counts(ranks_path: str, buckets: int):
-    """Kinds: 0 a document's ids, 1 words of a block and bucket with training counts, 2 training counts of ids."""
+    """Kinds: 0 a document's ids, 1 words of a block and bucket with training counts, 2 training counts of all ids,
+    4 beginnings of a block's texts and bucket with training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, block = _ranks(ranks_path), TaskContext.get().partitionId() << 24
@@ -120,6 +134,7 @@ def _learn_counts(ranks_path: str, buckets: int):
             flat, lengths = _encode_pieces(encoding, list(index))
             first = np.cumsum(lengths) - lengths
             counts, rows = np.zeros((2, len(index)), np.int64), []  # of pieces, and of those that are words
+            nodes, taught = [], []
             for doc_id, held, numbers, odd in held_docs:
                 n = lengths[numbers]
                 ids = np.empty(int(n.sum()) + 1, np.uint16)
@@ -130,6 +145,8 @@ def _learn_counts(ranks_path: str, buckets: int):
                     if not odd:
                         np.add.at(counts[1], numbers, 1)
                     ids_seen[END] += 1
+                nodes.append(beginnings(ids))
+                taught.append(np.full(len(nodes[-1]), not held))
                 rows.append((0, block, None, doc_id, held, None, ids.tobytes(), None))
                 if len(rows) == 512:
                     yield _rows(rows)
@@ -149,8 +166,15 @@ def _learn_counts(ranks_path: str, buckets: int):
                 if ws:
                     n = np.fromiter((lower[w] for w in ws), np.uint32, len(ws))
                     rows.append((1, block, k, None, None, int(n.sum()), b"\n".join(ws), n.tobytes()))
-            if rows:
-                yield _rows(rows)
+            known, at = np.unique(np.concatenate(nodes), return_inverse=True)
+            taught = np.concatenate(taught)
+            asked = np.bincount(at, ~taught, len(known)) > 0  # by a held-out text; the count's highest bit
+            times = np.bincount(at, taught, len(known)).astype(np.uint32) | asked.astype(np.uint32) << np.uint32(31)
+            bucket = (known % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows += [(4, block, k, None, None, None, known[order[a:b]].tobytes(), times[order[a:b]].tobytes()) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
+            yield _rows(rows)
 
         for b in batches:
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -167,33 +191,85 @@ def _learn_counts(ranks_path: str, buckets: int):
                     index, held_docs, apart, size, block = _Index(), [], {}, 0, block + 1
         if held_docs:
             yield from close()
-        some = np.flatnonzero(ids_seen)
-        if len(some):
-            yield _rows([(2, block, None, None, None, None, some.astype(np.uint16).tobytes(), ids_seen[some].tobytes())])
+        if ids_seen.any():
+            yield _rows([(2, block, None, None, None, None, ids_seen.tobytes(), None)])
 
     return run
 
 
+def unit_ends(n: int) -> np.ndarray:
+    """Where the units of a text of n ids end."""
+    return np.append(np.arange(WINDOW, n, WINDOW - CONTEXT), n)
+
+
+@lru_cache(1)
+def _id_hashes() -> np.ndarray:
+    return np.random.default_rng(11).integers(1, 1 << 63, IDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+_powers = np.empty(0, np.uint64)
+
+
+def beginnings(ids: np.ndarray) -> np.ndarray:
+    """64-bit hashes of a text's beginnings up to the end of each unit; that of the whole text holds its end's id."""
+    global _powers
+    if len(_powers) < len(ids):
+        _powers = np.cumprod(np.full(2 * len(ids), _ROOT), dtype=np.uint64)
+    h = np.cumsum(_id_hashes()[ids] * _powers[: len(ids)], dtype=np.uint64)[unit_ends(len(ids)) - 1]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket: its rows with totals instead of counts, and a row of kind 3 with the number of training words."""
+    """For each bucket: its rows with totals instead of counts, and a row of kind 3 with the number of training words.
+    Of beginnings only those are answered that two training texts have, or one and a held-out text of the block."""
     from .jaccard_join import _groups
 
     for rows in _groups(batches, "bucket"):
+        words, begun = [r for r in rows if r["kind"] == 1], [r for r in rows if r["kind"] == 4]
         totals: dict[bytes, int] = {}
         get = totals.get
-        for r in rows:
+        for r in words:
             for w, n in zip(r["data"].split(b"\n"), np.frombuffer(r["counts"], np.uint32).tolist(), strict=True):
                 totals[w] = get(w, 0) + n
-        for r in rows:
+        for r in words:
             ws = r["data"].split(b"\n")
             yield _rows([(1, r["block"], r["bucket"], None, None, None, r["data"], np.fromiter(map(totals.__getitem__, ws), np.int64, len(ws)).tobytes())])
         yield _rows([(3, None, rows[0]["bucket"], None, None, sum(n > 0 for n in totals.values()), None, None)])
+        nodes, counts = [np.frombuffer(r["data"], np.uint64) for r in begun], [np.frombuffer(r["counts"], np.uint32) for r in begun]
+        if begun:
+            known, at = np.unique(np.concatenate(nodes), return_inverse=True)
+            sums = np.bincount(at, np.concatenate(counts) & np.uint32(0x7FFFFFFF), len(known)).astype(np.int64)
+            for r, x, n in zip(begun, nodes, counts, strict=True):
+                total = sums[np.searchsorted(known, x)]
+                some = (total > 1) | (total > 0) & (n >> np.uint32(31) > 0)
+                if some.any():
+                    yield _rows([(4, r["block"], r["bucket"], None, None, None, x[some].tobytes(), total[some].tobytes())])
 
 
-def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for r in b.to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["data"], np.uint16).astype(np.int64)), pa.array(np.frombuffer(r["counts"], np.int64))], ["id", "n"])
+def _sums_of(kind):
+    """Adds up the vectors (binary) of a column ``data``, number by number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                v = np.frombuffer(raw, kind)
+                total = v.copy() if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["data"])
+
+    return run
+
+
+def _total(vectors: DataFrame, size: int, parts: int) -> np.ndarray:
+    """The sum of vectors of whole numbers: first in each task, then in up to 64, whose few sums come to the driver."""
+    once = vectors.select("data").mapInArrow(_sums_of(np.int64), "data binary")
+    twice = once.repartition(max(1, min(64, parts // 16))).mapInArrow(_sums_of(np.int64), "data binary")
+    out = np.zeros(size, np.int64)
+    for r in twice.collect():
+        out += np.frombuffer(r["data"], np.int64)
+    return out
 
 
 class Vocabulary:
@@ -208,126 +284,192 @@ class Vocabulary:
         self.classes[order[ALONE:]] = ALONE + share.astype(np.int64)
         mass = np.bincount(self.classes, counts + 0.5, CLASSES)
         self.inside = np.log((counts + 0.5) / mass[self.classes]).astype(np.float32)
-        self.inputs = OWN_INPUTS + np.arange(IDS) % (INPUTS - OWN_INPUTS)
-        self.inputs[order[: OWN_INPUTS - 1]] = np.arange(1, OWN_INPUTS)  # input 0 stands before a text
-        self.prior = np.log(mass / mass.sum()).astype(np.float32)
+        # what an id is to the next; index IDS, input 0: a text's beginning
+        self.follows = np.append(OWN + np.arange(IDS) % (FOLLOWED - OWN), 0)
+        self.follows[order[: OWN - 1]] = np.arange(1, OWN)
+        self.inputs = np.where(np.arange(FOLLOWED) < OWN_INPUTS, np.arange(FOLLOWED), OWN_INPUTS + np.arange(FOLLOWED) % (INPUTS - OWN_INPUTS))
+        self.prior = mass / mass.sum()
+        self.table = np.log(np.tile(self.prior, (FOLLOWED, 1))).astype(np.float32)
 
+    def learn(self, pairs: np.ndarray) -> None:
+        """Sets the table of what follows from counts (FOLLOWED, CLASSES)."""
+        pairs = pairs.reshape(FOLLOWED, CLASSES)
+        self.table = np.log((pairs + PRIOR_WEIGHT * self.prior) / (pairs.sum(1, keepdims=True) + PRIOR_WEIGHT)).astype(np.float32)
 
-def start(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    p = {k: (rng.standard_normal(s) * (0.1 if k != "G" else 0)).astype(np.float32) for k, s in PARAMETERS.items()}
-    p["c"] = vocabulary.prior.copy()
-    return p
 
+def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The parameters as views of one vector."""
+    return {k: x.reshape(s) for (k, s), x in zip(PARAMETERS.items(), np.split(flat, np.cumsum(_SIZES)[:-1]), strict=True)}
+
+
+def start(seed: int = 5) -> np.ndarray:
+    return (0.1 * np.random.default_rng(seed).standard_normal(sum(_SIZES))).astype(np.float32)
 
-def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by their place in a table of ``size`` rows."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    out = np.zeros((size, values.shape[1]), values.dtype)
-    out[at[first]] = np.add.reduceat(values[order], first, axis=0)
-    return out
 
+_ones = {n: np.ones((n, 1), np.float32) for n in (WINDOW, CLASSES)}
 
-def gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, dict]:
-    """Mean loss and gradients of a batch of windows (n, WINDOW); causal attention with a residual, and a table G of
-    what follows each input."""
-    n, scale = max(1, int(valid.sum())), np.float32(WIDTH**-0.5)
-    x = p["E"][inputs] + p["P"]
-    q, k, v = x @ p["Q"], x @ p["K"], x @ p["V"]
-    a = q @ k.transpose(0, 2, 1) * scale
-    a += _MASK
-    a -= a.max(-1, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ _ones[x.shape[-1]]
+
+
+def _weights(logits: np.ndarray) -> np.ndarray:
+    """Causal attention from bounded logits, whose exponentials need no maximum."""
+    np.minimum(logits, 60, out=logits)
+    np.maximum(logits, -60, out=logits)
+    np.exp(logits, out=logits)
+    logits *= _MASK
+    logits *= 1 / _row_sums(logits)
+    return logits
+
+
+def gradients(p: dict, table: np.ndarray, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the targets and gradients (one vector) of a batch of windows (n, WINDOW); causal attention with a
+    residual, beside the fixed ``table`` of what follows ``before``."""
+    m, scale = inputs.size, WIDTH**-0.5
+    shape = (*inputs.shape, WIDTH)
+    out = np.empty(sum(_SIZES), p["E"].dtype)
+    g = unpack(out)
+    x = np.take(p["E"], inputs, 0)
+    x += p["P"]
+    flat = x.reshape(m, WIDTH)
+    scaled = p["Q"] * p["Q"].dtype.type(scale)
+    q, k, v = (flat @ scaled).reshape(shape), (flat @ p["K"]).reshape(shape), (flat @ p["V"]).reshape(shape)
+    a = _weights(q @ k.transpose(0, 2, 1))
     o = a @ v
-    h = x + o @ p["O"]
+    h = o.reshape(m, WIDTH) @ p["O"]
+    h += flat
     y = h @ p["U"]
-    y += np.take(p["G"] + p["c"], inputs, 0)
-    y -= y.max(-1, keepdims=True)
+    y += np.take(table, before.ravel(), 0)
+    np.minimum(y, 60, out=y)
     np.exp(y, out=y)
-    y /= y.sum(-1, keepdims=True)
-    picked = np.take_along_axis(y, targets[..., None], -1)[..., 0]
-    loss = float(-(np.log(picked) * valid).sum() / n)
-    np.put_along_axis(y, targets[..., None], (picked - 1)[..., None], -1)
-    y *= (valid / n).astype(np.float32)[..., None]
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"c": flat(y).sum(0), "U": flat(h).T @ flat(y)}
-    g["G"] = _sums(inputs.ravel(), flat(y), INPUTS)
+    y *= 1 / (_row_sums(y) + np.float32(1e-30))
+    at = np.arange(m) * CLASSES + targets.ravel()
+    whole = y.ravel()
+    picked = whole[at]
+    whole[at] = picked - 1
+    y *= (valid.ravel() / max(1, int(valid.sum()))).astype(y.dtype)[:, None]
+    np.matmul(h.T, y, out=g["U"])
     dh = y @ p["U"].T
-    g["O"] = flat(o).T @ flat(dh)
-    do = dh @ p["O"].T
-    da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * scale
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
-    g["Q"], g["K"], g["V"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-    g["P"] = dx.sum(0)
-    g["E"] = _sums(inputs.ravel(), flat(dx), INPUTS)
-    return loss, g
+    np.matmul(o.reshape(m, WIDTH).T, dh, out=g["O"])
+    do = (dh @ p["O"].T).reshape(shape)
+    ds = do @ v.transpose(0, 2, 1)
+    ds -= _row_sums(ds * a)
+    ds *= a
+    dq, dk, dv = (ds @ k).reshape(m, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(m, WIDTH), (a.transpose(0, 2, 1) @ do).reshape(m, WIDTH)
+    g["Q"][:], g["K"][:], g["V"][:] = flat.T @ dq * scale, flat.T @ dk, flat.T @ dv
+    dh += dq @ scaled.T
+    dh += dk @ p["K"].T
+    dh += dv @ p["V"].T
+    dh.reshape(shape).sum(0, out=g["P"])
+    places = (inputs.ravel() * WIDTH)[:, None] + np.arange(WIDTH, dtype=inputs.dtype)
+    g["E"][:] = np.bincount(places.ravel(), dh.ravel(), INPUTS * WIDTH).reshape(INPUTS, WIDTH)
+    return picked, out
 
 
 class Trainer:
-    """Adam over batches of STEP_WINDOWS windows."""
+    """Adam over batches of STEP_WINDOWS windows; ``flat`` holds all parameters."""
 
-    def __init__(self, p: dict, rate: float = RATE):
-        self.p = {k: x.copy() for k, x in p.items()}
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    def __init__(self, flat: np.ndarray, table: np.ndarray, rate: float = RATE):
+        self.flat, self.table = flat.copy(), table
+        self.p, self.m, self.v = unpack(self.flat), np.zeros_like(flat), np.zeros_like(flat)
         self.t, self.rate = 0, rate
 
-    def step(self, inputs, targets, valid) -> float:
-        loss, g = gradients(self.p, inputs, targets, valid)
+    def step(self, *batch) -> np.ndarray:
+        picked, g = gradients(self.p, self.table, *batch)
         self.t += 1
-        rate = self.rate / (1 + self.t / 200) ** 0.5
-        for k, x in g.items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * x
-            self.v[k] = 0.99 * self.v[k] + 0.01 * x * x
-            self.p[k] = self.p[k] - np.float32(rate) * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
-        return loss
+        rate = np.float32(self.rate / (1 + self.t / 200) ** 0.5 / (1 - 0.9**self.t))
+        self.m *= np.float32(0.9)
+        self.m += np.float32(0.1) * g
+        g *= g
+        self.v *= np.float32(0.99)
+        self.v += np.float32(0.01) * g
+        root = np.sqrt(self.v * np.float32(1 / (1 - 0.99**self.t)))
+        root += np.float32(1e-6)
+        self.flat -= rate * self.m / root
+        return picked
+
+
+class Windows:
+    """All windows of a shard: its pieces end to end (``sizes``), and the id before each (IDS: none)."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, before: np.ndarray, vocabulary: Vocabulary):
+        first = np.cumsum(sizes) - sizes
+        previous = np.empty(len(ids), np.int64)
+        previous[1:] = ids[:-1]
+        previous[first] = before
+        self.before, self.targets = vocabulary.follows[previous].astype(np.int32), vocabulary.classes[ids].astype(np.int32)
+        self.inputs = vocabulary.inputs[self.before].astype(np.int32)
+        counts = -(-sizes // WINDOW)
+        inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.starts, self.ends = np.repeat(first, counts) + inside * WINDOW, np.repeat(first + sizes, counts)
+
+    def batches(self, turn: int) -> Iterator[tuple]:
+        """Every ROUNDS-th window from the ``turn``-th on; the rounds together take every window once."""
+        starts, ends = self.starts[turn::ROUNDS], self.ends[turn::ROUNDS]
+        for i in range(0, len(starts), STEP_WINDOWS):
+            at = starts[i : i + STEP_WINDOWS, None] + np.arange(WINDOW)
+            valid = at < ends[i : i + STEP_WINDOWS, None]
+            at = np.minimum(at, len(self.targets) - 1)
+            yield self.inputs[at], self.before[at], self.targets[at], valid
+
+
+PIECE = "shard long, place long, before int, data binary"
+_PIECE_ROW = pa.schema([("shard", pa.int64()), ("place", pa.int64()), ("before", pa.int32()), ("data", pa.binary())])
+
+
+def _deal(state, shards: int):
+    """Pieces of training documents with their shard and their place in it, both from a hash of what the piece is; and
+    a last row without a shard that counts what follows what."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = state.value
+        pairs = np.zeros(FOLLOWED * CLASSES, np.int64)
+        for b in batches:
+            rows = []
+            for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(raw, np.uint16)
+                before = vocabulary.follows[np.concatenate(([IDS], ids[:-1]))]
+                np.add.at(pairs, before * CLASSES + vocabulary.classes[ids], 1)
+                for i, at in enumerate(range(0, len(ids), PIECE_IDS)):
+                    part = ids[at : at + PIECE_IDS].tobytes()
+                    place = xxhash.xxh3_64_intdigest(part, seed=xxhash.xxh32_intdigest(f"{doc_id}:{i}".encode())) >> 1
+                    rows.append((place % shards, place, int(ids[at - 1]) if at else IDS, part))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PIECE_ROW, strict=True)], schema=_PIECE_ROW)
+        if pairs.any():
+            yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((None, None, None, pairs.tobytes()), _PIECE_ROW, strict=True)], schema=_PIECE_ROW)
 
+    return run
 
-def windows(ids: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary):
-    """Inputs, targets and valid positions of the windows of one text (or several, end to end) that begin at ``starts``."""
-    at = starts[:, None] + np.arange(WINDOW)
-    valid = at < len(ids)
-    at = np.minimum(at, len(ids) - 1)
-    before = np.concatenate(([0], vocabulary.inputs[ids[:-1]]))
-    return before[at], vocabulary.classes[ids[at]], valid
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (sizes, before, data) for each shard."""
+    from .jaccard_join import _groups
 
-def round_starts(doc_id, n_ids: int, turn: int) -> np.ndarray:
-    """Where a text's windows of a round begin: the rounds' windows are disjoint, and together all of the text."""
-    first = (zlib.crc32(str(doc_id).encode()) // 5 + turn) % ROUNDS
-    return np.arange(first * WINDOW, n_ids, ROUNDS * WINDOW)
+    for rows in _groups(batches, "shard"):
+        sizes = np.array([len(r["data"]) // 2 for r in rows], np.int64)
+        columns = [sizes.tobytes(), np.array([r["before"] for r in rows], np.int64).tobytes(), b"".join(r["data"] for r in rows)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in columns], ["sizes", "before", "data"])
 
 
 def _train(state, turn: int):
+    """One row of a task: the parameters of its shards' trainers, weighted by steps, and the number of steps."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, vocabulary = state.value
-        trainer, waiting, ready, steps = Trainer(p), [], 0, 0
+        flat, vocabulary = state.value
+        total = None
         for b in batches:
-            for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(raw, np.uint16)
-                starts = round_starts(doc_id, len(ids), turn)
-                if not len(starts):
-                    continue
-                waiting.append(windows(ids, starts, vocabulary))
-                ready += len(starts)
-                if ready >= STEP_WINDOWS:
-                    whole = [np.concatenate(x) for x in zip(*waiting, strict=True)]
-                    for i in range(0, ready - STEP_WINDOWS + 1, STEP_WINDOWS):
-                        trainer.step(*[x[i : i + STEP_WINDOWS] for x in whole])
-                        steps += 1
-                    ready %= STEP_WINDOWS
-                    waiting = [tuple(x[len(x) - ready :] for x in whole)] if ready else []
-        if waiting:
-            trainer.step(*[np.concatenate(x) for x in zip(*waiting, strict=True)])
-            steps += 1
-        if steps:
-            flat = np.concatenate([trainer.p[k].ravel() for k in PARAMETERS])
-            values = np.round(np.clip(flat, -50, 50) * _FIXED).astype(np.int64) * steps
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(values), pa.array(np.full(len(flat), steps))], ["at", "value", "steps"])
+            for sizes, before, data in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                windows = Windows(np.frombuffer(data, np.uint16), np.frombuffer(sizes, np.int64), np.frombuffer(before, np.int64), vocabulary)
+                trainer = Trainer(flat, vocabulary.table)
+                for batch in windows.batches(turn):
+                    trainer.step(*batch)
+                if trainer.t:
+                    values = np.append(np.round(np.clip(trainer.flat, -50, 50).astype(np.float64) * _FIXED).astype(np.int64), 1) * trainer.t
+                    total = values if total is None else total + values
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["data"])
 
     return run
 
@@ -335,35 +477,34 @@ def _train(state, turn: int):
 class Scorer:
     """Natural log probabilities of all ids of a text, each scored once, from tables made of the parameters."""
 
-    CHUNK = 64  # windows of one batch, whose arrays stay in a core's cache
+    CHUNK = 64  # windows of one batch, whose arrays stay in a core's cache; the last is filled up, so all are alike
 
-    def __init__(self, p: dict, vocabulary: Vocabulary):
+    def __init__(self, flat: np.ndarray, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        p = unpack(flat)
         qkv = np.hstack([p["Q"] * np.float32(WIDTH**-0.5), p["K"], p["V"]])
-        self.by_input, self.by_place = p["E"] @ qkv, p["P"] @ qkv
+        e = p["E"][vocabulary.inputs]
+        self.by_input, self.by_place = e @ qkv, p["P"] @ qkv
         self.out = p["O"] @ p["U"]
-        self.direct, self.placed = p["E"] @ p["U"] + p["G"] + p["c"], p["P"] @ p["U"]
+        self.direct, self.placed = e @ p["U"] + vocabulary.table, p["P"] @ p["U"]
 
-    def classes(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        x = np.take(self.by_input, inputs, 0)
+    def classes(self, before: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        x = np.take(self.by_input, before, 0)
         x += self.by_place
         q, k, v = x[..., :WIDTH], x[..., WIDTH : 2 * WIDTH], x[..., 2 * WIDTH :]
-        s = q @ k.transpose(0, 2, 1)
-        np.minimum(s, 60, out=s)
-        s += _MASK
-        np.exp(s, out=s)
-        o = s @ v
-        o /= s.sum(-1, keepdims=True)
-        logits = (o.reshape(-1, WIDTH) @ self.out).reshape(*inputs.shape, CLASSES)
-        logits += np.take(self.direct, inputs, 0)
+        o = _weights(q @ k.transpose(0, 2, 1)) @ v
+        logits = o.reshape(-1, WIDTH) @ self.out
+        logits += np.take(self.direct, before.ravel(), 0)
+        logits = logits.reshape(*before.shape, CLASSES)
         logits += self.placed
-        np.clip(logits, -60, 60, out=logits)
-        picked = np.take_along_axis(logits, targets[..., None], -1)[..., 0].copy()
-        np.exp(logits, out=logits)
-        return picked - np.log(logits.sum(-1))
-
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text."""
+        np.minimum(logits, 60, out=logits)
+        flat = logits.reshape(-1, CLASSES)
+        picked = flat[np.arange(len(flat)), targets.ravel()]
+        np.exp(flat, out=flat)
+        return (picked - np.log(_row_sums(flat)[:, 0] + np.float32(1e-30))).reshape(before.shape)
+
+    def units(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probability of every unit of the texts, end to end, and how many units each text has."""
         sizes = np.array([len(t) for t in texts])
         ids = np.concatenate(texts).astype(np.int64)
         base = np.cumsum(sizes) - sizes
@@ -371,20 +512,49 @@ class Scorer:
         counts = 1 + np.maximum(0, -(-(sizes - WINDOW) // step))
         owner = np.repeat(np.arange(len(texts)), counts)
         begin = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
-        before = np.empty(len(ids), np.int64)
-        before[1:] = self.vocabulary.inputs[ids[:-1]]
-        before[base] = 0
-        target = self.vocabulary.classes[ids]
-        out = np.bincount(np.repeat(np.arange(len(texts)), sizes), self.vocabulary.inside[ids], len(texts))
-        place = np.arange(WINDOW)
+        previous = np.empty(len(ids), np.int64)
+        previous[1:] = ids[:-1]
+        previous[base] = IDS
+        before, target = self.vocabulary.follows[previous], self.vocabulary.classes[ids]
+        out, place = np.empty(len(owner)), np.arange(WINDOW)
         for i in range(0, len(owner), self.CHUNK):
             own, first = owner[i : i + self.CHUNK], begin[i : i + self.CHUNK]
             at = first[:, None] + place
             fresh = (at < sizes[own][:, None]) & ((place >= CONTEXT) | (first[:, None] == 0))
             at = np.minimum(at, sizes[own][:, None] - 1) + base[own][:, None]
-            got = self.classes(before[at], target[at])
-            out += np.bincount(own, np.where(fresh, got, 0).sum(1, dtype=np.float64), len(texts))
-        return out / np.log(10)
+            filled = np.vstack([at, np.repeat(at[:1], self.CHUNK - len(at), 0)]) if len(at) < self.CHUNK else at
+            got = self.classes(before[filled], target[filled])[: len(at)]
+            out[i : i + len(at)] = np.where(fresh, got, 0).sum(1, dtype=np.float64)
+        inside = np.concatenate(([0.0], np.cumsum(self.vocabulary.inside[ids], dtype=np.float64)))
+        ends = base[owner] + np.minimum(sizes[owner], begin + WINDOW)
+        starts = base[owner] + np.where(begin > 0, begin + CONTEXT, 0)
+        return out + inside[ends] - inside[starts], counts
+
+    def score(self, texts: list[np.ndarray], remembered=None) -> np.ndarray:
+        """log10 probability of each text. ``remembered``: for every unit in how many (other) training texts the text's
+        beginning up to the unit's end occurs, and how many share what is before the unit."""
+        log, counts = self.units(texts)
+        if remembered is not None:
+            seen, of = remembered
+            with np.errstate(divide="ignore", invalid="ignore"):
+                log = np.where(of > 0, np.logaddexp(np.log(seen / of), log) - np.log(2), log)
+        return np.add.reduceat(log, np.cumsum(counts) - counts) / np.log(10)
+
+
+def remembered(texts: list[np.ndarray], held: list[bool], nodes: np.ndarray, totals: np.ndarray, docs_train: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every unit of the texts: the training texts, but for the text itself, that have its beginning up to the unit's
+    end, and up to its start. ``nodes`` (ascending) with ``totals`` are the beginnings that are known."""
+    seen, of = [], []
+    for ids, out in zip(texts, held, strict=True):
+        own = beginnings(ids)
+        if len(nodes):
+            at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
+            n = np.where(nodes[at] == own, totals[at] - (not out), 0)
+        else:
+            n = np.zeros(len(own), np.int64)
+        seen.append(n)
+        of.append(np.concatenate(([docs_train - (not out)], n[:-1])))
+    return np.concatenate(seen).astype(np.float64), np.concatenate(of).astype(np.float64)
 
 
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -397,25 +567,39 @@ def _score(state, ranks_path: str, n_train: int, n_distinct: int):
         scorer, encoding = Scorer(*state.value[:2]), _ranks(ranks_path)
         docs_train = state.value[2]
         lowest, bottom = np.log10(n_train + 0.5 * (n_distinct + 1)), np.log10(0.5)
-        end, block, logs = np.log10(docs_train + 0.5) - lowest, None, {}
+        end, block, logs, begun, memory = np.log10(docs_train + 0.5) - lowest, None, {}, [], None
         for b in batches:
             rows = []
             for kind, at, doc_id, held, data, counts in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
                 if at != block:
-                    block, logs = at, {}
-                if kind:  # a block's totals come before its documents
+                    if rows:
+                        yield emit(scorer, rows, memory, docs_train)
+                        rows = []
+                    block, logs, begun, memory = at, {}, [], None
+                if kind == 1:  # a block's totals come before its documents
                     logs.update(zip(data.split(b"\n"), (np.log10(np.frombuffer(counts, np.int64) + 0.5) - lowest).tolist(), strict=True))
                     continue
+                if kind == 4:
+                    begun.append((np.frombuffer(data, np.uint64), np.frombuffer(counts, np.int64)))
+                    continue
+                if memory is None:
+                    nodes, totals = (np.concatenate(x) for x in zip(*begun, strict=True)) if begun else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                    order = np.argsort(nodes)
+                    memory = nodes[order], totals[order]
                 ids = np.frombuffer(data, np.uint16)
                 words = encoding.decode_bytes(ids[:-1].tolist()).lower().split()
                 each = np.fromiter(map(logs.__getitem__, words), np.float64, len(words))
                 known = int((each > bottom - lowest + 1e-9).sum()) + (docs_train > 0)
                 rows.append((doc_id, held, len(words) + 1, known, n_train, float(each.sum() + end), ids))
             if rows:
-                scores = np.round(scorer.score([r[-1] for r in rows]), 4)
-                columns = [*zip(*[r[:-1] for r in rows], strict=True), scores]
-                kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                yield emit(scorer, rows, memory, docs_train)
+
+    def emit(scorer, rows, memory, docs_train) -> pa.RecordBatch:
+        texts = [r[-1] for r in rows]
+        scores = np.round(scorer.score(texts, remembered(texts, [r[1] for r in rows], *memory, docs_train)), 4)
+        columns = [*zip(*[r[:-1] for r in rows], strict=True), scores]
+        kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     return run
 
@@ -423,40 +607,44 @@ def _score(state, ranks_path: str, n_train: int, n_distinct: int):
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_path: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row, over its whole text.
 
-    Training rows are those whose crc32(doc_id as text) mod 5 is not 1. Null texts count as empty (one end token);
-    null ids are training rows; repeated rows count and are scored each; with no training row all counts are zero;
-    an empty table gives an empty result; other columns are ignored.
+    Training rows are those whose crc32(doc_id as text) mod 5 is not 1. The score of a training row is the model's
+    without what the memory has of that row itself. Rows don't depend on how the input is cut into partitions.
+
+    Null texts count as empty (one end token); null ids are training rows; repeated rows count and are scored each; with
+    no training row all counts are zero; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    buckets = max(8, -(-text_bytes(docs, text) // BUCKET_TEXT))
-    read = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_learn_counts(ranks_path, buckets), ROW)
+    size = text_bytes(docs, text)
+    buckets, blocks = max(8, -(-size // BUCKET_TEXT)), max(8, -(-size // BLOCK_TEXT))
+    read = docs.select(quoted(doc_id)[0].cast("long").alias("doc_id"), *quoted(text)).mapInArrow(_learn_counts(ranks_path, buckets), ROW)
     read = table(read, "lm", "kind")
     texts = read.where("kind = 0")
-    totals = table(read.where("kind = 1").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_add_up, ROW), "totals", "kind")
+    totals = table(read.where("kind IN (1, 4)").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_add_up, ROW), "totals", "kind")
     train_docs = texts.where("NOT held").count()
     n_words = read.where("kind = 1").agg(F.sum("total")).first()[0] or 0
     n_distinct = totals.where("kind = 3").agg(F.sum("total")).first()[0] or 0
-    counts = np.zeros(IDS, np.int64)
-    for r in read.where("kind = 2").mapInArrow(_id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # no more rows than the tokenizer has ids
-        counts[r["id"]] = r["n"]
+    counts = _total(read.where("kind = 2"), IDS, blocks)
     vocabulary = Vocabulary(counts)
-    p = start(vocabulary)
+    shards = max(1, -(-int(counts.sum()) // SHARD_IDS))
+    state = spark.sparkContext.broadcast(vocabulary)
+    dealt = table(texts.where("NOT held").select("doc_id", "data").mapInArrow(_deal(state, shards), PIECE), "pieces")
+    vocabulary.learn(_total(dealt.where("shard IS NULL"), FOLLOWED * CLASSES, blocks))
+    pieces = dealt.where("shard IS NOT NULL").repartition(shards, "shard").sortWithinPartitions("shard", "place")
+    packed = table(pieces.mapInArrow(_pack, "sizes binary, before binary, data binary"), "shards")
+    drop(dealt)
+    flat = start()
     for turn in range(ROUNDS):
-        state = spark.sparkContext.broadcast((p, vocabulary))
-        learnt = texts.where("NOT held").select("doc_id", "data").mapInArrow(_train(state, turn), "at long, value long, steps long")
-        mean = learnt.groupBy("at").agg((F.sum("value") / F.sum("steps")).alias("value")).collect()  # a row for each parameter
-        if mean:
-            flat = np.zeros(sum(int(np.prod(s)) for s in PARAMETERS.values()), np.float32)
-            for r in mean:
-                flat[r["at"]] = r["value"] / _FIXED
-            cut = np.cumsum([int(np.prod(s)) for s in PARAMETERS.values()])[:-1]
-            p = {k: x.reshape(s) for (k, s), x in zip(PARAMETERS.items(), np.split(flat, cut), strict=True)}
-    state = spark.sparkContext.broadcast((p, vocabulary, train_docs))
+        state = spark.sparkContext.broadcast((flat, vocabulary))
+        total = _total(packed.mapInArrow(_train(state, turn), "data binary"), len(flat) + 1, shards)
+        if total[-1]:
+            flat = (total[:-1] / (total[-1] * _FIXED)).astype(np.float32)
+    drop(packed)
+    state = spark.sparkContext.broadcast((flat, vocabulary, train_docs))
     columns = ["kind", "block", "doc_id", "held", "data", "counts"]
-    both = texts.select(*columns).unionByName(totals.where("kind = 1").select(*columns))
-    both = both.repartition("block").sortWithinPartitions("block", F.desc("kind"))
+    both = texts.select(*columns).unionByName(totals.where("kind IN (1, 4)").select(*columns))
+    both = both.repartition(blocks, "block").sortWithinPartitions("block", F.desc("kind"))
     return both.mapInArrow(_score(state, ranks_path, n_words + train_docs, n_distinct + (train_docs > 0)), SCORE)
 
 

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm import jaccard_join, lm_scoring, mpeg_audio, packing, quality, secrets, sharding, url_filters, warc
+from tessera.llm import jaccard_join, mpeg_audio, packing, quality, secrets, sharding, url_filters, warc
 from tessera.llm.mixing import mix, mixed
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, kept string, features string, repeats int, class string"
@@ -378,91 +378,6 @@ def test_urls(spark):
     assert url_filters.judge(df.limit(0), url_filters.rules_frame(spark)).count() == 0
 
 
-# ---- language model
-
-
-def test_gradients():
-    rng = np.random.default_rng(0)
-    v = lm_scoring.Vocabulary(rng.integers(0, 50, lm_scoring.IDS))
-    p = {k: x.astype(np.float64) + 0.1 * rng.standard_normal(x.shape) for k, x in lm_scoring.start(v).items()}
-    ids = rng.integers(0, lm_scoring.IDS, 90).astype(np.uint16)
-    batch = lm_scoring.windows(ids, np.array([0, 32, 64]), v)
-    _, g = lm_scoring.gradients(p, *batch)
-    for k in ("Q", "K", "V", "O", "U", "c", "P"):
-        at = tuple(int(rng.integers(0, n)) for n in p[k].shape)
-        up, down = ({**p, k: p[k].copy()} for _ in range(2))
-        up[k][at] += 1e-4
-        down[k][at] -= 1e-4
-        slope = (lm_scoring.gradients(up, *batch)[0] - lm_scoring.gradients(down, *batch)[0]) / 2e-4
-        assert abs(slope - g[k][at]) < 2e-4 + 0.02 * abs(slope)
-
-
-def test_learns():
-    rng = np.random.default_rng(1)
-    v = lm_scoring.Vocabulary(np.where(np.arange(lm_scoring.IDS) < 40, 100, 0))
-    text = lambda: np.tile(rng.permutation(20), 20)[:300].astype(np.uint16)
-    before = lm_scoring.start(v)
-    t = lm_scoring.Trainer(before)
-    for _ in range(150):
-        t.step(*[np.concatenate(x) for x in zip(*[lm_scoring.windows(text(), np.arange(0, 300, 32), v) for _ in range(6)], strict=True)])
-    held = [text() for _ in range(5)]
-    assert lm_scoring.Scorer(t.p, v).score(held).sum() > 0.9 * lm_scoring.Scorer(before, v).score(held).sum()
-
-
-def test_scores_each_id_once():
-    rng = np.random.default_rng(2)
-    v = lm_scoring.Vocabulary(rng.integers(0, 50, lm_scoring.IDS))
-    p = lm_scoring.start(v)
-    s = lm_scoring.Scorer(p, v)
-    for n in (1, 31, 32, 33, 56, 57, 200):
-        ids = rng.integers(0, lm_scoring.IDS, n).astype(np.uint16)
-        step, total, at = lm_scoring.WINDOW - lm_scoring.CONTEXT, 0.0, 0
-        while True:
-            x, y, valid = lm_scoring.windows(ids, np.array([at]), v)
-            got = s.classes(x, y)[0]
-            fresh = valid[0] & ((np.arange(lm_scoring.WINDOW) >= lm_scoring.CONTEXT) | (at == 0))
-            total += got[fresh].sum()
-            if at + lm_scoring.WINDOW >= n:
-                break
-            at += step
-        assert math.isclose((total + v.inside[ids].sum()) / math.log(10), s.score([ids, ids])[1], rel_tol=1e-4)
-
-
-def test_rounds_take_every_window_once():
-    for doc_id in (None, 1, 2, 77):
-        for n in (1, 32, 33, 64, 128, 256, 500, 5000):
-            got = np.concatenate([lm_scoring.round_starts(doc_id, n, turn) for turn in range(lm_scoring.ROUNDS)])
-            assert sorted(got.tolist()) == list(range(0, n, lm_scoring.WINDOW))
-
-
-def test_training_steps_take_every_window(monkeypatch):
-    import types
-
-    import pyarrow as pa
-
-    seen = []
-    monkeypatch.setattr(lm_scoring.Trainer, "step", lambda self, inputs, targets, valid: seen.append(int(valid.sum())))
-    v = lm_scoring.Vocabulary(np.arange(lm_scoring.IDS))
-    state = types.SimpleNamespace(value=(lm_scoring.start(v), v))
-    sizes = [1, 31, 64, 256, 700, 9000, 40]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([np.full(n, 7, np.uint16).tobytes() for n in sizes])], ["doc_id", "data"])
-    for turn in range(lm_scoring.ROUNDS):
-        list(lm_scoring._train(state, turn)([batch]))
-    assert sum(seen) == sum(sizes)
-
-
-def test_lm_base(spark, odd, none):
-    rows = odd.collect()
-    tokens = {i: (r.text or "").encode().lower().split() + [b" "] for i, r in enumerate(rows)}
-    held = {i: lm_scoring.held_out(r.doc_id) for i, r in enumerate(rows)}
-    c = Counter(w for i, t in tokens.items() if not held[i] for w in t)
-    n, v = sum(c.values()), len(c)
-    want = Counter((r.doc_id, held[i], len(tokens[i]), sum(c[w] > 0 for w in tokens[i]), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[i]), 3)) for i, r in enumerate(rows))
-    got = lm_scoring.scored(odd).collect()
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3)) for r in got) == want
-    assert all(math.isfinite(r.score) and r.score < 0 for r in got) and lm_scoring.scored(none).count() == 0
-
-
 # ---- pipeline
 
 
@@ -484,31 +399,6 @@ def test_pipeline(spark, odd):
     assert {r.doc_id for r in stages["packing"](spark, clear, "").collect()} == {r.doc_id for r in clear.collect()}
 
 
-def test_words_encoded_together():
-    encoding = packing._ranks(files()[1])
-    words = ["Ab", "c.d", "é漢", "x ", " y", "\x1c", "1234567", "don't", "a" * 300]
-    flat, lengths = lm_scoring._encode_words(encoding, [w.encode() for w in words])
-    each = [encoding.encode_ordinary(" " + w) for w in words]
-    assert flat.tolist() == [i for e in each for i in e] and lengths.tolist() == list(map(len, each))
-
-
-def test_pieces_give_ids_of_whole_text():
-    encoding, rng = packing._ranks(files()[1]), random.Random(12)
-    texts = ["a\n\tb  c\n\n d \n", "", " ", "\n", "a\xa0b \xa0c\xa0\n\nd", "x\x1cy \x1f z\u2003 \u2003w", "don't  'll\r\n9 9", "é漢\u3000 🙂\x85q"]
-    texts += ["".join(rng.choice([" ", "\n", "\t", "\xa0", "\x1c", "a", "'s", "é", "7", "#"]) for _ in range(rng.randrange(40))) for _ in range(500)]
-    for text in texts:
-        pieces = lm_scoring._PIECE.findall(text)
-        flat, lengths = lm_scoring._encode_pieces(encoding, pieces)
-        assert "".join(pieces) == text and flat.tolist() == encoding.encode_ordinary(text) and len(lengths) == len(pieces)
-
-
-def test_lm_layout(spark):
-    texts = ["a b c d", "a b\n\tc  d", "a b c d\n", "a\xa0b C d"]
-    rows = {r.doc_id: r for r in lm_scoring.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert len({r.score for r in rows.values()}) == 4 and rows[0].base_score == rows[1].base_score == rows[2].base_score
-    assert [rows[i].n_tokens for i in range(4)] == [5, 5, 5, 4]
-
-
 def test_oracles(spark):
     """Operators that SQL can express, over whole tables."""
     import duckdb
