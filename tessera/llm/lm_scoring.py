@@ -3,7 +3,7 @@ memory of the training texts.
 
 1. ``_learn_counts`` reads every text once and writes its subword ids in blocks of some megabytes of text, with the
    words of each block and their training counts, dealt out by hash. A text's ids are those of the whole text, white
-   space included; they are put together from pieces that the tokenizer never joins, each encoded once in a block.
+   space included.
 2. Buckets add the counts up and answer each block with its own words' totals, so no task holds the vocabulary. Beginnings
    of texts, cut at every unit's end, are counted in the same way: what the training texts are known to go on with.
 3. The attention model is trained on every window of every training document. Documents are dealt by a hash of what they
@@ -17,11 +17,10 @@ memory of the training texts.
 
 from __future__ import annotations
 
-import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -69,127 +68,57 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
 
 
-#: White space as the tokenizer's pattern has it; that of bytes.split is the part within ASCII.
-_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pieces at whose ends the tokenizer's pattern always cuts: a word with the space before it, white space up to its
-#: last character before a word, and that character where it is no space.
-_PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
-_OTHER_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-class _Index(dict):
-    """Numbers of pieces in the order in which they are first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def _encode_words(encoding, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the words, each with a space before it, end to end, and how many each word has.
-
-    The words are encoded as one text: a space opens a new piece, so no id spans two words, and a word's first id is
-    the one that begins with a space. Should the counts ever disagree, words are encoded one by one.
-    """
-    flat = np.array(encoding.encode_ordinary("".join(" " + w.decode("utf-8", "replace") for w in words)), np.uint16)
-    opens = np.flatnonzero(_opens_word(encoding)[flat])
-    if len(opens) == len(words):
-        return flat, np.diff(np.append(opens, len(flat)))
-    each = [encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
-    return np.fromiter(chain.from_iterable(each), np.uint16), np.fromiter(map(len, each), np.int64, len(words))
-
-
-def _encode_pieces(encoding, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the pieces, end to end, and how many each has: words after a space as one text, others one by one."""
-    after, others = [], []
-    for i, x in enumerate(pieces):
-        (after if x[0] == " " and len(x) > 1 and not x.isspace() else others).append(i)
-    words, sizes = _encode_words(encoding, [pieces[i][1:].encode() for i in after])
-    each = encoding.encode_ordinary_batch([pieces[i] for i in others], num_threads=1)
-    lengths = np.zeros(len(pieces), np.int64)
-    lengths[after], lengths[others] = sizes, list(map(len, each))
-    first, flat = np.cumsum(lengths) - lengths, np.empty(int(lengths.sum()), np.uint16)
-    for at, ids in ((after, words), (others, np.fromiter(chain.from_iterable(each), np.uint16))):
-        n = lengths[at]
-        flat[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
-    return flat, lengths
-
-
-@lru_cache(1)
-def _opens_word(encoding) -> np.ndarray:
-    return np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(END)] + [False])
+def _dealt_out(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets that occur, with the places of their keys."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+        yield k, order[ends[k] : ends[k + 1]]
 
 
 def _learn_counts(ranks_path: str, buckets: int):
     """Kinds: 0 a document's ids, 1 words of a block and bucket with training counts, 2 training counts of all ids,
-    4 beginnings of a block's texts and bucket with training counts."""
+    4 beginnings of a block's texts and bucket with training counts. A word has a row's entry for each block that it is
+    in, however often, so no word and no beginning grows a bucket by more than that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, block = _ranks(ranks_path), TaskContext.get().partitionId() << 24
-        index, held_docs, size = _Index(), [], 0  # of the block: pieces, (doc_id, held out, piece numbers), bytes
-        apart: dict[bytes, int] = {}  # training counts of words of texts whose pieces end inside a word
         ids_seen = np.zeros(IDS, np.int64)
+        words, others, nodes, taught, size = Counter(), set(), [], [], 0  # of the block
 
         def close() -> Iterator[pa.RecordBatch]:
-            flat, lengths = _encode_pieces(encoding, list(index))
-            first = np.cumsum(lengths) - lengths
-            counts, rows = np.zeros((2, len(index)), np.int64), []  # of pieces, and of those that are words
-            nodes, taught = [], []
-            for doc_id, held, numbers, odd in held_docs:
-                n = lengths[numbers]
-                ids = np.empty(int(n.sum()) + 1, np.uint16)
-                ids[:-1] = flat[np.repeat(first[numbers] - (np.cumsum(n) - n), n) + np.arange(len(ids) - 1)]
-                ids[-1] = END
-                if not held:
-                    np.add.at(counts[0], numbers, 1)
-                    if not odd:
-                        np.add.at(counts[1], numbers, 1)
-                    ids_seen[END] += 1
-                nodes.append(beginnings(ids))
-                taught.append(np.full(len(nodes[-1]), not held))
-                rows.append((0, block, None, doc_id, held, None, ids.tobytes(), None))
-                if len(rows) == 512:
-                    yield _rows(rows)
-                    rows = []
-            if rows:
-                yield _rows(rows)
-            ids_seen[:] += np.bincount(flat, np.repeat(counts[0], lengths), IDS).astype(np.int64)
-            lower = dict(apart)
-            for piece, n in zip(index, counts[1].tolist(), strict=True):
-                for w in piece.encode().lower().split():  # none in white space
-                    lower[w] = lower.get(w, 0) + n
-            by: list[list[bytes]] = [[] for _ in range(buckets)]
-            for w in lower:
-                by[xxhash.xxh3_64_intdigest(w) % buckets].append(w)
-            rows = []
-            for k, ws in enumerate(by):
-                if ws:
-                    n = np.fromiter((lower[w] for w in ws), np.uint32, len(ws))
-                    rows.append((1, block, k, None, None, int(n.sum()), b"\n".join(ws), n.tobytes()))
+            for w in others:
+                words.setdefault(w, 0)
+            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            names, counts = np.array(list(words), object), np.fromiter(words.values(), np.uint32, len(words))
+            rows = [(1, block, k, None, None, int(counts[at].sum()), b"\n".join(names[at]), counts[at].tobytes()) for k, at in _dealt_out(keys, buckets)]
             known, at = np.unique(np.concatenate(nodes), return_inverse=True)
-            taught = np.concatenate(taught)
-            asked = np.bincount(at, ~taught, len(known)) > 0  # by a held-out text; the count's highest bit
-            times = np.bincount(at, taught, len(known)).astype(np.uint32) | asked.astype(np.uint32) << np.uint32(31)
-            bucket = (known % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows += [(4, block, k, None, None, None, known[order[a:b]].tobytes(), times[order[a:b]].tobytes()) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
+            train = np.concatenate(taught)
+            asked = np.bincount(at, ~train, len(known)) > 0  # by a held-out text; the count's highest bit
+            times = np.bincount(at, train, len(known)).astype(np.uint32) | asked.astype(np.uint32) << np.uint32(31)
+            rows += [(4, block, k, None, None, None, known[at].tobytes(), times[at].tobytes()) for k, at in _dealt_out(known, buckets)]
             yield _rows(rows)
 
         for b in batches:
+            rows = []
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                text, held = (raw or b"").decode("utf-8", "replace"), held_out(doc_id)
-                pieces = _PIECE.findall(text)
-                odd = not text.isascii() and _OTHER_SPACE.search(text) is not None
-                if odd:
-                    for w in text.encode().lower().split():
-                        apart[w] = apart.get(w, 0) + (not held)
-                held_docs.append((doc_id, held, np.fromiter(map(index.__getitem__, pieces), np.int32, len(pieces)), odd))
-                size += len(raw or b"") + 1
+                raw, held = raw or b"", held_out(doc_id)
+                ids = np.array([*encoding.encode_ordinary(raw.decode("utf-8", "replace")), END], np.uint16)
+                (others if held else words).update(raw.lower().split())
+                if not held:
+                    np.add.at(ids_seen, ids, 1)
+                nodes.append(beginnings(ids))
+                taught.append(np.full(len(nodes[-1]), not held))
+                rows.append((0, block, None, doc_id, held, None, ids.tobytes(), None))
+                size += len(raw) + 1
                 if size >= BLOCK_TEXT:
+                    yield _rows(rows)
                     yield from close()
-                    index, held_docs, apart, size, block = _Index(), [], {}, 0, block + 1
-        if held_docs:
+                    words, others, nodes, taught, size, block, rows = Counter(), set(), [], [], 0, block + 1, []
+            if rows:
+                yield _rows(rows)
+        if nodes:
             yield from close()
         if ids_seen.any():
             yield _rows([(2, block, None, None, None, None, ids_seen.tobytes(), None)])
@@ -313,14 +242,12 @@ def _row_sums(x: np.ndarray) -> np.ndarray:
     return x @ _ones[x.shape[-1]]
 
 
-def _weights(logits: np.ndarray) -> np.ndarray:
-    """Causal attention from bounded logits, whose exponentials need no maximum."""
-    np.minimum(logits, 60, out=logits)
-    np.maximum(logits, -60, out=logits)
+def _weights(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Causal attention from bounded logits, whose exponentials need no maximum, and by what its rows are to be multiplied."""
+    np.clip(logits, -60, 60, out=logits)
     np.exp(logits, out=logits)
     logits *= _MASK
-    logits *= 1 / _row_sums(logits)
-    return logits
+    return logits, 1 / _row_sums(logits)
 
 
 def gradients(p: dict, table: np.ndarray, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -335,28 +262,34 @@ def gradients(p: dict, table: np.ndarray, inputs: np.ndarray, before: np.ndarray
     flat = x.reshape(m, WIDTH)
     scaled = p["Q"] * p["Q"].dtype.type(scale)
     q, k, v = (flat @ scaled).reshape(shape), (flat @ p["K"]).reshape(shape), (flat @ p["V"]).reshape(shape)
-    a = _weights(q @ k.transpose(0, 2, 1))
+    a, r = _weights(q @ k.transpose(0, 2, 1))
     o = a @ v
+    o *= r
     h = o.reshape(m, WIDTH) @ p["O"]
     h += flat
     y = h @ p["U"]
     y += np.take(table, before.ravel(), 0)
     np.minimum(y, 60, out=y)
     np.exp(y, out=y)
-    y *= 1 / (_row_sums(y) + np.float32(1e-30))
+    sums = _row_sums(y)
+    sums += np.float32(1e-30)
+    weight = (valid.reshape(m, 1) / max(1, int(valid.sum()))).astype(y.dtype)
     at = np.arange(m) * CLASSES + targets.ravel()
     whole = y.ravel()
-    picked = whole[at]
-    whole[at] = picked - 1
-    y *= (valid.ravel() / max(1, int(valid.sum()))).astype(y.dtype)[:, None]
+    picked = whole[at] / sums[:, 0]
+    y *= weight / sums
+    whole[at] -= weight[:, 0]
     np.matmul(h.T, y, out=g["U"])
     dh = y @ p["U"].T
     np.matmul(o.reshape(m, WIDTH).T, dh, out=g["O"])
     do = (dh @ p["O"].T).reshape(shape)
     ds = do @ v.transpose(0, 2, 1)
-    ds -= _row_sums(ds * a)
+    ds -= (do * o).sum(-1, keepdims=True)
     ds *= a
-    dq, dk, dv = (ds @ k).reshape(m, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(m, WIDTH), (a.transpose(0, 2, 1) @ do).reshape(m, WIDTH)
+    do *= r
+    dq = (ds @ k * r).reshape(m, WIDTH)
+    q *= r
+    dk, dv = (ds.transpose(0, 2, 1) @ q).reshape(m, WIDTH), (a.transpose(0, 2, 1) @ do).reshape(m, WIDTH)
     g["Q"][:], g["K"][:], g["V"][:] = flat.T @ dq * scale, flat.T @ dk, flat.T @ dv
     dh += dq @ scaled.T
     dh += dk @ p["K"].T
@@ -394,24 +327,22 @@ class Windows:
     """All windows of a shard: its pieces end to end (``sizes``), and the id before each (IDS: none)."""
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, before: np.ndarray, vocabulary: Vocabulary):
-        first = np.cumsum(sizes) - sizes
-        previous = np.empty(len(ids), np.int64)
-        previous[1:] = ids[:-1]
-        previous[first] = before
-        self.before, self.targets = vocabulary.follows[previous].astype(np.int32), vocabulary.classes[ids].astype(np.int32)
-        self.inputs = vocabulary.inputs[self.before].astype(np.int32)
-        counts = -(-sizes // WINDOW)
+        self.ids, self.vocabulary = ids, vocabulary
+        first, counts = np.cumsum(sizes) - sizes, -(-sizes // WINDOW)
         inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
         self.starts, self.ends = np.repeat(first, counts) + inside * WINDOW, np.repeat(first + sizes, counts)
+        self.before = np.where(inside > 0, ids[np.maximum(self.starts - 1, 0)], np.repeat(before, counts))
 
     def batches(self, turn: int) -> Iterator[tuple]:
         """Every ROUNDS-th window from the ``turn``-th on; the rounds together take every window once."""
-        starts, ends = self.starts[turn::ROUNDS], self.ends[turn::ROUNDS]
+        starts, ends, before = (x[turn::ROUNDS] for x in (self.starts, self.ends, self.before))
+        v = self.vocabulary
         for i in range(0, len(starts), STEP_WINDOWS):
             at = starts[i : i + STEP_WINDOWS, None] + np.arange(WINDOW)
             valid = at < ends[i : i + STEP_WINDOWS, None]
-            at = np.minimum(at, len(self.targets) - 1)
-            yield self.inputs[at], self.before[at], self.targets[at], valid
+            ids = self.ids[np.minimum(at, len(self.ids) - 1)]
+            follows = v.follows[np.hstack([before[i : i + STEP_WINDOWS, None], ids[:, :-1]])]
+            yield v.inputs[follows], follows, v.classes[ids], valid
 
 
 PIECE = "shard long, place long, before int, data binary"
@@ -492,7 +423,9 @@ class Scorer:
         x = np.take(self.by_input, before, 0)
         x += self.by_place
         q, k, v = x[..., :WIDTH], x[..., WIDTH : 2 * WIDTH], x[..., 2 * WIDTH :]
-        o = _weights(q @ k.transpose(0, 2, 1)) @ v
+        a, r = _weights(q @ k.transpose(0, 2, 1))
+        o = a @ v
+        o *= r
         logits = o.reshape(-1, WIDTH) @ self.out
         logits += np.take(self.direct, before.ravel(), 0)
         logits = logits.reshape(*before.shape, CLASSES)

@@ -1,11 +1,9 @@
 """Language-model scores: gradients, learning, windows, the memory, and independence of partitions."""
 
 import math
-import random
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from tessera.llm import lm_scoring, packing
 from tests.llm.test_llm import files, none, odd  # noqa: F401
@@ -166,24 +164,6 @@ def test_lm_base(spark, odd, none):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got) and lm_scoring.scored(none).count() == 0
 
 
-def test_words_encoded_together():
-    encoding = packing._ranks(files()[1])
-    words = ["Ab", "c.d", "é漢", "x ", " y", "\x1c", "1234567", "don't", "a" * 300]
-    flat, lengths = lm_scoring._encode_words(encoding, [w.encode() for w in words])
-    each = [encoding.encode_ordinary(" " + w) for w in words]
-    assert flat.tolist() == [i for e in each for i in e] and lengths.tolist() == list(map(len, each))
-
-
-def test_pieces_give_ids_of_whole_text():
-    encoding, rng = packing._ranks(files()[1]), random.Random(12)
-    texts = ["a\n\tb  c\n\n d \n", "", " ", "\n", "a\xa0b \xa0c\xa0\n\nd", "x\x1cy \x1f z\u2003 \u2003w", "don't  'll\r\n9 9", "é漢\u3000 🙂\x85q"]
-    texts += ["".join(rng.choice([" ", "\n", "\t", "\xa0", "\x1c", "a", "'s", "é", "7", "#"]) for _ in range(rng.randrange(40))) for _ in range(500)]
-    for text in texts:
-        pieces = lm_scoring._PIECE.findall(text)
-        flat, lengths = lm_scoring._encode_pieces(encoding, pieces)
-        assert "".join(pieces) == text and flat.tolist() == encoding.encode_ordinary(text) and len(lengths) == len(pieces)
-
-
 def test_lm_layout(spark):
     texts = ["a b c d", "a b\n\tc  d", "a b c d\n", "a\xa0b C d"]
     rows = {r.doc_id: r for r in lm_scoring.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
