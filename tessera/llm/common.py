@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import json
 import tempfile
 import uuid
 
@@ -101,11 +102,12 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A few literal rows as a DataFrame that no Python worker touches. ``schema``: ``name type, ...``."""
-    fields = [x.split() for x in schema.split(",")]
-    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields, strict=True)]) for row in rows]
-    empty = F.array().cast(f"array<struct<{','.join(f'{n}:{k}' for n, k in fields)}>>")
-    return spark.range(1).select(F.inline(F.array(*structs) if structs else empty))
+    """Rows that the driver has as a DataFrame that no Python worker touches, by way of one literal text, so plans stay
+    small. ``schema``: ``name type, ...``."""
+    names = [x.split()[0] for x in schema.split(",")]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    kind = ",".join("{}:{}".format(*x.split()) for x in schema.split(","))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
 
 
 def quoted(*names: str) -> list[Column]:

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm import jaccard_join, mpeg_audio, packing, quality, secrets, sharding, url_filters, warc
+from tessera.llm import jaccard_join, mpeg_audio, packing, quality, secrets, url_filters, warc
 from tessera.llm.mixing import mix, mixed
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, kept string, features string, repeats int, class string"
@@ -348,23 +348,6 @@ def test_mixing(spark, odd, none):
     assert mix(none).count() == 0 and mixed(none).count() == 0 and mix(odd).count() == odd.count()
 
 
-# ---- sharding
-
-
-def test_sharding(spark, odd, none):
-    rng = random.Random(6)
-    rows = [doc(i, "same text" if i % 3 == 0 else prose(rng, rng.randrange(1, 60)), source=rng.choice("abc")) for i in range(1500)]
-    got = sharding.kd_shards(spark.createDataFrame(rows, DOC), shards=24).collect()
-    size, slots = Counter(), {}
-    for r in got:
-        assert r.size == len(rows[r.doc_id][1].encode()) + 8 and r.text_crc32 == zlib.crc32(rows[r.doc_id][1].encode())
-        size[r.shard] += r.size
-        slots.setdefault(r.shard, []).append(r.slot)
-    assert set(size) == set(range(24)) and max(size.values()) - min(size.values()) < 1200 and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert sharding.kd_shards(none, shards=24).count() == 0 and sharding.kd_shards(odd, shards=24).count() == odd.count()
-    assert sharding.kd_shards(odd, target_bytes=100_000).select("shard").distinct().count() > 1
-
-
 # ---- URL filters
 
 
