@@ -113,20 +113,9 @@ def thresholds(narrow: DataFrame, names: dict[str, tuple[bool, float]]) -> DataF
     return df.select("lang", "source", *columns)
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) of every row, the struct ``features``, ``base_failed`` and ``kept``.
-
-    A document fails the base rules if it has under MIN_WORDS words or over MAX_REPEAT_PERCENT of its words in repeated
-    windows. Others are kept unless a ratio lies outside the thresholds of their language and source: the median
-    plus or minus FENCE spreads, from sketches of all documents that pass the base rules. Texts are read once: features
-    are written beside the columns that are kept, and sketches and verdicts come from there.
-
-    Null and empty texts have no words and fail; null languages and sources are groups of their own; repeated rows
-    count each; texts of any length are judged whole; an empty table stays empty; columns named features, base_failed
-    or kept are replaced, and other names of columns don't matter.
-    """
+def _verdicts(docs: DataFrame, text: str, lang: str, source: str, keep: list[str]) -> tuple[DataFrame, str, str, Column]:
+    """The columns ``keep`` beside private ones: the names of features and base verdict, and the verdict."""
     prepare(docs.sparkSession)
-    keep = [c for c in (keep or docs.columns) if c.lower() not in ("features", "base_failed", "kept")]
     own = fresh(keep, "lang", "source", "features", "failed", "t_lang", "t_source", "limits")
     f = own["features"]
     both = docs.select(*quoted(*keep), quoted(lang)[0].alias(own["lang"]), quoted(source)[0].alias(own["source"]), F.arrow_udf(_features, FEATURES)(*quoted(text)).alias(f))
@@ -144,7 +133,30 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     for n, v in names.items():
         low, high = (F.col(f"{own['limits']}.{n}_{side}") for side in ("low", "high"))
         inside &= (v <= F.coalesce(high, F.lit(float("inf")))) & (v >= F.coalesce(low, F.lit(float("-inf"))))
-    return df.select(*quoted(*keep), F.col(f).alias("features"), F.col(own["failed"]).alias("base_failed"), (~F.col(own["failed"]) & inside).alias("kept"))
+    return df, f, own["failed"], ~F.col(own["failed"]) & inside
+
+
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all) of every row, the struct ``features``, ``base_failed`` and ``kept``.
+
+    A document fails the base rules if it has under MIN_WORDS words or over MAX_REPEAT_PERCENT of its words in repeated
+    windows. Others are kept unless a ratio lies outside the thresholds of their language and source: the median
+    plus or minus FENCE spreads, from sketches of all documents that pass the base rules. Texts are read once: features
+    are written beside the columns that are kept, and sketches and verdicts come from there.
+
+    Null and empty texts have no words and fail; null languages and sources are groups of their own; repeated rows
+    count each; texts of any length are judged whole; an empty table stays empty; columns named features, base_failed
+    or kept are replaced, and other names of columns don't matter.
+    """
+    keep = [c for c in (keep or docs.columns) if c.lower() not in ("features", "base_failed", "kept")]
+    df, f, failed, kept = _verdicts(docs, text, lang, source, keep)
+    return df.select(*quoted(*keep), F.col(f).alias("features"), F.col(failed).alias("base_failed"), kept.alias("kept"))
+
+
+def passing(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with all their columns, whatever their names."""
+    df, _, _, kept = _verdicts(docs, text, lang, source, docs.columns)
+    return df.where(kept).select(*quoted(*docs.columns))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

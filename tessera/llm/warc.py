@@ -27,6 +27,7 @@ class Record(NamedTuple):
     offset: int
     headers: dict
     block: bytes
+    checked: bool = True  #: whether it was checked as a whole; of a damaged member only the block was
 
     @property
     def payload(self) -> bytes:
@@ -130,6 +131,8 @@ def _sound(content: bytes, whole: bool) -> tuple[list[tuple[dict, bytes]], str]:
     return records, reason
 
 
+#: What zlib says where a member is inflated to its end, but isn't what was stored.
+_CHECK = re.compile("incorrect (data|length) check")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 
 
@@ -137,18 +140,23 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
     """Records of an archive (gzip members or plain), and the gaps between them.
 
     When a check fails, the reader goes on at the next member or version line from which a whole record can be read;
-    the bytes passed over are one gap. Nothing after damage is lost but what the damage itself covers.
+    the bytes passed over are one gap. Of a damaged member those records come back that inflate, parse and have their
+    block's digest, unless the member's checksum fails though all of them do; their headers, which have no digest, may
+    hold damage all the same, so they are marked as not ``checked``.
     """
     view, pos, lost, reason = memoryview(data), 0, None, ""
     while pos < len(data):
-        damage = ""  # of a member some of whose records are lost
+        damage, checked = "", True  # of a member some of whose records are lost
         try:
             if data.startswith(b"\x1f\x8b", pos):
                 try:
                     content, end = _member(view, pos)
                     records, damage = _sound(content, True)
                 except (ValueError, zlib.error) as e:
-                    records, damage = _sound(_partial(view, pos), False)[0], str(e)[:80]
+                    records, lost_one = _sound(_partial(view, pos), False)
+                    damage, checked = str(e)[:80], False
+                    if _CHECK.search(damage) and not lost_one:
+                        records = []  # all blocks are sound, so the damage lies in some record's headers, which nothing checks
                     m = _START.search(data, pos + 1)
                     end = m.start() if m else len(data)
                 if not records:
@@ -166,7 +174,7 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
             yield Gap(lost, pos, reason)
             lost = None
         for headers, block in records:
-            yield Record(pos, headers, block)
+            yield Record(pos, headers, block, checked)
         if damage:
             lost, reason = pos, damage
         pos = end
@@ -216,29 +224,29 @@ def write_archives(frame: DataFrame, page_id: str = "page_id", url: str = "url",
     return rows.mapInArrow(_write, "path string, content binary")
 
 
-FOUND = "page_id long, record_type string, refers_to long, digest string, payload_bytes long, payload_digest string, path string, offset long, end long, reason string"
-_FOUND = ["page_id", "record_type", "refers_to", "digest", "payload_bytes", "payload_digest", "path", "offset", "end", "reason"]
+FOUND = "page_id long, record_type string, refers_to long, digest string, payload_bytes long, payload_digest string, path string, offset long, end long, reason string, checked boolean"
+_FOUND = ["page_id", "record_type", "refers_to", "digest", "payload_bytes", "payload_digest", "path", "offset", "end", "reason", "checked"]
 
 
 def _salvage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = lambda x: int(m[1]) if x and (m := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
-    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
     for b in batches:
         for row in b.to_pylist():
             out = []
             for x in read_archive(row["content"] or b""):
                 if isinstance(x, Gap):
-                    out.append((None, "gap", None, None, None, None, row["path"], x.start, x.end, x.reason))
+                    out.append((None, "gap", None, None, None, None, row["path"], x.start, x.end, x.reason, None))
                     continue
                 h, stored = x.headers, x.headers.get("warc-type") != "revisit"
                 digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
                 own = hashlib.sha1(x.payload).hexdigest() if stored else None
-                out.append((number(h.get("warc-record-id")), h.get("warc-type"), number(h.get("warc-refers-to")), digest, len(x.payload) if stored else None, own, row["path"], x.offset, None, None))
+                out.append((number(h.get("warc-record-id")), h.get("warc-type"), number(h.get("warc-refers-to")), digest, len(x.payload) if stored else None, own, row["path"], x.offset, None, None, x.checked))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(types), types, strict=True)], _FOUND)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """A row for each record and each quarantined gap (record_type ``gap``, offset, end, reason) of (path, content).
+    """A row for each record and each quarantined gap (record_type ``gap``, offset, end, reason) of (path, content). ``checked``: see ``read_archive``.
 
     A revisit's payload is that of the record it refers to: bytes and digest come from there, and stay null if it is lost.
     """
@@ -248,7 +256,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     originals = found.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("o_id"), F.col("payload_digest").alias("o_digest")).agg(F.max("payload_bytes").alias("o_bytes"))
     both = found.join(originals, (F.col("record_type") == "revisit") & (F.col("refers_to") == F.col("o_id")) & (F.col("digest") == F.col("o_digest")), "left")
     return both.select(
-        "page_id", "record_type", "refers_to", F.coalesce("payload_bytes", "o_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "o_digest").alias("payload_digest"), "path", "offset", "end", "reason"
+        "page_id", "record_type", "refers_to", F.coalesce("payload_bytes", "o_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "o_digest").alias("payload_digest"), "path", "offset", "end", "reason", "checked"
     )
 
 

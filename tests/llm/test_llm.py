@@ -395,3 +395,86 @@ def test_oracles(spark):
         df = registry.queries()[name](spark, "/root/testdata/sf0.001")
         assert sorted(df.columns) == sorted(con.sql(sql).columns)
         assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, con.sql(sql).select(*df.columns).fetchall())), name
+
+
+# ---- clashing names, long urls, packing's promises
+
+
+def test_clashing_names(spark):
+    kind = "page_id long, url string, won string, k_host string, short string, rule_host string, verdict string, full string"
+    long = "http://" + "a." * 3000 + "example.net/en/" + "x/" * 100_000
+    df = spark.createDataFrame([(1, "http://net/x", *"abcdef"), (2, long, *"abcdef"), (3, None, *[None] * 6)], kind)
+    out = url_filters.judge(df, url_filters.rules_frame(spark))
+    assert out.columns == ["page_id", "url", "won", "k_host", "short", "rule_host", "full", "host", "path", "rule", "verdict"]
+    assert {r.page_id: (r.rule, r.verdict, r.won) for r in out.collect()} == {1: ("net/", "block", "a"), 2: ("example.net/en/", "allow", "a"), 3: (None, "allow", None)}
+    pages = spark.createDataFrame([(1, "u", "h" * 1200, "a", "b"), (2, "v", "h" * 1200, "a", "b"), (None, "w", "h" * 3_000_000, None, None)], "page_id long, url string, html string, digest string, key string")
+    got = warc.read_archives(warc.write_archives(pages)).collect()
+    assert Counter((r.page_id, r.record_type, r.payload_bytes) for r in got) == Counter([(1, "revisit", 1200), (2, "response", 1200), (None, "response", 3_000_000)])
+
+
+def test_rules_beyond_a_broadcast(spark, monkeypatch):
+    urls = spark.createDataFrame([(i, f"http://h{i % 7}.net/p{i % 5}/x") for i in range(200)], "page_id long, url string")
+    want = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(urls, url_filters.rules_frame(spark)).collect()}
+    monkeypatch.setattr(url_filters, "BROADCAST_BYTES", 0)
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(urls, url_filters.rules_frame(spark)).collect()} == want
+
+
+def test_spread_moves_the_verdict(spark):
+    """The same document is an outlier among even ones and none among varied ones."""
+    rng = random.Random(4)
+    even = [doc(i, " ".join(f"word{rng.randrange(10)}" for _ in range(60)), "en", "even") for i in range(150)]
+    varied = [doc(1000 + i, " ".join("x" * rng.randrange(3, 6 + i % 7) for _ in range(60)), "en", "varied") for i in range(150)]
+    odd_one = " ".join(f"longword{k:02d}" for k in range(60))
+    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame([*even, *varied, doc(5001, odd_one, "en", "even"), doc(5002, odd_one, "en", "varied")], DOC)).collect()}
+    assert not got[5001] and got[5002]
+
+
+def test_packing_covers_every_id_once(spark, odd):
+    rows = [tuple(r) for r in odd.collect()]
+    named = [(k, r[1]) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(named, "doc_id long, text string").repartition(3)
+    got = packing.pack(df).collect()
+    ids = {i: np.append(packing.token_ids(t or "", *files()), packing.END_ID).astype("<u4") for i, t in named}
+    at, groups = Counter(), {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == at[r.doc_id] and r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        at[r.doc_id] += r.length
+        assert r.tier in packing.TIERS and r.offset + r.length <= r.tier
+        groups.setdefault(r.step_group, {})[r.sequence_id] = r.tier
+    assert at == Counter({i: len(x) for i, x in ids.items()})
+
+
+def test_packing_balances_steps(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, prose(rng, rng.choice([20, 60, 150, 400, 900]))) for i in range(600)], "doc_id long, text string").repartition(1)
+    steps: dict = {}
+    for r in packing.pack(df).collect():
+        steps.setdefault(r.step_group, {})[r.sequence_id] = r.tier
+    full = [Counter(s.values()) for s in steps.values()]
+    for tier in packing.TIERS:
+        n = [c[tier] for c in full]
+        assert max(n) - min(n) <= 2, tier
+
+
+def test_salvage_of_every_cut_and_flip():
+    """Five records in one member, cut or with a bit flipped anywhere: those that lie wholly before the damage come back."""
+    import gzip
+
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    blocks = [random.Random(i).randbytes(400) for i in range(5)]
+    plain = [gzip.decompress(warc.record(i, "u", b, sha(b))) for i, b in enumerate(blocks)]
+    data = gzip.compress(b"".join(plain), mtime=0)
+    number = lambda g: int(g.headers["warc-record-id"][10:-1])
+    best = 0
+    for cut in range(20, len(data), 37):
+        for broken in (data[:cut], data[:cut] + bytes([data[cut] ^ 16]) + data[cut + 1 :]):
+            got = list(warc.read_archive(broken + warc.record(9, "u", b"p", sha(b"p"))))
+            found = [g for g in got if isinstance(g, warc.Record)]
+            sure = {number(g) for g in found if g.payload in blocks and blocks.index(g.payload) == number(g)}
+            assert all(g.payload in blocks or g.payload == b"p" for g in found) and number(found[-1]) == 9
+            assert all(not g.checked or g.payload == (blocks[number(g)] if number(g) < 9 else b"p") for g in found)
+            whole = warc._partial(memoryview(data[:cut]), 0)
+            assert sure >= {i for i in range(5) if len(b"".join(plain[: i + 1])) < len(whole)}
+            assert any(isinstance(g, warc.Gap) for g in got)
+            best = max(best, len(found))
+    assert best >= 4
