@@ -7,14 +7,14 @@ from tessera.llm.common import documents, quoted, table
 from tessera.llm.jaccard_join import one_of_each
 from tessera.llm.mixing import mixed
 from tessera.llm.packing import pack
-from tessera.llm.quality import judged
+from tessera.llm.quality import passing
 from tessera.llm.secrets import redacted
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the adaptive thresholds reject go, and with them null, empty and short texts.
     Null languages and sources are groups of their own; repeated rows are judged alike; other columns pass through."""
-    return judged(docs).where("kept").select(*quoted(*docs.columns))
+    return passing(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
