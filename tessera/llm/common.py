@@ -64,10 +64,25 @@ def drop(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t.written_at)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete all tables that operators have written so far; results that still read them must have been stored."""
-    for at in list(_written):
-        _delete(spark, at)
+def written() -> frozenset[str]:
+    """Where the tables lie that operators have written so far."""
+    return frozenset(_written)
+
+
+def _changed(spark: SparkSession, at: str) -> int:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+
+
+def sweep(tables: frozenset[str], stored: DataFrame) -> None:
+    """Delete ``tables`` that have done their work: ``stored`` is read from files that are younger than all of them, so it
+    is what came of them, and none of them is among its files. In doubt all stay."""
+    tables, spark = tables & _written, stored.sparkSession
+    files = stored.inputFiles() if tables else []
+    if files and not any(at.removeprefix("file://") in f for f in files for at in tables):
+        if min(_changed(spark, f) for f in files[:1]) >= max(_changed(spark, at) for at in tables):
+            for at in tables:
+                _delete(spark, at)
 
 
 def fresh(names: list[str], *wanted: str) -> dict[str, str]:

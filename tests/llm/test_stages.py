@@ -100,3 +100,17 @@ def test_run_against_plain_stages(spark, tmp_path):
         total[r.doc_id] += r.length
         assert r.doc_tokens == sizes[r.doc_id]
     assert total == Counter({i: n * sizes[i] for i, n in want.items()})
+
+
+def test_tables_of_the_stage_before_go(spark, rows, tmp_path):
+    from tessera.llm import common
+
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["quality rules"](spark, spark.createDataFrame(rows, DOC), "")
+    before = corpus_pipeline._left[0]
+    assert before and before <= common.written()
+    lazy = stages["secret scans"](spark, first, "")  # reads them still
+    assert before <= common.written() and lazy.count() > 0
+    first.write.parquet(f"{tmp_path}/kept")
+    corpus_pipeline._left[0] = before
+    assert stages["secret scans"](spark, spark.read.parquet(f"{tmp_path}/kept"), "").count() > 0 and not before & common.written()
