@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,11 +29,15 @@ BULK_SUBJECTS = (
 SOCIAL_SUBJECTS = r"\bparty\b|\bgrill\b|\bbbq\b|\bbarbecue\b|\bbeach\b|\bvedro\b|\bchill\b|\bvolejbal\b|\boslava\b|\bnarodeninov|narodeninám\b|\bnaroden[iy]\b"
 SYSTEM_ADDRESSES = r"no[-_]?reply|noreply|mailer.daemon|postmaster|bounce|notification|unsubscribe|donotreply|do.not.reply|auto.reply|autoreply"
 LETTERS_SK_ONLY, LETTERS_SK, LETTERS_DE = "ľĺŕôĽĹŔÔ", "áčďéíňóšťúýžÁČĎÉÍŇÓŠŤÚÝŽ", "üößÜÖ"
-_FOLD = {
-    "a": "áàâäãåā", "c": "čćç", "d": "ď", "e": "éèêëěē", "i": "íìîïī", "l": "ľĺ", "n": "ňñń", "o": "óòôöõőō", "r": "řŕ", "s": "šś", "t": "ť", "u": "úùûüůűū", "y": "ýÿ", "z": "žźż",
-}
-ACCENTED = "".join(_FOLD.values())
-PLAIN = "".join(k * len(v) for k, v in _FOLD.items())
+
+def _folded() -> tuple[str, str]:
+    """Letters that decompose into a letter and marks, as Unicode has it, and their lower-case base letters."""
+    pairs = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, range(0xC0, 0x2000))]
+    pairs = [(c, d[0].lower()) for c, d in pairs if len(d) > 1 and all(map(unicodedata.combining, d[1:])) and not unicodedata.combining(d[0]) and c == c.lower() and len(d[0].lower()) == 1]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+ACCENTED, PLAIN = _folded()
 
 
 def strip(x: Column) -> Column:
@@ -44,8 +50,8 @@ def squeeze(x: Column) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    return F.translate(F.lower(x), ACCENTED, PLAIN)
+    """Lower case, letters without their marks, and marks that stand alone dropped."""
+    return F.regexp_replace(F.translate(F.lower(x), ACCENTED, PLAIN), r"\p{Mn}", "")
 
 
 def html_strip(x: Column) -> Column:
@@ -90,14 +96,23 @@ def clean_body(x: Column, cuts: tuple[str, ...] = QUOTE_CUTS) -> Column:
     return strip(F.regexp_replace(F.array_join(good, "\n"), r"\n{3,}", "\n\n"))
 
 
-def email_type(sender: Column, subject: Column, bulk_senders: str = BULK_SENDERS) -> Column:
+def email_type(sender: Column, subject: Column, bulk_senders: str = BULK_SENDERS, bulk_subjects: str = BULK_SUBJECTS) -> Column:
+    """BULK, SOCIAL or WORK; an organisation's own patterns go into the arguments, beside the general ones."""
     s = F.coalesce(subject, F.lit(""))
-    bulk = F.lower(F.coalesce(sender, F.lit(""))).rlike(f"(?iU){bulk_senders}") | s.rlike(f"(?iU){BULK_SUBJECTS}")
+    bulk = F.lower(F.coalesce(sender, F.lit(""))).rlike(f"(?iU){bulk_senders}") | s.rlike(f"(?iU){bulk_subjects}")
     return F.when(bulk, "BULK").when(s.rlike(f"(?iU){SOCIAL_SUBJECTS}"), "SOCIAL").otherwise("WORK")
 
 
-def is_system(address: Column) -> Column:
-    return F.substring_index(address, "@", 1).rlike(f"(?i){SYSTEM_ADDRESSES}")
+def is_system(address: Column, patterns: str = SYSTEM_ADDRESSES) -> Column:
+    """Whether an address's local part is that of a machine; ``patterns`` may add an organisation's own."""
+    return F.substring_index(address, "@", 1).rlike(f"(?i){patterns}")
+
+
+def persons_of_mail(sender: Column, *lists: Column, patterns: str = SYSTEM_ADDRESSES) -> Column:
+    """The different persons, ascending, of a sender and lists of {name, address}: lower-cased, with an at sign, no machines."""
+    every = F.concat(F.array(sender), *[F.transform(F.coalesce(x, F.array().cast("array<struct<name:string,address:string>>")), lambda a: a["address"]) for x in lists])
+    clean = F.transform(every, lambda a: F.lower(strip(a)))
+    return F.array_sort(F.array_distinct(F.filter(clean, lambda a: F.contains(a, F.lit("@")) & ~is_system(a, patterns))))
 
 
 def domain(address: Column) -> Column:

@@ -10,7 +10,7 @@ from tessera.functions.parsing import episode_lines, episodes, json_object, labe
 from tessera.operators.components import connected_components
 from tessera.operators.conversations import conversations, project_of
 from tessera.operators.graph import louvain
-from tessera.sources.mailbox import header_text, new_rows, parse_message, update_columns
+from tessera.sources.mailbox import header_text, new_rows, parse_message, parse_messages, update_columns
 
 
 def one(spark, f, *values):
@@ -47,9 +47,11 @@ def test_dates(spark):
 def test_parsing(spark):
     got = one(spark, json_object, '{"a": "1"}', 'text {"a": "2"} end', "none")
     assert got == [{"a": "1"}, {"a": "2"}, None]
-    assert [tuple(r) for r in one(spark, label_and_description, '{"name": "N", "desc": "D"}', "First\nsecond")] == [("N", "D"), ("First", None)]
+    raw = ['{"name": "N", "desc": "D"}', "\n First\nsecond", 'x {"title": "T", "nazov": "Z", "popis": "P", "summary": "S"} y', '{"a": 1} {"label": "L"}', '{"label": "", "name": "N"} tail', 'pre {"a": {"b": 1}, "label": "deep"} x', None]
+    assert [tuple(r) for r in one(spark, label_and_description, *raw)] == [("N", "D"), ("First", ""), ("Z", "P"), ('{"a": 1} {"label": "L"}', ""), ('{"label": "", "name": "N"} tail', ""), ("deep", ""), ("", "")]
     assert [tuple(r) for r in one(spark, summary_and_open, "SUMMARY: a b\nOPEN: c", "just text")] == [("a b", "c"), ("just text", "—")]
-    assert episode_lines("2024-02-02 - 2024-01-01: x\nmore\n\n* 2024-03-03: y") == [{"d_from": "2024-01-01", "d_to": "2024-02-02", "desc": "x more"}, {"d_from": "2024-03-03", "d_to": "2024-03-03", "desc": "y"}]
+    text = "intro\n1. [2024-02-02T10:00] - 2024-01-01 | a | x y\nmore of it here\nshort\nkoniec epizod teraz\n\nEpizóda 2: 2024-03-03: y\n2024-04-04 " + "z" * 300
+    assert episode_lines(text) == [{"d_from": "2024-01-01", "d_to": "2024-02-02", "desc": "x y / more of it here"}, {"d_from": "2024-03-03", "d_to": "2024-03-03", "desc": "y"}, {"d_from": "2024-04-04", "d_to": "2024-04-04", "desc": "(bez popisu)"}]
     assert len(one(spark, episodes, "2024-01-01: a", None)[0]) == 1
 
 
@@ -106,10 +108,31 @@ def test_louvain():
     assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(5, 10)}) == 1 and got[0] != got[5]
 
 
+def test_communities_against_louvain(spark):
+    """One way at every size: no worse than the sequential form by more than a fiftieth of modularity."""
+    from tessera.operators.graph import communities, modularity
+
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        ends = lambda g: (g * 12 + rng.randrange(12), (g if rng.random() < 0.85 else rng.randrange(8)) * 12 + rng.randrange(12))  # noqa: B023, E731
+        edges = sorted({tuple(sorted(ends(g))) for g in range(8) for _ in range(60)})
+        edges = [(a, b, 1.0 + rng.randrange(3)) for a, b in edges if a != b]
+        df = spark.createDataFrame(edges, "a long, b long, weight double")
+        plain = louvain(edges)
+        want = modularity(df, spark.createDataFrame(list(plain.items()), "node long, community long"))
+        found = communities(df)
+        assert modularity(df, found) > 0.98 * want > 0.3
+    assert communities(df.limit(0)).count() == 0
+
+
 def test_mailbox(spark):
     raw = b"From: =?utf-8?q?J=C3=A1n?= <Jan@X.example>\r\nTo: a@x.example, b@x.example\r\nSubject: =?utf-8?q?=C4=8Das?=\r\nMessage-ID: <1>\r\nDate: Mon, 01 Jan 2024 10:00:00 +0100\r\nContent-Type: text/html\r\n\r\n<style>x</style><p>Hi&nbsp;you</p>"
-    m = parse_message(raw)
+    blank = b"Subject: b\r\nContent-Type: multipart/mixed; boundary=q\r\n\r\n--q\r\nContent-Type: text/plain\r\n\r\n  \r\n--q\r\nContent-Type: text/html\r\n\r\n<b>html</b>\r\n--q\r\nContent-Type: text/plain\r\nContent-Disposition: attachment; filename=a.TXT\r\n\r\nno\r\n--q--"
+    rows = {r.path: r for r in parse_messages(spark.createDataFrame([("1", raw), ("2", blank), ("3", None)], "path string, content binary")).collect()}
+    m = rows["1"]
     assert (m["from_address"], m["from_name"], m["subject"], m["date"], m["body_text"], m["thread_id"]) == ("jan@x.example", "Ján", "čas", "2024-01-01T09:00:00Z", "Hi you", "<1>")
+    assert (rows["2"].body_text, rows["2"].has_attachments, rows["2"].attachment_names, rows["2"].attachment_types) == ("", True, '["a.TXT"]', '["txt"]') and rows["3"].error and rows["3"].body_text is None
+    assert parse_message(raw)["html"].startswith("<style>")
     assert header_text(None) == ""
     old = spark.createDataFrame([(1, "a")], "k long, v string")
     batch = spark.createDataFrame([(1, "b"), (2, "c"), (2, "d")], "k long, v string")
