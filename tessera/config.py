@@ -38,3 +38,6 @@ class EngineConfig:
     active_days: int = 60
     topic_min: int = 20
     model_cap: int = 25
+    # models
+    episode_prompt: str = "List the episodes of this thread, one a line: first day - last day | what it was about.\n\n"
+    summary_prompt: str = "Sum up where this thread stands. Begin with SUMMARY: and end with OPEN: and what is still open.\n\n"

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Column
@@ -45,29 +45,30 @@ class HashProvider:
 def apply(df: DataFrame, key: str, text: str, provider: Provider, task: str = "generate", retries: int = 3) -> DataFrame:
     """(key, result, error) of a task, a batch at a time in every partition; a failing batch is tried again, row by row last."""
     kind = "array<double>" if task == "embed" else "string"
+    result = pa.list_(pa.float64()) if task == "embed" else pa.string()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one_by_one(call, texts: list[str]) -> Iterator[tuple]:
+        for t in texts:
+            try:
+                yield call([t])[0], None
+            except Exception as e:
+                yield None, repr(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = getattr(provider, task)
-        for f in frames:
-            texts, results, errors = f[text].fillna("").tolist(), None, None
+        for b in batches:
+            texts, pairs = [t or "" for t in b.column(1).to_pylist()], None
             for _ in range(retries):
                 try:
-                    results, errors = call(texts), [None] * len(texts)
+                    pairs = [(r, None) for r in call(texts)]
                     break
-                except Exception as e:
-                    errors = [repr(e)] * len(texts)
-            if results is None:
-                results = []
-                for i, t in enumerate(texts):
-                    try:
-                        results.append(call([t])[0])
-                        errors[i] = None
-                    except Exception as e:
-                        results.append(None)
-                        errors[i] = repr(e)
-            yield pd.DataFrame({key: f[key], "result": results, "error": errors})
-
-    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, result {kind}, error string")
+                except Exception:
+                    continue
+            pairs = list(one_by_one(call, texts)) if pairs is None else pairs
+            results, errors = zip(*pairs, strict=True) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(results, result), pa.array(errors, pa.string())], [key, "result", "error"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, result {kind}, error string")
 
 
 def thread_text(df: DataFrame, key: str, order: list[str], text: str, each: int = 600, most: int = 6000, mark: str = " […]", separator: str = "\n---\n") -> DataFrame:

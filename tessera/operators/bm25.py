@@ -2,19 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from .components import written
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
 
 def postings(docs: DataFrame, doc_id: str, *columns: str) -> DataFrame:
-    """(id, tokens) of each document; the index is always computed from the table as it is."""
+    """(id, tokens) of each document."""
     return docs.select(F.col(doc_id).alias("id"), F.concat(*[words(F.col(c)) for c in columns]).alias("tokens"))
 
 
+#: Parts of an index; a query reads those of its terms.
+PARTS = 64
+
+
+class Index:
+    """Postings (term, id, n) in parts by the term's hash, and the documents' lengths: written once, read by every query."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.postings, self.lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+
+    @classmethod
+    def build(cls, docs: DataFrame, doc_id: str, columns: list[str], path: str) -> Index:
+        """Texts are read and cut into terms once; a document's terms are counted before they leave it."""
+        tokens = postings(docs, doc_id, *columns)
+        tokens.select("id", F.size("tokens").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
+        each = tokens.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").cast("int").alias("n"))
+        each = each.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int"))
+        each.repartition(PARTS, "part").sortWithinPartitions("part", "term", "id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+        return cls(docs.sparkSession, path)
+
+    def hits(self, terms: list[str]) -> DataFrame:
+        """(term, id, n) of the terms; parts and row groups without them aren't read."""
+        parts = [r[0] for r in self.postings.sparkSession.range(1).select(F.explode(F.transform(F.array(*map(F.lit, terms)), lambda t: F.pmod(F.xxhash64(t), F.lit(PARTS)).cast("int")))).collect()]
+        return self.postings.where(F.col("part").isin(parts) & F.col("term").isin(terms)).select("term", "id", "n")
+
+    def hit_count(self, terms: list[str]) -> DataFrame:
+        """(hits): documents with any of the terms."""
+        return self.hits(terms).agg(F.count_distinct("id").alias("hits"))
+
+    def ranks(self, terms: list[str]) -> DataFrame:
+        """(id, rank) as ``bm25`` gives them."""
+        hits = self.hits(terms)
+        stats = self.lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+        idf = hits.groupBy("term").agg(F.count("*").alias("d")).join(F.broadcast(stats)).withColumn("idf", F.log((F.col("docs") - F.col("d") + 0.5) / (F.col("d") + 0.5)))
+        idf = F.broadcast(idf.select("term", "mean", F.when(F.col("idf") <= 0, FLOOR).otherwise(F.col("idf")).alias("idf")))  # a row for each term
+        rows = hits.join(idf, "term").join(self.lengths, "id")
+        part = F.col("idf") * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        return rows.groupBy("id").agg((-F.sum(part)).alias("rank"))
+
+
 def bm25(docs: DataFrame, doc_id: str, columns: list[str], terms: list[str]) -> DataFrame:
     """(id, rank) of documents with any of the terms (lower-cased, folded); lower ranks are better.
 
@@ -23,7 +64,7 @@ def bm25(docs: DataFrame, doc_id: str, columns: list[str], terms: list[str]) ->
     tokens = postings(docs, doc_id, *columns).withColumn("length", F.size("tokens"))
     times = lambda t: F.size(F.filter("tokens", lambda x: x == F.lit(t)))
     counts = {f"t{i}": times(t) for i, t in enumerate(terms)}
-    rows = tokens.select("id", "length", *[c.alias(n) for n, c in counts.items()])
+    rows = written(tokens.select("id", "length", *[c.alias(n) for n, c in counts.items()]), "terms")  # texts are read once
     stats = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *[F.sum((F.col(n) > 0).cast("long")).alias(f"d{n}") for n in counts])
     joined = rows.where(" OR ".join(f"{n} > 0" for n in counts)).crossJoin(F.broadcast(stats))  # one row
     total = F.lit(0.0)

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.dates import parse_iso, whole_days
-from ..functions.text import addresses_in, email_type, message_ids, normalize_subject, strip
+from ..functions.parsing import episodes, summary_and_open
+from ..functions.text import addresses_in, clean_body, drop_prefixes, email_type, message_ids, normalize_subject, strip
+from ..models import Provider, apply
 from .components import connected_components, written
+from .persons import firms_by_domain, firms_of
 from .reports import numbered
-from .segments import active_streak, newest, time_blocks
+from .segments import active_streak, in_episodes, latest_block, newest, sample_thirds, time_blocks
 
 
 def header_edges(mails: DataFrame) -> DataFrame:
     """(a, b): a mail and the one that its In-Reply-To or References name; of equal message ids the last counts."""
     named = F.array_distinct(F.concat(message_ids(F.col("in_reply_to")), message_ids(F.col("references"))))
     refs = mails.select(F.col("id").alias("a"), F.explode(named).alias("ref"))
-    owners = mails.where("message_id IS NOT NULL").groupBy("message_id").agg(F.max("id").alias("b"))
+    owners = mails.where("message_id IS NOT NULL").groupBy("message_id").agg(F.max_by("id", F.struct(F.coalesce("date", F.lit("")), "id")).alias("b"))
     return refs.join(owners, refs["ref"] == owners["message_id"]).where("a != b").select("a", "b")
 
 
@@ -79,3 +82,52 @@ def active_window(mails: DataFrame, config: EngineConfig = EngineConfig()) -> Da
     return out.orderBy(F.desc("date"), "conversation_id").limit(config.model_cap).select(
         "conversation_id", "subject", F.col("date").alias("last_activity"), "n_window", F.col("n_streak"), (F.col("last_block") > config.topic_min).alias("needs_topic")
     )
+
+
+def _thread_texts(rows: DataFrame, key: list[str], each: int, most: int) -> DataFrame:
+    """(key..., text): cleaned bodies of (date, id, from_address, body_text), in order, under a line of date and sender."""
+    body = clean_body(F.col("body_text"))
+    rows = rows.withColumn("_b", body).where("_b != ''")
+    line = F.concat(F.lit("["), F.coalesce(F.substring("date", 1, 16), F.lit("")), F.lit("] "), F.coalesce("from_address", F.lit("?")), F.lit("\n"), F.when(F.length("_b") > each, F.concat(F.substring("_b", 1, each), F.lit("[...]"))).otherwise(F.col("_b")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("date", F.lit("")).alias("date"), "id", line.alias("line")))), lambda x: x["line"]), "\n\n---\n\n").alias("text")
+    return rows.groupBy(*key).agg(joined).withColumn("text", F.when(F.length("text") > most, F.concat(F.substring("text", 1, most), F.lit("\n[...]"))).otherwise(F.col("text")))
+
+
+def active_threads(mails: DataFrame, labels: DataFrame, provider: Provider, config: EngineConfig = EngineConfig(), computed_at: str = "") -> DataFrame:
+    """Rows of the table ``active_threads``: what the conversations of ``active_window`` are about at last.
+
+    Of a streak's mails with a body, the last block is the episode; where it has more than ``topic_min`` mails, a model
+    names episodes from a sample of it, and the last of those with a mail counts. The model sums the episode up.
+    Mails: id, conversation_id, date, from_address, to_addresses, cc_addresses, subject, body_text; labels
+    (conversation_id, label): the label that most of a conversation's mails have.
+    """
+    found = written(active_window(mails, config), "active")
+    rows = mails.join(F.broadcast(found.select("conversation_id")), "conversation_id").withColumn("ts", parse_iso(F.col("date")))  # model_cap rows
+    streak = written(active_streak(rows, "conversation_id", "ts", "id", config.streak_gap_days), "streak")
+    blocks = time_blocks(streak.where(F.trim(F.coalesce("body_text", F.lit(""))) != ""), "conversation_id", "ts", "id", config.block_gap_days)
+    last = written(latest_block(blocks, "conversation_id"), "last")
+    size = F.count("*").over(Window.partitionBy("conversation_id"))
+    large = last.withColumn("_size", size).where(F.col("_size") > config.topic_min).drop("_size")
+    texts = _thread_texts(sample_thirds(large, "conversation_id", [F.asc_nulls_first("date"), F.col("id")], 6), ["conversation_id"], 400, 6000)
+    named = written(apply(texts.withColumn("prompt", F.concat(F.lit(config.episode_prompt), "text")), "conversation_id", "prompt", provider), "episodes")
+    episodes_ = named.select("conversation_id", F.posexplode(episodes(F.col("result"))).alias("i", "e")).select("conversation_id", "i", "e.*")
+    inside = in_episodes(large.withColumn("_day", F.substring("date", 1, 10)), episodes_, "conversation_id", "_day")
+    inside = inside.withColumn("_last", F.max("i").over(Window.partitionBy("conversation_id"))).where("i = _last")
+    part = inside.select("conversation_id", "id", "date", "from_address", "body_text", "d_from", "d_to")
+    days = Window.partitionBy("conversation_id")
+    day = F.substring("date", 1, 10)
+    whole = last.join(part.select("conversation_id").distinct(), "conversation_id", "left_anti").select("conversation_id", "id", "date", "from_address", "body_text", F.min(day).over(days).alias("d_from"), F.max(day).over(days).alias("d_to"))
+    episode = written(part.unionByName(whole), "episode")
+    spans = episode.groupBy("conversation_id").agg(F.first("d_from").alias("episode_from"), F.first("d_to").alias("episode_to"))
+    about = _thread_texts(episode, ["conversation_id"], 400, 8000).withColumn("prompt", F.concat(F.lit(config.summary_prompt), "text"))
+    sums = apply(about, "conversation_id", "prompt", provider).select("conversation_id", summary_and_open(F.coalesce("result", "error")).alias("s")).select("conversation_id", "s.*")
+    people = streak.select("conversation_id", F.explode(F.array_distinct(F.flatten(F.array(*[addresses_in(F.col(c)) for c in ("from_address", "to_addresses", "cc_addresses")])))).alias("address")).distinct()
+    people = written(firms_by_domain(people, "address", config.firms), "people")
+    firms = people.groupBy("conversation_id").agg(F.array_join(F.array_sort(F.collect_set("firm")), "|").alias("firms"))
+    segmented = large.select("conversation_id").distinct().withColumn("_s", F.lit(1))
+    out = found.join(spans, "conversation_id").join(sums, "conversation_id", "left").join(firms_of(people, "conversation_id", "local", "firm"), "conversation_id", "left").join(firms, "conversation_id", "left")
+    out = out.join(project_of(rows, labels, config), "conversation_id", "left").join(segmented, "conversation_id", "left")
+    return out.select(
+        "conversation_id", drop_prefixes(F.coalesce("subject", F.lit(""))).alias("subject"), F.substring("last_activity", 1, 10).alias("last_activity"), F.col("n_window").cast("int").alias("n_window"), F.col("n_streak").cast("int").alias("n_streak"),
+        "episode_from", "episode_to", "summary", "open_points", "participants", "firms", F.coalesce("_s", F.lit(0)).alias("is_segmented"), "project", "project_source", F.lit(computed_at).alias("computed_at"),
+    )

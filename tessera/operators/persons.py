@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import is_active
+
 
 def person_stats(mails: DataFrame, sender: str, recipients: str, date: str) -> DataFrame:
     """(person, email_count, as_sender, as_recipient, first_date, last_date). A mail counts once for its sender, and once
@@ -19,6 +21,14 @@ def person_stats(mails: DataFrame, sender: str, recipients: str, date: str) -> D
     )
 
 
+def roles(stats: DataFrame, domain: str, internal_domain: str, as_of: str, days: int = 60, main: int = 3) -> DataFrame:
+    """Adds ``internal``, ``active`` (seen in the last days) and ``role`` to statistics with a domain."""
+    stats = main_contacts(stats, main).withColumn("internal", F.col(domain) == internal_domain)
+    side = F.when(F.col("internal"), "internal").otherwise(F.concat(F.lit("external "), F.col(domain)))
+    active = F.coalesce(is_active(F.col("last_date"), F.lit(as_of).cast("date"), days), F.lit(False))
+    return stats.withColumn("role", F.concat_ws(", ", side, F.when(F.col("main_contact"), "main contact"))).withColumn("active", active)
+
+
 def main_contacts(stats: DataFrame, n: int = 3) -> DataFrame:
     ranked = stats.orderBy(F.desc("email_count"), "person").limit(n).select("person", F.lit(True).alias("m"))
     return stats.join(F.broadcast(ranked), "person", "left").withColumn("main_contact", F.coalesce("m", F.lit(False))).drop("m")
@@ -30,6 +40,12 @@ def dominant_community(persons: DataFrame, membership: DataFrame) -> DataFrame:
     return votes.orderBy(F.desc("votes"), "community").limit(1)
 
 
+def firms_by_domain(people: DataFrame, address: str, firms: dict[str, str]) -> DataFrame:
+    """Adds ``firm``, that of the address's domain or ``ext:domain``, and ``local``, what stands before the at sign."""
+    known = F.coalesce(*[F.when(F.substring_index(address, "@", -1) == d, F.lit(f)) for d, f in firms.items()], F.concat(F.lit("ext:"), F.substring_index(address, "@", -1)))
+    return people.withColumn("firm", known).withColumn("local", F.substring_index(address, "@", 1))
+
+
 def firms_of(people: DataFrame, key: str, person: str, firm: str) -> DataFrame:
     """One line a group: ``firm: a, b | firm: c``."""
     by = people.groupBy(key, firm).agg(F.array_join(F.array_sort(F.collect_set(F.col(person).cast("string"))), ", ").alias("who"))

@@ -85,6 +85,29 @@ def fact_scores(answers: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return rows.groupBy("model", key).agg(F.count_if("hit").alias("found"), F.count("*").alias("facts"))
 
 
+#: Words inside a fact by which documents that may hold it are found.
+ANCHOR = 3
+
+
+def fact_counts(docs: DataFrame, text: str, facts: DataFrame, key: str, fact: str) -> DataFrame:
+    """(key, n): how many documents hold each fact, whatever the case; facts that none holds are left out.
+
+    What stands between a fact's first and last blank are whole words of any text that holds it, so documents and facts
+    of enough words meet on ANCHOR words from there; only what meets is searched. Facts of fewer words, which have no
+    such words, are searched for everywhere, in a join that Spark broadcasts only while they are small.
+    """
+    low = docs.select(F.lower(F.col(text)).alias("low")).where("low IS NOT NULL")
+    f = facts.select(F.col(key), F.lower(F.col(fact)).alias("fact")).withColumn("words", F.split("fact", " "))
+    anchor = lambda words, i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(ANCHOR)])
+    long = f.where(F.size("words") >= ANCHOR + 2).withColumn("anchor", anchor(F.col("words"), F.lit(1)))
+    words = F.split("low", " ")
+    runs = F.when(F.size(words) >= ANCHOR, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - ANCHOR), lambda i: anchor(words, i))))
+    met = low.select("low", F.explode(runs).alias("anchor")).join(long.select(key, "fact", "anchor"), "anchor").where(F.contains("low", F.col("fact")))
+    short = f.where((F.size("words") < ANCHOR + 2) & (F.col("fact") != ""))
+    every = low.join(short, F.contains("low", F.col("fact")))
+    return met.select(key).unionAll(every.select(key)).groupBy(key).agg(F.count("*").alias("n"))
+
+
 def costs(calls: DataFrame, prices: dict[str, tuple[float, float]], runs_per_month: int = 30) -> DataFrame:
     """(model, calls, tokens_in, tokens_out, cost, cost_each, cost_month) of calls (model, tokens_in, tokens_out), where
     prices are by model and million tokens; models without a price cost nothing."""

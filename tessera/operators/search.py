@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.vectors import centroids, cosine
-from .bm25 import bm25, word_scores
+from .bm25 import Index, bm25, word_scores
 from .topics import cluster_scores, vector_top_k
 
 
@@ -20,9 +20,10 @@ def fuse(signals: list[tuple[DataFrame, str, float]], k: int) -> DataFrame:
     return rows.groupBy("id").agg(F.sum("s").alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def hybrid_search(mails: DataFrame, members: DataFrame, terms: list[str], query: list[float], config: EngineConfig = EngineConfig(), columns: tuple[str, ...] = ("subject", "body_text")) -> DataFrame:
-    """(id, score) over mails (id, ...) and members (id, cluster, vector): the top k, then those whose rounded score suffices."""
-    words = word_scores(bm25(mails, "id", list(columns), terms), config.fts_limit)
+def hybrid_search(mails: DataFrame, members: DataFrame, terms: list[str], query: list[float], config: EngineConfig = EngineConfig(), columns: tuple[str, ...] = ("subject", "body_text"), index: Index | None = None) -> DataFrame:
+    """(id, score) over mails (id, ...) and members (id, cluster, vector): the top k, then those whose rounded score suffices.
+    With an ``index`` of the mails, their texts aren't read."""
+    words = word_scores(index.ranks(terms) if index else bm25(mails, "id", list(columns), terms), config.fts_limit)
     vectors = vector_top_k(members, "id", "vector", query, config.vector_k)
     clusters = cluster_scores(members, query, config.cluster_decay, config.noise_penalty)
     a, b, c = config.weights
@@ -55,11 +56,12 @@ def expand_persons(direct: DataFrame, known: DataFrame, mails: DataFrame, config
     return rows.select("id", score.alias("score")).where(F.col("score").isNull() | (F.col("score") > config.context_threshold))
 
 
-def with_labels(ids: DataFrame, mails: DataFrame, membership: DataFrame, clusters: DataFrame, fallback: Column | str = "noise") -> DataFrame:
-    """Mails of the ids with their cluster's label; no cluster is ``fallback``."""
-    m = membership.where("source = 'hdbscan'").select(F.col("email_id").alias("id"), "cluster_id")
+def with_labels(ids: DataFrame, mails: DataFrame, membership: DataFrame, clusters: DataFrame, source: str = "hdbscan", none: str = "noise") -> DataFrame:
+    """Mails of the ids with their cluster's label, or its number's name; ``none`` without a cluster."""
+    m = membership.where(F.col("source") == source).select(F.col("email_id").alias("id"), "cluster_id")
     c = clusters.select(F.col("id").alias("cluster_id"), "label")
-    return mails.join(ids.select("id"), "id", "left_semi").join(m, "id", "left").join(c, "cluster_id", "left").withColumn("cluster_label", F.coalesce("label", F.lit(fallback) if isinstance(fallback, str) else fallback)).drop("label")
+    name = F.coalesce("label", F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string")), F.lit(none))
+    return mails.join(ids.select("id"), "id", "left_semi").join(m, "id", "left").join(c, "cluster_id", "left").withColumn("cluster_label", name).drop("label")
 
 
 def group_threads(results: DataFrame) -> DataFrame:

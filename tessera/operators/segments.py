@@ -57,6 +57,19 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
     return df if rank else df.drop(name)
 
 
+def seeded_sample(df: DataFrame, keys: list[str], row: str, n: int, seed: int = 42) -> DataFrame:
+    """Up to n rows of each group (of all without keys), the same in every run: the first by the MD5 of ``seed:row``."""
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string")))
+    return top_n(df, keys, [place, F.col(row)], n) if keys else df.orderBy(place, row).limit(n)
+
+
+def runs(df: DataFrame, key: str, order: list[Column], value: str) -> DataFrame:
+    """Rows whose value differs from that of the row before in their group."""
+    w = Window.partitionBy(key).orderBy(*order)
+    same, first = F.col(value).eqNullSafe(F.lag(value).over(w)), F.row_number().over(w) == 1
+    return df.withColumn("_start", first | ~same).where("_start").drop("_start")
+
+
 def in_episodes(mails: DataFrame, episodes: DataFrame, key: str, day: str) -> DataFrame:
     """Rows of each episode (key, d_from, d_to) whose day lies in it; a row may lie in several. The key bounds the join."""
     return mails.join(episodes, key).where((F.col(day) >= F.col("d_from")) & (F.col(day) <= F.col("d_to")))
