@@ -15,7 +15,8 @@ from ..config import EngineConfig
 from ..functions import text as T
 from ..functions.vectors import centroids, cosine
 from ..operators import graph, persons, reports, search, segments, topics
-from ..operators.bm25 import bm25, word_scores
+from ..operators.bm25 import Index, bm25, word_scores
+from ..operators.components import shared_path
 from ..sources.mailbox import new_rows, pending, upsert_watermark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -320,7 +321,7 @@ def topics_histogram(spark, d):
     return g.groupBy("topics").agg(F.count("*").alias("mails"), F.count_if(F.col("l") == 1).alias("low"))
 
 
-SAMPLE = "a AS (SELECT vec_id, label, embedding AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 10)"
+SAMPLE = """a AS (SELECT vec_id, label, embedding AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) <= 10)"""
 
 
 @query(f"""WITH {SAMPLE}, p AS (SELECT x.label = y.label AS same, {COS.format('x.v', 'y.v')} AS s FROM a x JOIN a y ON x.vec_id < y.vec_id)
@@ -331,8 +332,8 @@ def pairwise_stats(spark, d):
 
 
 def _sampled_pairs(spark, d):
-    """Ten of each cluster, so the product is of bounded size (a stated sample, as in the model comparison that it serves)."""
-    s = segments.top_n(tab(spark, d, "embeddings"), ["label"], [F.col("vec_id")], 10).select("vec_id", "label", F.col("embedding").alias("v"))
+    """Ten of each cluster by a seeded hash: the feature is a model comparison on a stratified sample."""
+    s = segments.seeded_sample(tab(spark, d, "embeddings"), ["label"], "vec_id", 10).select("vec_id", "label", F.col("embedding").alias("v"))
     x, y = s.alias("x"), s.alias("y")
     return x.join(y, F.col("x.vec_id") < F.col("y.vec_id")).select((F.col("x.label") == F.col("y.label")).alias("same"), cosine(F.col("x.v"), F.col("y.v")).alias("s"))
 
@@ -360,6 +361,28 @@ def bm25_search(spark, d):
     return bm25(tab(spark, d, "documents"), "doc_id", ["text"], list(TERMS)).select("id", F.round("rank", 6).alias("rank"))
 
 
+_indexes: dict[tuple, Index] = {}
+
+
+def index_of(spark, d) -> Index:
+    """The documents' postings index, built at the first use in a session, and again when the files change."""
+    docs = tab(spark, d, "documents")
+    key = (spark.sparkContext.applicationId, *docs.inputFiles())
+    if key not in _indexes:
+        _indexes[key] = Index.build(docs, "doc_id", ["text"], shared_path(spark, "index"))
+    return _indexes[key]
+
+
+@query(f"WITH {BM25} SELECT id, round(rank, 6) AS rank FROM bm")
+def bm25_index(spark, d):
+    return index_of(spark, d).ranks(list(TERMS)).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"WITH {BM25} SELECT count(*) AS hits FROM bm")
+def word_hits(spark, d):
+    return index_of(spark, d).hit_count(list(TERMS))
+
+
 @query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM ws")
 def word_search(spark, d):
     return word_scores(bm25(tab(spark, d, "documents"), "doc_id", ["text"], list(TERMS))).select("id", F.round("score", 6).alias("score"))
@@ -373,7 +396,7 @@ SEARCH = EngineConfig(top_k=50, min_score=0.2)
 
 def _hits(spark, d):
     docs = tab(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return search.hybrid_search(docs, _vectors(spark, d), list(TERMS), query_vector(spark, d), SEARCH, ("text",))
+    return search.hybrid_search(docs, _vectors(spark, d), list(TERMS), query_vector(spark, d), SEARCH, ("text",), index_of(spark, d))
 
 
 @query(f"WITH {HYBRID} SELECT id, score FROM hits")
@@ -421,15 +444,33 @@ def body_lines(spark, d):
     return tab(spark, d, "documents").select("doc_id", (F.length(F.trim(lines[0])) > 0).alias("has_head"), F.size(lines).cast("long").alias("n_lines"))
 
 
-@query()
+_CUT = ", ".join(f"CASE WHEN regexp_matches(x, '(?i){c}') THEN strpos(x, regexp_extract(x, '(?i){c}')) END" for c in T.QUOTE_CUTS)
+
+
+@query(f"""WITH b AS (SELECT doc_id, coalesce(text, '') || [chr(10) || 'On Mon, Jun 1, 2026 at 10:41 you wrote' || chr(10) || '> q', chr(10) || '> quoted' || chr(10) || 'From: a' || chr(10) || chr(10) || chr(10) || 'more' || chr(10) || 'Best regards' || chr(10) || 'me', chr(10) || '--' || chr(10) || 'sig', ' end'][doc_id % 4 + 1] AS x FROM documents),
+c AS (SELECT doc_id, CASE WHEN least({_CUT}) IS NULL THEN x ELSE substr(x, 1, least({_CUT}) - 1) END AS x FROM b),
+l AS (SELECT doc_id, string_split(x, chr(10)) AS lines FROM c),
+e AS (SELECT doc_id, lines, list_position(list_transform(lines, lambda s: regexp_matches(trim(s), '(?i)^{T.SIGNATURES}') OR trim(s) IN ('--', '—')), true) AS k FROM l),
+k AS (SELECT doc_id, CASE WHEN k > 0 THEN lines[1:k - 1] ELSE lines END AS lines FROM e),
+g AS (SELECT doc_id, list_filter(lines, lambda s: NOT (starts_with(trim(s), '>') OR regexp_matches(trim(s), '(?i)^{T.FORWARD_HEADERS}') OR regexp_matches(trim(s), '(?i)^{T.FORWARD_SEPARATORS}'))) AS lines FROM k)
+SELECT doc_id, regexp_replace(regexp_replace(array_to_string(lines, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM g""")
 def clean_body(spark, d):
-    return tab(spark, d, "documents").select("doc_id", T.clean_body(F.col("text")).alias("body"))
+    tails = ["\nOn Mon, Jun 1, 2026 at 10:41 you wrote\n> q", "\n> quoted\nFrom: a\n\n\nmore\nBest regards\nme", "\n--\nsig", " end"]
+    text = F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, tails)), (F.col("doc_id") % 4 + 1).cast("int")))
+    return tab(spark, d, "documents").select("doc_id", T.clean_body(text).alias("body"))
+
 
+MAIL_TYPES = """t AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 = 0 THEN 'No-Reply@x.example' WHEN o_custkey % 10 = 1 THEN NULL ELSE 'a@x.example' END AS sender,
+CASE o_orderpriority[1] WHEN '1' THEN 'Meeting minutes: ' || o_orderkey WHEN '2' THEN 'Beach PARTY ' || o_orderkey WHEN '3' THEN 'weekly  report' WHEN '4' THEN 'partying' END AS subject FROM orders)"""
 
-@query("""SELECT o_orderkey AS id, CASE WHEN regexp_matches(o_orderpriority, '(?i)urgent') THEN 'BULK' WHEN regexp_matches(o_orderpriority, '(?i)low') THEN 'SOCIAL' ELSE 'WORK' END AS type FROM orders""")
+
+@query(f"""WITH {MAIL_TYPES} SELECT id, CASE WHEN regexp_matches(lower(coalesce(sender, '')), '(?i){T.BULK_SENDERS}') OR regexp_matches(coalesce(subject, ''), '(?i){T.BULK_SUBJECTS}') THEN 'BULK'
+WHEN regexp_matches(coalesce(subject, ''), '(?i){T.SOCIAL_SUBJECTS}') THEN 'SOCIAL' ELSE 'WORK' END AS type FROM t""")
 def classify_priority(spark, d):
-    p = F.col("o_orderpriority")
-    return tab(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(p.rlike("(?iU)urgent"), "BULK").when(p.rlike("(?iU)low"), "SOCIAL").otherwise("WORK").alias("type"))
+    c, p, k = F.col("o_custkey") % 10, F.substring("o_orderpriority", 1, 1), F.col("o_orderkey").cast("string")
+    sender = F.when(c == 0, "No-Reply@x.example").when(c != 1, "a@x.example")
+    subject = F.when(p == "1", F.concat(F.lit("Meeting minutes: "), k)).when(p == "2", F.concat(F.lit("Beach PARTY "), k)).when(p == "3", "weekly  report").when(p == "4", "partying")
+    return tab(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.email_type(sender, subject).alias("type"))
 
 
 @query("""WITH v AS (SELECT o_custkey AS conversation_id, CASE WHEN o_orderpriority ILIKE '%urgent%' THEN 'alpha' WHEN o_orderpriority ILIKE '%medium%' THEN 'beta' END AS project FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)),
@@ -457,6 +498,76 @@ def json_extract(spark, d):
     return tab(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_type WHEN 2 THEN p_name WHEN 3 THEN p_brand ELSE p_name END[:80] AS label, CASE p_partkey % 5 WHEN 0 THEN p_type WHEN 1 THEN p_brand WHEN 2 THEN '' WHEN 3 THEN '' ELSE '' END[:200] AS description FROM part""")
+def label_json(spark, d):
+    from ..functions.parsing import label_and_description
+
+    quoted = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    n, t, b = F.col("p_name"), F.col("p_type"), F.col("p_brand")
+    forms = [
+        quoted('{"description": "', t, '", "label": " ', n, ' "}'), quoted('Sure! {"title": "', n, '", "nazov": "', t, '", "opis": "', b, '", "desc": "no"} done'), quoted("\n  ", n, "\n", t),
+        quoted('x {"label": "', b, '", "a": {"b": 1}} y'), quoted('{"name": "', n, '"}'),
+    ]
+    k, raw = F.col("p_partkey") % 5, F.lit(None)
+    for i, f in enumerate(forms):
+        raw = F.when(k == i, f).otherwise(raw)
+    return tab(spark, d, "part").select("p_partkey", label_and_description(raw).alias("x")).select("p_partkey", "x.*")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, list_distinct(list_transform(list(l_suppkey), lambda k: CASE WHEN k % 7 = 0 THEN 'noreply' || k || '@x.example' WHEN k % 7 = 1 THEN 'nowhere' ELSE 's' || k || '@x.example' END)) AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT id, array_to_string(list_sort(list_filter(p, lambda x: contains(x, '@') AND NOT starts_with(x, 'noreply'))), ',') AS persons FROM a""")
+def persons_of_mail(spark, d):
+    k = F.col("l_suppkey").cast("string")
+    address = F.when(F.col("l_suppkey") % 7 == 0, F.concat(F.lit("NoReply"), k, F.lit("@x.example"))).when(F.col("l_suppkey") % 7 == 1, "nowhere").otherwise(F.concat(F.lit(" S"), k, F.lit("@x.example")))
+    entry = F.struct(F.lit("n").alias("name"), address.alias("address"))
+    m = tab(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(entry).alias("to"), F.first(address).alias("sender"))
+    m = m.join(tab(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id")
+    return m.select("id", F.array_join(T.persons_of_mail(F.col("sender"), F.col("to")), ",").alias("persons"))
+
+
+@query("""SELECT doc_id, array_to_string(regexp_extract_all(lower(coalesce(text, '')[:300]), '[\\p{L}\\p{N}_]{2,}')[1:12], ' ') AS terms FROM documents""")
+def query_terms(spark, d):
+    return tab(spark, d, "documents").select("doc_id", F.array_join(T.query_terms(F.substring(F.coalesce("text", F.lit("")), 1, 300)), " ").alias("terms"))
+
+
+@query("""SELECT p_partkey, trim(p_name) || ' ' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' ' || p_type END AS input FROM part""")
+def embedding_inputs(spark, d):
+    return tab(spark, d, "part").select("p_partkey", T.embedding_input(F.concat(F.lit("  "), "p_name"), F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_type"))).alias("input"))
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE i <= 2 OR i > n - 2")
+def sample_first_last(spark, d):
+    return segments.sample_halves(tab(spark, d, "conversations"), "conv_id", [F.col("turn")], 2).select("conv_id", "turn")
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%d-%b-%Y') AS day, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') <= 60 AS active FROM orders")
+def search_dates(spark, d):
+    from ..functions.dates import imap_date, is_active
+
+    return tab(spark, d, "orders").select(F.col("o_orderkey").alias("id"), imap_date(F.col("o_orderdate")).alias("day"), is_active(F.col("o_orderdate"), F.lit(AS_OF).cast("date")).alias("active"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'F ' || s_suppkey ELSE 'folder' || s_suppkey END AS folder FROM supplier WHERE s_suppkey % 5 != 0""")
+def folder_lines(spark, d):
+    from ..sources.mailbox import folders
+
+    k = F.col("s_suppkey").cast("string")
+    flags = F.when(F.col("s_suppkey") % 5 == 0, "(\\Noselect)").otherwise("(\\HasNoChildren)")
+    line = F.concat(flags, F.lit(' "/" '), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('"F '), k, F.lit('"'))).otherwise(F.concat(F.lit("folder"), k)))
+    out = folders(tab(spark, d, "supplier").select(line.alias("line")))
+    return out.select(F.regexp_extract("folder", r"(\d+)$", 1).cast("long").alias("s_suppkey"), "folder")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey::DOUBLE END AS total, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 2 END AS n_addresses FROM orders""")
+def tolerant_json(spark, d):
+    from ..functions.parsing import fenced_json
+
+    k = F.col("o_custkey").cast("string")
+    raw = F.when(F.col("o_orderkey") % 3 == 0, "no json at all").otherwise(F.concat(F.lit("```json\nhere {\"total\": "), k, F.lit(", \"deep\": {\"a\": 1}} end\n```")))
+    people = F.when(F.col("o_orderkey") % 4 == 0, "[broken").otherwise('[{"name": "n", "address": "a@x.example"}, {"name": "", "address": "b@x.example"}]')
+    return tab(spark, d, "orders").select(F.col("o_orderkey").alias("id"), fenced_json(raw, "total double")["total"].alias("total"), F.size(T.address_list(people)).alias("n_addresses"))
+
+
 @query("""WITH x AS (SELECT conv_id, string_agg(CASE WHEN length(text) > 100 THEN text[:100] || ' […]' ELSE text END, chr(10) || '---' || chr(10) ORDER BY turn) AS t, count(*)::INT AS n FROM conversations GROUP BY 1)
 SELECT conv_id, n, CASE WHEN length(t) > 600 THEN t[:600] || ' […]' ELSE t END AS thread FROM x""")
 def thread_text(spark, d):
@@ -467,11 +578,7 @@ def thread_text(spark, d):
 
 @query("SELECT item_id, count(*) AS n FROM benchmark JOIN documents d ON contains(lower(d.text), lower(benchmark.text)) GROUP BY 1")
 def fact_presence(spark, d):
-    """Facts are few: the benchmark's texts go to every document as one array."""
-    facts = tab(spark, d, "benchmark").agg(F.collect_list(F.struct("item_id", F.lower("text").alias("t"))).alias("facts"))
-    docs = tab(spark, d, "documents").where("text IS NOT NULL").select(F.lower("text").alias("low"))
-    hits = docs.crossJoin(F.broadcast(facts)).select(F.explode(F.filter("facts", lambda f: F.contains(F.col("low"), f["t"]))).alias("f"))
-    return hits.groupBy(F.col("f.item_id").alias("item_id")).agg(F.count("*").alias("n"))
+    return reports.fact_counts(tab(spark, d, "documents"), "text", tab(spark, d, "benchmark"), "item_id", "text")
 
 
 # ---- graph
@@ -480,15 +587,14 @@ def fact_presence(spark, d):
 PAIRS = """e AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS p FROM lineitem), em AS (SELECT x.p AS a, y.p AS b, count(*) AS n FROM e x JOIN e y ON x.k = y.k AND x.p < y.p GROUP BY 1, 2),
 t AS (SELECT DISTINCT o_custkey AS k, l_suppkey AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey), th AS (SELECT x.p AS a, y.p AS b, count(*) AS n FROM t x JOIN t y ON x.k = y.k AND x.p < y.p GROUP BY 1, 2)"""
 EDGES = f"""{PAIRS}, w AS (SELECT a, b, sum(w)::DOUBLE AS w FROM (SELECT a, b, 3 * n AS w FROM th UNION ALL SELECT a, b, n FROM em) GROUP BY 1, 2), i AS (SELECT s_suppkey FROM supplier WHERE s_nationkey < 8),
-ed0 AS (SELECT a, b, CASE WHEN a IN (FROM i) AND b IN (FROM i) THEN w * 0.2 ELSE w END AS weight FROM w), ed AS (SELECT * FROM ed0 WHERE weight >= 2 AND a % 7 != b % 7)"""
+ed0 AS (SELECT a, b, CASE WHEN a IN (FROM i) AND b IN (FROM i) THEN w * 0.2 ELSE w END AS weight FROM w), ed AS (SELECT * FROM ed0 WHERE weight >= 2)"""
 
 
 def _edges(spark, d):
     lines = tab(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     threads = lines.join(tab(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     internal = tab(spark, d, "supplier").where("s_nationkey < 8").select(F.col("s_suppkey").alias("person"))
-    w = graph.edge_weights(graph.pairs(threads, "o_custkey", "l_suppkey"), graph.pairs(lines, "l_orderkey", "l_suppkey"), internal)
-    return w.where("a % 7 != b % 7")
+    return graph.edge_weights(graph.pairs(threads, "o_custkey", "l_suppkey"), graph.pairs(lines, "l_orderkey", "l_suppkey"), internal)
 
 
 @query(f"WITH {PAIRS} SELECT * FROM em")
@@ -519,13 +625,6 @@ def communities(spark, d):
     return graph.communities(graph.prune_hubs(_edges(spark, d), 5))
 
 
-@query()
-def ask(spark, d):
-    """The community of the persons of an answer: persons of all mails vote with their mails."""
-    found = graph.communities(_edges(spark, d)).withColumnRenamed("node", "person")
-    return persons.dominant_community(_persons(spark, d), found)
-
-
 @query("""WITH RECURSIVE e0 AS (SELECT x.o_custkey AS a, y.o_custkey AS b FROM orders x JOIN orders y ON y.o_orderkey = x.o_orderkey + 1 WHERE x.o_orderkey % 10 < 3 AND x.o_custkey != y.o_custkey),
 e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), r AS (SELECT DISTINCT o_custkey AS node, o_custkey AS root FROM orders UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node AND r.root < e.b)
 SELECT node, min(root) AS component FROM r GROUP BY 1""")
@@ -603,6 +702,131 @@ def dominant_label(spark, d):
     return segments.top_n(g, ["conversation_id"], [F.desc("n"), F.col("label")], 1)
 
 
+# ---- flows
+
+
+def _text_mails(spark, d) -> DataFrame:
+    """documents as mails: thread by language and source, date by number, sender by number, text as body."""
+    n = F.col("doc_id")
+    return tab(spark, d, "documents").select(
+        n.alias("id"), F.concat_ws("-", "lang", "source", (n % 40).cast("string")).alias("thread_id"), F.concat(F.lit("subject "), (n % 40).cast("string")).alias("subject"), F.concat(F.lit("p"), (n % 3).cast("string"), F.lit("@x.example")).alias("from_address"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (n % 300).cast("int")), "yyyy-MM-dd'T'00:00:00'Z'").alias("date"), F.col("text").alias("body_text"), F.substring("text", 1, 20).alias("body_snippet"), F.lit("").alias("to_addresses"),
+    )
+
+
+TEXT_MAILS = """tm AS (SELECT doc_id AS id, concat_ws('-', lang, source, doc_id % 40) AS thread_id, 'subject ' || doc_id % 40 AS subject, 'p' || doc_id % 3 || '@x.example' AS sender, strftime(DATE '2024-01-01' + (doc_id % 300)::INT, '%Y-%m-%d') AS day, text FROM documents),
+th AS (SELECT thread_id, count(*)::INT AS n, arg_min(subject, (day, id)) AS subject, min(day) AS date_from, max(day) AS date_to, list_sort(list_distinct(list(sender))) AS who FROM tm WHERE text IS NOT NULL AND text != '' GROUP BY 1)"""
+
+
+@query(f"WITH {TEXT_MAILS} SELECT thread_id, n, subject, date_from, date_to, array_to_string(who, ',') AS senders FROM th WHERE n >= 3")
+def thread_list(spark, d):
+    from ..operators import flows
+
+    t = flows.threads(_text_mails(spark, d))
+    return t.select("thread_id", "n", "subject", "date_from", "date_to", F.array_join(F.array_sort("participants"), ",").alias("senders"))
+
+
+@query(f"WITH {TEXT_MAILS} SELECT thread_id FROM (SELECT thread_id FROM tm WHERE text IS NOT NULL AND text != '' AND NOT (subject LIKE '%7%') GROUP BY 1 HAVING count(*) >= 4) ORDER BY md5('42:' || thread_id), thread_id LIMIT 5")
+def random_threads(spark, d):
+    from ..operators import flows
+
+    return flows.random_threads(_text_mails(spark, d), F.col("subject").contains("7"), 5, 4).select("thread_id")
+
+
+@query(f"""WITH {TEXT_MAILS}, hi AS (SELECT vec_id AS id, round(0.5 + vec_id % 50 / 100.0, 4)::DOUBLE AS score FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 11 = 0),
+ex AS (SELECT id FROM tm WHERE thread_id IN (SELECT thread_id FROM tm JOIN hi USING (id))),
+r AS (SELECT tm.id, thread_id, score, hi.id IS NULL AS expanded, CASE WHEN label IS NULL OR label = 0 THEN 'noise' WHEN label % 2 = 0 THEN 'label ' || label ELSE 'cluster_' || label END AS cluster_label FROM ex JOIN tm USING (id) LEFT JOIN hi USING (id) LEFT JOIN embeddings ON vec_id = tm.id)
+SELECT *, max(score) OVER (PARTITION BY thread_id) AS thread_score FROM r""")
+def search_answers(spark, d):
+    from ..operators import flows
+
+    m = _text_mails(spark, d)
+    e = tab(spark, d, "embeddings")
+    hits = e.where("vec_id % 11 = 0").select(F.col("vec_id").alias("id"), F.round(F.lit(0.5) + F.col("vec_id") % 50 / 100, 4).alias("score")).join(m.select("id"), "id", "left_semi")
+    members = e.select(F.col("vec_id").alias("email_id"), F.when(F.col("label") != NOISE, F.col("label")).alias("cluster_id"), F.lit("hdbscan").alias("source"))
+    named = e.where("label % 2 = 0").select(F.col("label").alias("id"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("label")).distinct()
+    return flows.answers(m, hits, members, named).select("id", "thread_id", "score", "expanded", "cluster_label", "thread_score")
+
+
+@query(f"""WITH {PERSONS}, q AS (SELECT id FROM m ORDER BY md5('42:' || id), id LIMIT 200), hx AS (SELECT sender AS person FROM m SEMI JOIN q USING (id) UNION ALL SELECT person FROM r SEMI JOIN q USING (id)),
+v AS (SELECT s_nationkey AS community, count(*)::BIGINT AS votes FROM hx JOIN supplier ON s_suppkey = person GROUP BY 1 ORDER BY votes DESC, community LIMIT 1)
+SELECT community, votes AS hit_score, 200::BIGINT AS n_found, 200::BIGINT AS n_direct, community % 2 = 0 AS active FROM v""")
+def ask_community(spark, d):
+    """The community (nation) of the persons of 200 found mails."""
+    from ..operators import flows
+
+    m = mails(spark, d)
+    found = segments.seeded_sample(m.select("id"), [], "id", 200).withColumns({"expanded": F.lit(False), "person_expanded": F.lit(False)})
+    people = persons.person_stats(m.join(found.select("id"), "id", "left_semi"), "sender", "recipients", "day")
+    s = tab(spark, d, "supplier")
+    groups = s.select(F.col("s_nationkey").alias("community"), F.when(F.col("s_nationkey") % 2 == 0, "1998-07").otherwise("1990-01").alias("last")).distinct()
+    return flows.ask(found, people, s.select(F.col("s_suppkey").alias("person"), F.col("s_nationkey").alias("community")), groups, AS_OF).drop("top5")
+
+
+@query("""WITH t AS (SELECT doc_id, coalesce(source, '-') AS folder, '<' || doc_id // 2 || '@x>' AS message_id, text FROM documents),
+f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY folder, doc_id) = 1)
+SELECT folder, doc_id AS imap_uid, message_id, 'Subject ' || doc_id AS subject, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))[:1000] AS body_text FROM f WHERE message_id NOT IN (SELECT '<' || doc_id // 2 || '@x>' FROM documents WHERE doc_id % 20 = 0)""")
+def sync_messages(spark, d):
+    """documents as fetched messages, every second one with the id of the one before; some ids are there already."""
+    from ..operators import flows
+
+    docs = tab(spark, d, "documents")
+    mid = F.concat(F.lit("<"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit("@x>"))
+    head = F.concat(F.lit("From: a@x.example\nSubject: Subject "), F.col("doc_id").cast("string"), F.lit("\nMessage-ID: "), mid, F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"))
+    m = docs.select(F.coalesce("source", F.lit("-")).alias("folder"), F.col("doc_id").alias("uid"), F.encode(F.concat(head, F.coalesce("text", F.lit(""))), "UTF-8").alias("content"))
+    there = docs.where("doc_id % 20 = 0").select(mid.alias("message_id"))
+    state = spark.range(0).select(F.lit("").alias("folder"), F.lit(0).cast("long").alias("last_uid"))
+    return flows.sync(m, there, state)["emails"].select("folder", "imap_uid", "message_id", "subject", "body_text")
+
+
+@query("""WITH s AS (SELECT c_mktsegment AS folder, c_custkey AS uid, c_nationkey AS n FROM customer), w AS (SELECT folder, CASE WHEN folder IN ('BUILDING', 'MACHINERY') THEN quantile_disc(uid, 0.5) ELSE 0 END AS last FROM s GROUP BY 1)
+SELECT folder, uid FROM s JOIN w USING (folder) WHERE uid > last AND (last > 0 OR '2024-01-' || lpad((n + 1)::VARCHAR, 2, '0') >= '2024-01-10')""")
+def uids_to_fetch(spark, d):
+    from ..sources.mailbox import uids_to_fetch as pick
+
+    s = tab(spark, d, "customer").select(F.col("c_mktsegment").alias("folder"), F.col("c_custkey").alias("uid"), F.concat(F.lit("2024-01-"), F.lpad((F.col("c_nationkey") + 1).cast("string"), 2, "0")).alias("day"))
+    state = s.where("folder IN ('BUILDING', 'MACHINERY')").groupBy("folder").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY uid)").cast("long").alias("last_uid"))
+    return pick(s, state, since="2024-01-10")
+
+
+@query("""WITH s AS (SELECT label, count(*) AS n FROM embeddings WHERE label != 0 GROUP BY 1), k AS (SELECT label, row_number() OVER (ORDER BY label) AS id, n FROM s)
+SELECT vec_id AS email_id, id AS cluster_id, CASE WHEN id IS NOT NULL THEN 'cluster_' || e.label END AS label, n AS size FROM embeddings e LEFT JOIN k USING (label)""")
+def replaced_clusters(spark, d):
+    from ..schemas import schema
+    from ..sources.mailbox import replace_clusters
+
+    empty = lambda name, *columns: spark.createDataFrame([], schema(name)).select(*columns)
+    found = tab(spark, d, "embeddings").select(F.col("vec_id").alias("email_id"), F.when(F.col("label") != NOISE, F.col("label")).alias("cluster"), F.lit(1.0).alias("confidence"))
+    c, m = replace_clusters(empty("clusters", "id", "label", "description", "size", "created_at", "updated_at"), empty("email_clusters", "email_id", "cluster_id", "confidence", "source", "created_at"), found, "hdbscan", "now")
+    return m.join(c.select(F.col("id").alias("cluster_id"), "label", "size"), "cluster_id", "left").select("email_id", "cluster_id", "label", "size")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS v FROM orders WHERE o_orderkey % 5 != 0 OR o_orderkey % 3 = 0")
+def upserted(spark, d):
+    from ..sources.mailbox import upsert
+
+    o = tab(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    return upsert(o.where("id % 5 != 0").withColumn("v", F.lit("old")), o.where("id % 3 = 0").withColumn("v", F.lit("new")), "id")
+
+
+@query("SELECT lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) <= 25")
+def stratified_sample(spark, d):
+    return segments.seeded_sample(tab(spark, d, "documents"), ["lang"], "doc_id", 25).select("lang", "doc_id")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 AS start FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE start")
+def changed_runs(spark, d):
+    return segments.runs(tab(spark, d, "events"), "user_id", [F.col("ts"), F.col("event_id")], "event_type").select("user_id", "event_id")
+
+
+@query("""WITH g AS (SELECT o_orderpriority AS folder, count(*) AS n, count(*) FILTER (o_orderkey % 4 = 0) AS missing, substr(max(strftime(o_orderdate, '%Y-%m-%d')), 1, 10) AS last FROM orders GROUP BY 1) SELECT folder, n, missing FROM g WHERE n >= 50""")
+def large_folders(spark, d):
+    from ..operators import flows
+
+    o = tab(spark, d, "orders").select(F.col("o_orderpriority").alias("folder"), F.when(F.col("o_orderkey") % 4 != 0, "x").alias("body_text"))
+    return flows.large_folders(o)
+
+
 # ---- reports
 
 
