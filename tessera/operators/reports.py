@@ -100,9 +100,10 @@ def fact_counts(docs: DataFrame, text: str, facts: DataFrame, key: str, fact: st
     f = facts.select(F.col(key), F.lower(F.col(fact)).alias("fact")).withColumn("words", F.split("fact", " "))
     anchor = lambda words, i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(ANCHOR)])
     long = f.where(F.size("words") >= ANCHOR + 2).withColumn("anchor", anchor(F.col("words"), F.lit(1)))
-    words = F.split("low", " ")
-    runs = F.when(F.size(words) >= ANCHOR, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - ANCHOR), lambda i: anchor(words, i))))
-    met = low.select("low", F.explode(runs).alias("anchor")).join(long.select(key, "fact", "anchor"), "anchor").where(F.contains("low", F.col("fact")))
+    inside = low.withColumn("words", F.split("low", " ")).where(F.size("words") >= ANCHOR)
+    after = lambda k: F.slice("words", 1 + k, F.size("words") - ANCHOR + 1)  # noqa: E731  words from the k-th on, beside each other
+    runs = F.transform(F.arrays_zip(*[after(k).alias(f"w{k}") for k in range(ANCHOR)]), lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(ANCHOR)]))
+    met = inside.select("low", F.explode(F.array_distinct(runs)).alias("anchor")).join(long.select(key, "fact", "anchor"), "anchor").where(F.contains("low", F.col("fact")))
     short = f.where((F.size("words") < ANCHOR + 2) & (F.col("fact") != ""))
     every = low.join(short, F.contains("low", F.col("fact")))
     return met.select(key).unionAll(every.select(key)).groupBy(key).agg(F.count("*").alias("n"))

@@ -447,7 +447,7 @@ def body_lines(spark, d):
 _CUT = ", ".join(f"CASE WHEN regexp_matches(x, '(?i){c}') THEN strpos(x, regexp_extract(x, '(?i){c}')) END" for c in T.QUOTE_CUTS)
 
 
-@query(f"""WITH b AS (SELECT doc_id, coalesce(text, '') || [chr(10) || 'On Mon, Jun 1, 2026 at 10:41 you wrote' || chr(10) || '> q', chr(10) || '> quoted' || chr(10) || 'From: a' || chr(10) || chr(10) || chr(10) || 'more' || chr(10) || 'Best regards' || chr(10) || 'me', chr(10) || '--' || chr(10) || 'sig', ' end'][doc_id % 4 + 1] AS x FROM documents),
+@query(rf"""WITH b AS (SELECT doc_id, coalesce(text, '') || [chr(10) || 'On Mon, Jun 1, 2026 at 10:41 you wrote' || chr(10) || '> q', chr(10) || '> quoted' || chr(10) || 'From: a' || chr(10) || chr(10) || chr(10) || 'more' || chr(10) || 'Best regards' || chr(10) || 'me', chr(10) || '--' || chr(10) || 'sig', ' end'][doc_id % 4 + 1] AS x FROM documents),
 c AS (SELECT doc_id, CASE WHEN least({_CUT}) IS NULL THEN x ELSE substr(x, 1, least({_CUT}) - 1) END AS x FROM b),
 l AS (SELECT doc_id, string_split(x, chr(10)) AS lines FROM c),
 e AS (SELECT doc_id, lines, list_position(list_transform(lines, lambda s: regexp_matches(trim(s), '(?i)^{T.SIGNATURES}') OR trim(s) IN ('--', '—')), true) AS k FROM l),
