@@ -40,9 +40,13 @@ def _folded() -> tuple[str, str]:
 ACCENTED, PLAIN = _folded()
 
 
+#: White space of any kind.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
-    """Without white space (of any kind) at both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends."""
+    return F.trim(x, F.lit(SPACES))
 
 
 def squeeze(x: Column) -> Column:
@@ -51,7 +55,8 @@ def squeeze(x: Column) -> Column:
 
 def fold(x: Column) -> Column:
     """Lower case, letters without their marks, and marks that stand alone dropped."""
-    return F.regexp_replace(F.translate(F.lower(x), ACCENTED, PLAIN), r"\p{Mn}", "")
+    low = F.lower(x)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.regexp_replace(F.translate(low, ACCENTED, PLAIN), r"\p{Mn}", ""))
 
 
 def html_strip(x: Column) -> Column:
@@ -88,11 +93,13 @@ def clean_body(x: Column, cuts: tuple[str, ...] = QUOTE_CUTS) -> Column:
         at = [F.regexp_instr(x, F.lit(f"(?iU){p}")) for p in cuts]
         first = F.least(*[F.when(p > 0, p) for p in at]) if len(at) > 1 else F.when(at[0] > 0, at[0])
         x = F.when(first.isNotNull(), F.substring(x, F.lit(1), first - 1)).otherwise(x)
-    lines = F.split(x, r"\R")
-    flags = F.transform(lines, lambda s: strip(s).rlike(f"(?iU)^{SIGNATURES}") | strip(s).isin("--", "—"))
-    end = F.array_position(flags, True)
+    # each line with itself stripped, which all that follows looks at
+    lines = F.transform(F.split(x, r"\R"), lambda s: F.struct(s.alias("line"), strip(s).alias("s")))
+    ends = F.transform(lines, lambda r: r["s"].rlike(f"(?iU)^{SIGNATURES}") | r["s"].isin("--", "—"))
+    end = F.array_position(ends, True)
     lines = F.when(end > 0, F.slice(lines, 1, F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(lines)
-    good = F.filter(lines, lambda s: ~(strip(s).startswith(">") | strip(s).rlike(f"(?iU)^{FORWARD_HEADERS}") | strip(s).rlike(f"(?iU)^{FORWARD_SEPARATORS}")))
+    header = f"(?iU)^(?:{FORWARD_HEADERS}|{FORWARD_SEPARATORS})"
+    good = F.transform(F.filter(lines, lambda r: ~(r["s"].startswith(">") | r["s"].rlike(header))), lambda r: r["line"])
     return strip(F.regexp_replace(F.array_join(good, "\n"), r"\n{3,}", "\n\n"))
 
 
@@ -137,7 +144,7 @@ def thread_root(message_id: Column, in_reply_to: Column, references: Column) ->
 
 def words(x: Column) -> Column:
     """Tokens of the word index: runs of letters and digits, folded."""
-    return F.regexp_extract_all(fold(F.coalesce(x, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.array_remove(F.split(fold(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def query_terms(x: Column, most: int = 12) -> Column:

@@ -28,8 +28,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Parts into which the rows of a hot key are dealt, and the share of all rows (1 / HOT) from which a key is hot.
-SALTS, HOT = 16, 2000
+#: Parts into which the rows of a hot key are dealt, and the share of all rows (1 / HOT) from which a key is hot. Tables
+#: of up to FEW rows fit into one task, so nothing in them is dealt.
+SALTS, HOT, FEW = 16, 2000, 1_000_000
 
 
 def spread_edges(both: DataFrame) -> DataFrame:
@@ -40,20 +41,21 @@ def spread_edges(both: DataFrame) -> DataFrame:
     return both.join(F.broadcast(hubs), both["b"] == hubs["hub"], "left").select("a", "b", F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("a"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
 
 
-def step(both: DataFrame, labels: DataFrame) -> DataFrame:
+def step(both: DataFrame, labels: DataFrame, hubs: DataFrame | None, salts: int = SALTS) -> DataFrame:
     """(node, component, old) after one round over edges (a, b, salt): least labels of neighbours, then the label's label.
 
     Neither a hub nor a label that most nodes have meets in one task: hubs' labels are repeated for each salt, and so are
     the labels of those labels that still move, which are all that the second join needs.
     """
-    hubs = both.where("salt > 0").select("b", "salt").distinct()
-    at = labels.select("node", "component", F.lit(0).alias("salt")).unionByName(hubs.join(labels, hubs["b"] == labels["node"]).select("node", "component", "salt"))
+    at = labels.select("node", "component", F.lit(0).alias("salt"))
+    if hubs is not None:
+        at = at.unionByName(hubs.join(labels, hubs["b"] == labels["node"]).select("node", "component", "salt"))
     near = both.join(at, (both["b"] == at["node"]) & (both["salt"] == at["salt"])).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
     new = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
     new = written(new, "near")
     used = new.select(F.col("new").alias("up")).distinct()
-    up = new.where("new != node").join(used, F.col("node") == F.col("up")).select("up", F.col("new").alias("further"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    part = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+    up = new.where("new != node").join(used, F.col("node") == F.col("up")).select("up", F.col("new").alias("further"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"))
+    part = F.pmod(F.xxhash64("node"), F.lit(salts))
     return new.withColumn("p", part).join(up, (F.col("new") == F.col("up")) & (F.col("p") == F.col("part")), "left").select("node", F.least("new", "further").alias("component"), "old")
 
 
@@ -62,9 +64,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     then takes the label's label, so rounds grow with the logarithm of the longest path."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges")
     both = written(spread_edges(both), "edges")
-    labels = written(nodes.select("node", F.col("node").alias("component")), "labels")
+    # a node's first label is the least of its neighbours' and its own
+    least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+    labels = nodes.select("node").join(least, F.col("node") == F.col("n"), "left").select("node", F.least("node", "m").alias("component"))
+    labels = written(labels, "labels")
+    hubs = written(both.where("salt > 0").select("b", "salt").distinct(), "hubs")
+    hubs, salts = (hubs if hubs.limit(1).count() else None), (SALTS if labels.count() > FEW else 1)
     while True:
-        new = written(step(both, labels), "labels")
+        new = written(step(both, labels, hubs, salts), "labels")
         labels = new.select("node", "component")
         if not new.where("component != old").limit(1).count():
             return labels

@@ -36,11 +36,16 @@ def subject_edges(mails: DataFrame, gap_days: int = 60) -> DataFrame:
 
 def conversations(mails: DataFrame, config: EngineConfig = EngineConfig()) -> tuple[DataFrame, dict[str, int]]:
     """((id, conversation_id), counters). Numbers follow the first mail by date. Merges are counted as components saved."""
+    mails = written(mails.select("id", "message_id", "in_reply_to", "references", "date", "from_address", "to_addresses", "cc_addresses", "subject"), "mails")
     nodes = mails.select(F.col("id").alias("node"))
-    heads = written(header_edges(mails), "heads")
-    both = heads.unionByName(subject_edges(mails, config.subject_gap_days))
-    first, last = connected_components(nodes, heads), connected_components(nodes, both)
-    n, n1, n2 = nodes.count(), first.select("component").distinct().count(), last.select("component").distinct().count()
+    first = connected_components(nodes, header_edges(mails))
+    # the subjects' edges join what headers have joined already, so the second graph has a node for each first component
+    to = lambda end: first.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
+    between = subject_edges(mails, config.subject_gap_days).join(to("a"), "a").join(to("b"), "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b"))
+    roots = written(first.select(F.col("component").alias("node")).distinct(), "roots")
+    merged = connected_components(roots, between)
+    last = first.join(merged.select(F.col("node").alias("component"), F.col("component").alias("root")), "component").select("node", F.col("root").alias("component"))
+    n, n1, n2 = nodes.count(), roots.count(), merged.select("component").distinct().count()
     dated = last.join(mails.select("id", "date"), last["node"] == F.col("id"))
     order = dated.groupBy("component").agg(F.min(F.struct(F.coalesce("date", F.lit("")).alias("first"), "id")).alias("o"))
     numbers = numbered(order, F.substring("o.first", 1, 10), [F.col("o")], "conversation_id").select("component", "conversation_id")

@@ -72,6 +72,7 @@ def test_components_with_a_hub(spark, monkeypatch):
     from tessera.operators import components
 
     monkeypatch.setattr(components, "HOT", 1 << 40)
+    monkeypatch.setattr(components, "FEW", 10)
     edges = spark.range(1, 3000).selectExpr("0L + 7000 AS a", "id AS b").unionAll(spark.range(5000, 5040).selectExpr("id AS a", "id + 1 AS b"))
     nodes = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "node")
     both = edges.union(edges.select("b", "a")).toDF("a", "b")
