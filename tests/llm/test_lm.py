@@ -2,8 +2,10 @@
 
 import math
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import lm_scoring, packing
 from tests.llm.test_llm import files, none, odd  # noqa: F401
@@ -169,3 +171,29 @@ def test_lm_layout(spark):
     rows = {r.doc_id: r for r in lm_scoring.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert len({r.score for r in rows.values()}) == 4 and rows[0].base_score == rows[1].base_score == rows[2].base_score
     assert [rows[i].n_tokens for i in range(4)] == [5, 5, 5, 4]
+
+
+def test_pieces_are_encoded_once(monkeypatch):
+    """The ids are those of whole texts, whatever their white space; a block encodes what it repeats only once."""
+    rng, path = np.random.default_rng(5), files()[1]
+    some = ["a", "b ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", " \u3000", "\u2028", "\u200b", "\u0301", "\xe9", "'s", " 's", "12 ", "!?", "\u4e2d\u6587", "\U0001f600", "<|endoftext|>", ""]
+    texts = ["".join(rng.choice(some, int(rng.integers(0, 14)))) for _ in range(3000)] + ["the quick brown fox, " * 500] * 3
+    encoding, encoded = packing._ranks(path), [0]
+
+    def encode(text):
+        encoded[0] += len(text)
+        return encoding.encode_ordinary(text)
+
+    monkeypatch.setattr(lm_scoring, "_ranks", lambda _: SimpleNamespace(encode_ordinary=encode, decode_single_token_bytes=encoding.decode_single_token_bytes))
+    monkeypatch.setattr(lm_scoring, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    rows = [r for b in lm_scoring._learn_counts(path, 3)([batch]) for r in b.to_pylist()]
+    got = {r["doc_id"]: np.frombuffer(r["data"], np.uint16).tolist() for r in rows if r["kind"] == 0}
+    assert got == {i: [*encoding.encode_ordinary(t), lm_scoring.END] for i, t in enumerate(texts)}
+    counts = Counter()
+    for r in rows:
+        if r["kind"] == 1:
+            counts.update(dict(zip(r["data"].split(b"\n"), np.frombuffer(r["counts"], np.uint32).tolist(), strict=True)))
+    want = Counter(w for i, t in enumerate(texts) if not lm_scoring.held_out(i) for w in t.encode().lower().split())
+    assert +counts == want and set(counts) == {w for t in texts for w in t.encode().lower().split()}
+    assert encoded[0] < sum(map(len, texts)) / 2
