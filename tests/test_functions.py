@@ -194,3 +194,59 @@ def test_density_clusters_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
     got = {r["id"]: r["cluster"] for r in topics.density_clusters(df, "id", "v", 0.5, 5).collect()}
     assert got == want and len(set(want.values())) > 3
+
+
+def test_pairs_against_brute_force(spark, monkeypatch):
+    """Pairs are dealt over as many tasks as they need, those of a person in most groups too."""
+    from collections import Counter
+    from itertools import combinations
+
+    from tessera.operators import graph
+
+    rng = random.Random(5)
+    groups = {k: {0, *rng.sample(range(1, 40), rng.randrange(12))} for k in range(80)}
+    rows = [(k, p) for k, g in groups.items() for p in g] * 2 + [(None, 1), (None, 2), (3, None)]
+    df = spark.createDataFrame(rows, "k long, p long")
+    monkeypatch.setattr(graph, "PAIRS_PER_TASK", 30)
+    found = graph.pairs(df, "k", "p")
+    want = Counter(x for g in groups.values() for x in combinations(sorted(g), 2))
+    assert {(r.a, r.b): r.n for r in found.collect()} == want
+    # the persons' rows are shuffled once, not the pairs
+    sizes = [len(p) for p in found.rdd.glom().collect()]
+    assert len(sizes) >= sum(want.values()) // 30 and max(sizes) <= 40
+    edges = graph.edge_weights(df, df.where("k < 40"), spark.createDataFrame([(0,), (1,)], "person long"))
+    second = Counter(x for k, g in groups.items() if k < 40 for x in combinations(sorted(g), 2))
+    weights = {x: (3 * n + second[x]) * (0.2 if x == (0, 1) else 1.0) for x, n in want.items()}
+    assert {(r.a, r.b): round(r.weight, 6) for r in edges.collect()} == {x: round(w, 6) for x, w in weights.items() if w >= 2}
+    assert graph.pairs(df.limit(0), "k", "p").count() == 0
+
+
+def counted(spark, df):
+    """The frame, and an accumulator of how often its rows are made."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_degrees_make_edges_once(spark):
+    from tessera.operators.graph import degrees
+
+    edges, seen = counted(spark, spark.createDataFrame([(1, 2, 3.0), (2, 3, 2.0)], "a long, b long, weight double"))
+    assert {r.node: (r.degree, r.weighted_degree, r.centrality) for r in degrees(edges).collect()} == {1: (1, 3.0, 0.5), 2: (2, 5.0, 1.0), 3: (1, 2.0, 0.5)}
+    assert seen.value <= 4  # both ends
+
+
+def test_community_summary_reads_once(spark):
+    from tessera.operators.reports import community_summary
+
+    edges, edges_seen = counted(spark, spark.createDataFrame([(1, 2, 3.0), (2, 3, 2.0)], "a long, b long, weight double"))
+    mails, mails_seen = counted(spark, spark.createDataFrame([(1, 1, "Plan plan", "2024-01-01"), (1, 2, "Plan plan", "2024-01-01"), (2, 3, "Plan plan", "2024-02-01")], "id long, person long, subject string, day string"))
+    people = spark.createDataFrame([(p, 1, p == 1, "x.example") for p in (1, 2, 3)], "person long, community long, internal boolean, domain string")
+    (r,) = community_summary(edges, people, mails).collect()
+    assert (r.size, r.n_int, list(r.top5), [tuple(w) for w in r.top_words], r.n_emails, r.first, r.last) == (3, 1, [2, 1, 3], [("plan", 4)], 2, "2024-01", "2024-02")
+    assert edges_seen.value <= 4 and mails_seen.value <= 3
