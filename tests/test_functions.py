@@ -250,3 +250,14 @@ def test_community_summary_reads_once(spark):
     (r,) = community_summary(edges, people, mails).collect()
     assert (r.size, r.n_int, list(r.top5), [tuple(w) for w in r.top_words], r.n_emails, r.first, r.last) == (3, 1, [2, 1, 3], [("plan", 4)], 2, "2024-01", "2024-02")
     assert edges_seen.value <= 4 and mails_seen.value <= 3
+
+
+def test_communities_leave_labels_only(spark, monkeypatch, tmp_path):
+    from tessera.operators import components
+    from tessera.operators.graph import communities
+
+    monkeypatch.setattr(components, "shared_path", lambda _, name: f"file://{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}-{random.random()}")
+    edges = [(a, b, 1.0) for g in (range(5), range(5, 10)) for a in g for b in g if a < b] + [(0, 5, 0.5)]
+    found = {r.node: r.community for r in communities(spark.createDataFrame(edges, "a long, b long, weight double")).collect()}
+    assert len({found[i] for i in range(5)}) == 1 and len(set(found.values())) == 2
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["communities"]
