@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,18 +87,26 @@ def detect_language(x: Column) -> Column:
     )
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once a row, however often ``then`` names it, in branches too."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def clean_body(x: Column, cuts: tuple[str, ...] = QUOTE_CUTS) -> Column:
     """Up to the earliest quote boundary; of that, lines before the signature that are no quotes or forwarded headers."""
+
+    def uncut(x: Column) -> Column:
+        first = F.array_min(F.filter(F.array(*[F.regexp_instr(x, F.lit(f"(?iU){p}")) for p in cuts]), lambda p: p > 0))
+        return _let(first, lambda first: F.when(first.isNotNull(), F.substring(x, F.lit(1), first - 1)).otherwise(x))
+
+    def unsigned(lines: Column) -> Column:
+        ends = F.transform(lines, lambda r: r["s"].rlike(f"(?iU)^{SIGNATURES}") | r["s"].isin("--", "—"))
+        return _let(F.array_position(ends, True), lambda end: F.when(end > 0, F.slice(lines, 1, F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(lines))
+
     x = F.coalesce(x, F.lit(""))
-    if cuts:
-        at = [F.regexp_instr(x, F.lit(f"(?iU){p}")) for p in cuts]
-        first = F.least(*[F.when(p > 0, p) for p in at]) if len(at) > 1 else F.when(at[0] > 0, at[0])
-        x = F.when(first.isNotNull(), F.substring(x, F.lit(1), first - 1)).otherwise(x)
+    x = _let(x, uncut) if cuts else x
     # each line with itself stripped, which all that follows looks at
-    lines = F.transform(F.split(x, r"\R"), lambda s: F.struct(s.alias("line"), strip(s).alias("s")))
-    ends = F.transform(lines, lambda r: r["s"].rlike(f"(?iU)^{SIGNATURES}") | r["s"].isin("--", "—"))
-    end = F.array_position(ends, True)
-    lines = F.when(end > 0, F.slice(lines, 1, F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(lines)
+    lines = _let(F.transform(F.split(x, r"\R"), lambda s: F.struct(s.alias("line"), strip(s).alias("s"))), unsigned)
     header = f"(?iU)^(?:{FORWARD_HEADERS}|{FORWARD_SEPARATORS})"
     good = F.transform(F.filter(lines, lambda r: ~(r["s"].startswith(">") | r["s"].rlike(header))), lambda r: r["line"])
     return strip(F.regexp_replace(F.array_join(good, "\n"), r"\n{3,}", "\n\n"))
