@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .components import written
+from .components import drop, written
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -16,6 +20,19 @@ def postings(docs: DataFrame, doc_id: str, *columns: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("id"), F.concat(*[words(F.col(c)) for c in columns]).alias("tokens"))
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, length, terms, ns): the different terms of each row (id, tokens) and how often it has them."""
+    for b in batches:
+        tokens = b.column(1)
+        lengths = np.asarray(tokens.value_lengths().fill_null(0), np.int64)
+        flat = tokens.flatten().dictionary_encode()
+        kinds = max(1, len(flat.dictionary))
+        keys, ns = np.unique(np.repeat(np.arange(b.num_rows), lengths) * kinds + np.asarray(flat.indices, np.int64), return_counts=True)
+        offsets = pa.array(np.searchsorted(keys, np.arange(b.num_rows + 1) * kinds).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (flat.dictionary.take(pa.array(keys % kinds)), pa.array(ns.astype(np.int32)))]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths.astype(np.int32)), *lists], ["id", "length", "terms", "ns"])
+
+
 #: Parts of an index; a query reads those of its terms.
 PARTS = 64
 
@@ -28,12 +45,17 @@ class Index:
 
     @classmethod
     def build(cls, docs: DataFrame, doc_id: str, columns: list[str], path: str) -> Index:
-        """Texts are read and cut into terms once; a document's terms are counted before they leave it."""
+        """Texts are read and cut into terms once, and a document's terms are counted before they leave it; what is
+        shuffled, once, is a row for each of its different terms."""
         tokens = postings(docs, doc_id, *columns)
-        tokens.select("id", F.size("tokens").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
-        each = tokens.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").cast("int").alias("n"))
-        each = each.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int"))
-        each.repartition(PARTS, "part").sortWithinPartitions("part", "term", "id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+        kind = tokens.schema["id"].dataType.simpleString()
+        counts = written(tokens.mapInArrow(_count, f"id {kind}, length int, terms array<string>, ns array<int>"), "counts")  # read twice
+        counts.select("id", "length").write.mode("overwrite").parquet(f"{path}/lengths")
+        each = counts.select("id", F.explode(F.arrays_zip("terms", "ns")).alias("e")).select("id", F.col("e.terms").alias("term"), F.col("e.ns").alias("n"))
+        each = each.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")).repartition(PARTS, "part")
+        each = each.groupBy("part", "term", "id").agg(F.sum("n").cast("int").alias("n")).select("id", "term", "n", "part")  # an id may have several rows
+        each.sortWithinPartitions("part", "term", "id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+        drop(counts)
         return cls(docs.sparkSession, path)
 
     def hits(self, terms: list[str]) -> DataFrame:

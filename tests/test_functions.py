@@ -261,3 +261,19 @@ def test_communities_leave_labels_only(spark, monkeypatch, tmp_path):
     found = {r.node: r.community for r in communities(spark.createDataFrame(edges, "a long, b long, weight double")).collect()}
     assert len({found[i] for i in range(5)}) == 1 and len(set(found.values())) == 2
     assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["communities"]
+
+
+def test_clean_body_looks_for_each_cut_once():
+    from tessera.functions.text import QUOTE_CUTS, clean_body
+
+    assert str(clean_body(F.col("x"))).count("regexp_instr") == len(QUOTE_CUTS)
+
+
+def test_index_reads_texts_once(spark, tmp_path):
+    from tessera.operators.bm25 import Index
+
+    docs, seen = counted(spark, spark.createDataFrame([(1, "a b a"), (2, None), (3, "b. B?"), (1, "a c")], "id long, t string"))
+    index = Index.build(docs, "id", ["t"], str(tmp_path))
+    assert sorted(map(tuple, index.lengths.collect())) == [(1, 2), (1, 3), (2, 0), (3, 2)]
+    assert sorted((r.term, r.id, r.n) for r in index.postings.collect()) == [("a", 1, 3), ("b", 1, 1), ("b", 3, 2), ("c", 1, 1)]
+    assert seen.value == 4
