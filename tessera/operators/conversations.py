@@ -25,13 +25,17 @@ def header_edges(mails: DataFrame) -> DataFrame:
 
 
 def subject_edges(mails: DataFrame, gap_days: int = 60) -> DataFrame:
-    """(a, b): neighbours by date within a normalised subject, near in time (or undated) or with a common participant."""
+    """(a, b): a run's first mail and another of the run. Neighbours by date within a normalised subject are of one run if
+    near in time (or undated) or with a common participant; so a run of any length takes one step to join, not a path."""
     people = F.concat(addresses_in(F.col("from_address")), addresses_in(F.col("to_addresses")), addresses_in(F.col("cc_addresses")))
     rows = mails.select("id", normalize_subject(F.col("subject")).alias("s"), parse_iso(F.col("date")).alias("ts"), people.alias("people")).where("s != ''")
     w = Window.partitionBy("s").orderBy(F.col("ts").asc_nulls_first(), "id")
-    rows = rows.select("id", "ts", "people", F.lag("id").over(w).alias("a"), F.lag("ts").over(w).alias("before"), F.lag("people").over(w).alias("others")).where("a IS NOT NULL")
+    rows = rows.select("id", "s", "ts", "people", F.lag("id").over(w).alias("a"), F.lag("ts").over(w).alias("before"), F.lag("people").over(w).alias("others"))
     near = F.col("ts").isNull() | F.col("before").isNull() | (whole_days(F.col("before"), F.col("ts")) <= gap_days)
-    return rows.where(near | F.arrays_overlap("people", "others")).select("a", F.col("id").alias("b"))
+    joins = F.col("a").isNotNull() & F.coalesce(near | F.arrays_overlap("people", "others"), F.lit(False))
+    rows = rows.select("id", "s", "ts", F.when(~joins, F.col("id")).alias("head"))
+    rows = rows.select("id", F.last("head", ignorenulls=True).over(w).alias("a"))
+    return rows.where("a != id").select("a", F.col("id").alias("b"))
 
 
 def conversations(mails: DataFrame, config: EngineConfig = EngineConfig()) -> tuple[DataFrame, dict[str, int]]:

@@ -277,3 +277,11 @@ def test_index_reads_texts_once(spark, tmp_path):
     assert sorted(map(tuple, index.lengths.collect())) == [(1, 2), (1, 3), (2, 0), (3, 2)]
     assert sorted((r.term, r.id, r.n) for r in index.postings.collect()) == [("a", 1, 3), ("b", 1, 1), ("b", 3, 2), ("c", 1, 1)]
     assert seen.value == 4
+
+
+def test_subject_runs_join_in_one_step(spark):
+    from tessera.operators.conversations import subject_edges
+
+    rows = [(i, f"2024-01-{i:02d}T00:00:00Z", "a@x.example", "Plan") for i in range(1, 9)] + [(9, "2024-12-01T00:00:00Z", "b@x.example", "Plan"), (10, "2024-12-02T00:00:00Z", "c@x.example", "Re: plan"), (11, None, "d@x.example", "Other")]
+    mails = spark.createDataFrame(rows, "id long, date string, from_address string, subject string").withColumns({"to_addresses": F.lit(""), "cc_addresses": F.lit("")})
+    assert sorted(map(tuple, subject_edges(mails).collect())) == [(1, i) for i in range(2, 9)] + [(9, 10)]
