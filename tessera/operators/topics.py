@@ -89,7 +89,8 @@ BLOCK_ROWS = 1000
 
 def _links(threshold: float):
     def unit(column, i: int) -> np.ndarray:
-        v = np.asarray(column[i].as_py(), np.float64)
+        rows = column[i].values  # a list of vectors; its numbers are one buffer
+        v = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).astype(np.float64)
         lengths = np.linalg.norm(v, axis=1, keepdims=True)
         return v / np.where(lengths > 0, lengths, 1)
 
